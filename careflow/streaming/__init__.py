@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming surface (no watermarks, windows over
+event time, state or late data); its hourly buckets are batch group-bys
+(see :mod:`careflow.operators.hourly`). Nothing is added here so as not
+to invent operators the reference does not have.
+"""
