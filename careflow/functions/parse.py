@@ -41,14 +41,16 @@ def _digits(c) -> Column:
 def hhmmss_from_digits(s: Column) -> Column:
     """P4 on an already digit-only string (see :func:`standardize_hhmmss`).
 
-    Odd digit counts up to 5 get a leading ``0`` and the result is
-    right-padded with zeros to six (this gives 6 as is, 5 ``0``+v, 4
-    v+``00``, 3 ``0``+v+``00``, 2 v+``0000``, 1 ``0``+v+``0000`` and
-    ``000000`` for no digits); longer text keeps its last six digits.
+    Written as a chain that reads its input once (filters pushed below a
+    projection inline their inputs, so multi-reference forms multiply):
+    more than six digits keep the last six; 1, 3 or 5 digits get a
+    leading ``0``; then zeros are appended up to six. This gives 6 as is,
+    5 ``0``+v, 4 v+``00``, 3 ``0``+v+``00``, 2 v+``0000``, 1 ``0``+v+``0000``
+    and ``000000`` for no digits.
     """
-    n = F.length(s)
-    short = F.rpad(F.concat(F.when(n % 2 == 1, F.lit("0")).otherwise(F.lit("")), s), 6, "0")
-    return F.when(n > 6, F.substring(s, -6, 6)).otherwise(short)
+    x = F.regexp_replace(s, r"^\d+(\d{6})$", "$1")
+    x = F.regexp_replace(x, r"^(\d(?:\d\d){0,2})$", "0$1")
+    return F.substring(F.concat(x, F.lit("000000")), 1, 6)
 
 
 def standardize_hhmmss(c) -> Column:
@@ -61,23 +63,23 @@ def standardize_hhmmss(c) -> Column:
     return hhmmss_from_digits(_digits(c))
 
 
-def _ts_unchecked(raw: Column) -> Column:
-    """14 digits ``yyyyMMddHHmmss`` -> timestamp_ntz (no range guard)."""
-    def part(pos, ln):
-        return F.substring(raw, pos, ln).cast("int")
-    ok = raw.rlike(r"^\d{14}$") & (part(13, 2) < 60)
-    return F.when(ok, F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2),
-                                               part(9, 2), part(11, 2), part(13, 2)))
-
-
-def _in_pandas_range(ts: Column) -> Column:
-    return F.when(ts.between(F.lit(PANDAS_TS_MIN).cast("timestamp_ntz"),
-                             F.lit(PANDAS_TS_MAX).cast("timestamp_ntz")), ts)
+_EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
 def _ts_from_digits(raw: Column) -> Column:
-    """14 digits ``yyyyMMddHHmmss`` -> timestamp_ntz, invalid -> null."""
-    return _in_pandas_range(_ts_unchecked(raw))
+    """14 digits ``yyyyMMddHHmmss`` -> timestamp_ntz; invalid -> null.
+
+    The text is parsed with an explicit ``+0000`` offset and turned into a
+    wall-clock ``timestamp_ntz`` by epoch arithmetic, so the session time
+    zone (and its daylight-saving gaps) never changes the result. Values
+    outside the window pandas can represent are null, as in the reference
+    (compared as 14-digit text, so the input is read a fixed, small number
+    of times).
+    """
+    ok = F.when(raw.between(F.lit("16770922000000"), F.lit("22620410235959")), raw)
+    parsed = F.try_to_timestamp(F.concat(ok, F.lit("+0000")), F.lit("yyyyMMddHHmmssZ"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(parsed),
+                           F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def parse_datetime(date_col, time_col) -> Column:
@@ -86,40 +88,25 @@ def parse_datetime(date_col, time_col) -> Column:
 
 
 def with_datetime(df, out: str, date_col: str, time_col: str):
-    """P5 as staged projections (same result as :func:`parse_datetime`).
-
-    Each intermediate is its own projection, referenced several times
-    downstream, so Catalyst keeps it materialised instead of inlining the
-    regular expressions into every reference (which would blow the
-    generated code past the JVM method limit).
-    """
-    tmp = [f"__{out}_{k}" for k in ("d", "t", "raw", "ts")]
-    df = df.withColumns({tmp[0]: _digits(date_col), tmp[1]: _digits(time_col)})
-    df = df.withColumn(tmp[1], hhmmss_from_digits(F.col(tmp[1])))
-    df = df.withColumn(tmp[2], F.concat(F.col(tmp[0]), F.col(tmp[1])))
-    df = df.withColumn(tmp[3], _ts_unchecked(F.col(tmp[2])))
-    return df.withColumn(out, _in_pandas_range(F.col(tmp[3]))).drop(*tmp)
+    """P5 on a DataFrame (same result as :func:`parse_datetime`)."""
+    return df.withColumn(out, parse_datetime(date_col, time_col))
 
 
 def parse_date(c) -> Column:
     """``YYYYMMDD`` birth date -> date; bad -> null."""
     s = unicode_trim(c)
-    ts = _ts_from_digits(F.concat(s, F.lit("000000")))
-    return F.when(s.rlike(r"^\d{8}$"), ts.cast("date"))
+    return _ts_from_digits(F.concat(F.regexp_extract(s, r"^(\d{8})$", 1), F.lit("000000"))).cast("date")
 
 
 def parse_datetime_loose(date_col, time_col, midnight_is_null: bool = True) -> Column:
-    """Notebook parser. Split the time at ``.``, zero-fill to six
-    digits; ``000000``/``0``/``nan``/``None`` mean no time (null), or
-    midnight when ``midnight_is_null`` is False."""
-    t = F.split(unicode_trim(_c(time_col).cast("string")), r"\.", 2).getItem(0)
-    t = F.when(F.length(t) < 6, F.lpad(t, 6, "0")).otherwise(t)
-    no_time = t.isNull() | t.isin("000000", "0", "nan", "None", "")
-    d = unicode_trim(_c(date_col).cast("string"))
-    d = F.split(d, r"\.", 2).getItem(0)
-    if midnight_is_null:
-        return F.when(~no_time, _ts_from_digits(F.concat(d, t)))
-    return _ts_from_digits(F.concat(d, F.when(no_time, F.lit("000000")).otherwise(t)))
+    """Notebook parser. The time is cut at the first ``.``, trimmed and
+    zero-filled on the left to six characters; a time of ``000000`` means
+    "no time": null (default) or, with ``midnight_is_null=False``, the
+    date at midnight. Null or non-numeric parts give null."""
+    t = unicode_trim(F.split(_c(time_col).cast("string"), r"\.", 2).getItem(0))
+    t = F.regexp_replace(F.concat(F.lit("000000"), t), r"^0{0,6}(.{6,})$", "$1")
+    ts = _ts_from_digits(F.concat(unicode_trim(_c(date_col).cast("string")), t))
+    return F.when(t != F.lit("000000"), ts) if midnight_is_null else ts
 
 
 def safe_numeric(c) -> Column:
