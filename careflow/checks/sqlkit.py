@@ -156,3 +156,95 @@ def clean_triage_sql(allowed=("A", "C", "E", "M", "N")) -> str:
            CASE WHEN {t} IN ({lst}) THEN {t} END AS triage_clean,
            CASE WHEN {t} IS NOT NULL AND {t} NOT IN ({lst}) THEN 1 ELSE 0 END AS triage_invalid
     FROM raw_triage))"""
+
+
+def cal(ts: str, prefix: str = "") -> str:
+    p = f"{prefix}_" if prefix else ""
+    return (f"hour({ts}) AS {p}hour, isodow({ts}) - 1 AS {p}day_of_week, day({ts}) AS {p}day, "
+            f"month({ts}) AS {p}month, CASE WHEN isodow({ts}) >= 6 THEN 1 ELSE 0 END AS {p}is_weekend")
+
+
+def key(x: str) -> str:
+    return trim_u(x)
+
+
+CLEAN_APPOINTMENTS = f"""appt AS (
+  SELECT DISTINCT * FROM (
+    SELECT {key(norm('area'))} AS area_key, {key(norm('cve_num'))} AS cve_num_key, {key(norm('cve_mbo'))} AS cve_mbo_key,
+           {norm('area')} AS area, {norm('cve_num')} AS cve_num, {norm('cve_mbo')} AS cve_mbo,
+           {norm('med')} AS med, {norm('esp')} AS esp, {strip('a_fecha')} AS a_fecha,
+           {strip('hra_ini')} AS hra_ini, {strip('hra_fin')} AS hra_fin,
+           appointment_datetime, {cal('appointment_datetime', 'appointment')},
+           CASE WHEN {numeric(strip('dur'))} <= 0 THEN NULL ELSE {numeric(strip('dur'))} END AS duration_min,
+           {norm('tpo_cita')} AS tpo_cita, {norm('conflicto')} AS conflicto, {norm('agregada')} AS agregada,
+           {norm('ultimahora')} AS ultimahora, {norm('buffer')} AS buffer,
+           CASE WHEN {norm('asistencia')} IN ('A', 'I') THEN {norm('asistencia')} END AS asistencia_clean,
+           CASE WHEN {norm('asistencia')} IS NOT NULL AND {norm('asistencia')} NOT IN ('A', 'I') THEN 1 ELSE 0 END AS asistencia_invalid,
+           CASE WHEN {norm('asistencia')} = 'A' THEN 0 WHEN {norm('asistencia')} = 'I' THEN 1 END AS no_show
+    FROM (SELECT *, {p5(strip('a_fecha'), strip('hra_ini'))} AS appointment_datetime FROM raw_appointments)))"""
+
+CLEAN_ENCOUNTERS = f"""enc AS (
+  SELECT DISTINCT * FROM (
+    SELECT {key(norm('p_area'))} AS area_key, {key(norm('p_res_cve_num'))} AS cve_num_key,
+           {key(norm('p_res_cve_mbo'))} AS cve_mbo_key, {key(strip('p_num_exp'))} AS p_num_exp_key,
+           {norm('p_area')} AS p_area, {norm('p_status')} AS p_status, {norm('p_sexo')} AS p_sexo,
+           {p5(strip('p_res_fec'), strip('p_res_hra'))} AS reservation_datetime,
+           CAST(NULL AS TIMESTAMP) AS arrival_datetime,
+           {p5(strip('p_fec_reg'), strip('p_hra_reg'))} AS registration_datetime
+    FROM raw_encounters))"""
+
+
+def _null_codes(col: str, vals) -> str:
+    lst = ", ".join(f"'{v}'" for v in vals)
+    return f"CASE WHEN upper({trim_u(norm(col))}) IN ({lst}) THEN NULL ELSE upper({trim_u(norm(col))}) END"
+
+
+_AGE = numeric(strip("m_edad"))
+_BIRTH = strip("m_fec_nac")
+PATIENT_FIELDS = f"""{key(strip('m_num_exp'))} AS m_num_exp_key, {norm('m_status')} AS m_status,
+           {norm('m_sexo')} AS m_sexo,
+           CASE WHEN {_AGE} < 0 OR {_AGE} > 120 THEN NULL ELSE {_AGE} END AS m_edad_num,
+           CAST(CAST({ts14(f"(CASE WHEN regexp_full_match({trim_u(_BIRTH)}, '\\d{{8}}') THEN {trim_u(_BIRTH)} END || '000000')")} AS DATE) AS TIMESTAMP) AS m_fec_nac_clean,
+           {norm('m_ciu')} AS m_ciu, {norm('m_col')} AS m_col,
+           {_null_codes('m_cp', ['000', '00000', 'NA', 'N/A', 'NULL', 'NONE'])} AS m_cp,
+           {_null_codes('m_edo', ['NA', 'N/A', 'NULL', 'NONE'])} AS m_edo,
+           {_null_codes('m_pai', ['NA', 'N/A', 'NULL', 'NONE'])} AS m_pai"""
+
+PATIENT_COLS = ["m_status", "m_sexo", "m_edad_num", "m_fec_nac_clean", "m_ciu", "m_col", "m_cp", "m_edo", "m_pai"]
+
+CLEAN_PATIENTS = f"""pat AS (
+  SELECT m_num_exp_key, {", ".join(PATIENT_COLS)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY m_num_exp_key ORDER BY
+           {", ".join(c + " ASC NULLS LAST" for c in PATIENT_COLS)}) AS rn
+    FROM (SELECT {PATIENT_FIELDS} FROM raw_patients)) WHERE rn = 1)"""
+
+ENC_TIES = ["p_num_exp_key", "p_area", "p_status", "p_sexo", "reservation_datetime", "arrival_datetime"]
+
+ENC_FIRST = f"""enc1 AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY area_key, cve_num_key, cve_mbo_key
+           ORDER BY registration_datetime ASC NULLS LAST, {", ".join(c + " ASC NULLS LAST" for c in ENC_TIES)}) AS rn
+    FROM enc) WHERE rn = 1)"""
+
+BASE_STRING = ["area", "med", "esp", "tpo_cita", "conflicto", "agregada", "ultimahora", "buffer",
+               "p_status", "p_sexo", "m_status", "m_sexo", "m_ciu", "m_col", "m_cp", "m_edo", "m_pai"]
+
+NO_SHOW_BASE = f"""{CLEAN_APPOINTMENTS}, {CLEAN_ENCOUNTERS}, {CLEAN_PATIENTS}, {ENC_FIRST},
+j AS (
+  SELECT a.*, e.p_num_exp_key, e.p_area, e.p_status, e.p_sexo, e.reservation_datetime, e.registration_datetime,
+         p.m_num_exp_key, p.m_status, p.m_sexo, p.m_edad_num, p.m_fec_nac_clean, p.m_ciu, p.m_col, p.m_cp, p.m_edo, p.m_pai,
+         {days('e.reservation_datetime', 'a.appointment_datetime')} AS lt
+  FROM appt a
+  LEFT JOIN enc1 e ON a.area_key IS NOT DISTINCT FROM e.area_key AND a.cve_num_key IS NOT DISTINCT FROM e.cve_num_key
+                  AND a.cve_mbo_key IS NOT DISTINCT FROM e.cve_mbo_key
+  LEFT JOIN pat p ON e.p_num_exp_key IS NOT DISTINCT FROM p.m_num_exp_key),
+base AS (
+  SELECT {", ".join(f"coalesce({c}, 'UNKNOWN') AS {c}" for c in BASE_STRING[:8])},
+         duration_min, appointment_hour, appointment_day_of_week, appointment_day, appointment_month,
+         appointment_is_weekend,
+         CASE WHEN lt < 0 THEN NULL ELSE lt END AS lead_time_days,
+         CASE WHEN lt < 0 THEN 1 ELSE 0 END AS lead_time_invalid,
+         {", ".join(f"coalesce({c}, 'UNKNOWN') AS {c}" for c in BASE_STRING[8:12])}, m_edad_num,
+         {", ".join(f"coalesce({c}, 'UNKNOWN') AS {c}" for c in BASE_STRING[12:])},
+         CAST(no_show AS INTEGER) AS no_show
+  FROM j WHERE no_show IS NOT NULL)"""

@@ -34,7 +34,7 @@ def add_calendar_features(df: DataFrame, ts: str, prefix: str = "") -> DataFrame
         f"{p}day_of_week": dow,
         f"{p}day": F.dayofmonth(ts),
         f"{p}month": F.month(ts),
-        f"{p}is_weekend": dow.isin(5, 6).cast("int"),
+        f"{p}is_weekend": F.coalesce(dow.isin(5, 6), F.lit(False)).cast("int"),
     })
 
 
