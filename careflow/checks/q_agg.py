@@ -42,12 +42,15 @@ TRI_H_SQL = """tri_h AS (
 CAL = ("hour(timestamp) AS hour, isodow(timestamp) - 1 AS day_of_week, day(timestamp) AS day, "
        "month(timestamp) AS month, CASE WHEN isodow(timestamp) >= 6 THEN 1 ELSE 0 END AS is_weekend")
 
-MASTER_SQL = f"""WITH {BASE_CTES}, {DEMAND_SQL}, {TRI_H_SQL}
+MASTER_CTE = f"""master AS (
 SELECT d.timestamp, d.pacientes_llegando, d.tiempo_espera, d.tiempo_espera_mediana, d.wait_proxy_valid_count,
        coalesce(t.triage_events, 0) AS triage_events,
        {", ".join(f"coalesce(t.triage_{v}, 0) AS triage_{v}" for v in TRI)},
        {CAL.replace('timestamp', 'd.timestamp')}
-FROM demand d LEFT JOIN tri_h t ON d.timestamp = t.timestamp"""
+FROM demand d LEFT JOIN tri_h t ON d.timestamp = t.timestamp)"""
+
+MASTER_CTES = f"{BASE_CTES}, {DEMAND_SQL}, {TRI_H_SQL}, {MASTER_CTE}"
+MASTER_SQL = f"WITH {MASTER_CTES} SELECT * FROM master"
 
 
 def master(spark, sf):

@@ -28,7 +28,7 @@ def finish(df: DataFrame) -> DataFrame:
         elif isinstance(dt, T.BooleanType):
             c = c.cast("boolean")
         elif isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double") * F.lit(1e6)) / F.lit(1e6)
+            c = F.round(c.cast("double") * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
         elif isinstance(dt, T.DateType):
             c = c.cast("date")
         cols.append(c.alias(f.name))

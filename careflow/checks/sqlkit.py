@@ -65,7 +65,7 @@ def numeric(x: str) -> str:
 
 def R(x: str) -> str:
     """Round to 6 decimals the same way on both engines."""
-    return f"(round(({x}) * 1e6) / 1e6)"
+    return f"(round(({x}) * 1e6) / 1e6 + 0.0)"
 
 
 def wrap(sql: str, doubles=()) -> str:
