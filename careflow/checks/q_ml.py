@@ -1 +1,485 @@
-"""Checked queries."""
+"""Checked queries: feature prep, splits, metrics and models (P20, P24, C8, M1-M21,
+C10, T5, T6, K6, S2, S4-S7, S9).
+
+Model fits (M8, M9, M11-M13, M19-M21, C10) have no SQL restatement and are
+rows-only. Their checks use small tree counts and a two-combination grid so
+each check stays short; the library defaults are the reference's (48-point
+grid, 30 trials, 50-300 trees).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from careflow.checks import sqlkit as S
+from careflow.checks.q_agg import MASTER_CTES, master
+from careflow.checks.q_clean import RAW, appts, base
+from careflow.checks.q_kpi import PROB_SQL, scored
+from careflow.checks.registry import query
+from careflow.operators import features as FE
+from careflow.operators import metrics as ME
+from careflow.operators import models as MO
+from careflow.operators import projection as PR
+from careflow.operators import ranking as RK
+from careflow.operators import split as SP
+from careflow.operators import timeseries as TS
+from careflow.plans import modelling as MD
+from careflow.session import checkpoint_dir
+from careflow.sources import io as IO
+
+BASE = f"{RAW}, {S.NO_SHOW_BASE}"
+Y = "pacientes_llegando"
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/careflow-out/{name}-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- P20, P24, C8, M1
+
+KEEP = [c for c in ["area", "med", "esp", "tpo_cita", "conflicto", "agregada", "ultimahora", "buffer", "duration_min",
+                    "appointment_hour", "appointment_day_of_week", "appointment_day", "appointment_month",
+                    "appointment_is_weekend", "lead_time_days", "p_sexo", "m_ciu", "m_col", "m_cp", "m_edo", "m_pai",
+                    "no_show"]]
+
+
+@query("p20_drop_columns", S.wrap(f"WITH {BASE} SELECT {', '.join(KEEP)} FROM base", ["duration_min", "lead_time_days"]))
+def p20_drop_columns(spark, sf):
+    """P20: leakage/redundant columns dropped (absent ones ignored)."""
+    return PR.drop_if_present(base(spark, sf), FE.DROP_COLUMNS + ["not_there"])
+
+
+@query("p24_rare_mask", f"""WITH {BASE}, c AS (SELECT med, count(*) AS n FROM base GROUP BY med)
+SELECT CASE WHEN c.n = 1 THEN 'OTHERS' ELSE b.med END AS med, b.no_show FROM base b JOIN c ON b.med IS NOT DISTINCT FROM c.med""")
+def p24_rare_mask(spark, sf):
+    """Doctors seen once -> OTHERS."""
+    return PR.mask_rare(base(spark, sf).select("med", "no_show"), "med", "OTHERS")
+
+
+def _code_sql(c: str, pad: int, rep: dict | None) -> str:
+    s = f"regexp_replace({S.trim_u(f'coalesce(CAST({c} AS VARCHAR), {chr(39)}<NA>{chr(39)})')}, '\\.0$', '')"
+    if rep:
+        s = "CASE " + " ".join(f"WHEN {s} = '{k}' THEN '{v}'" for k, v in rep.items()) + f" ELSE {s} END"
+    return f"(CASE WHEN {s} <> 'UNKNOWN' AND length({s}) < {pad} THEN lpad({s}, {pad}, '0') ELSE {s} END)"
+
+
+C8_CODES = ", ".join(f"{_code_sql(c, pad, rep)} AS {c}" for c, (pad, _, rep) in FE.CODE_RULES.items())
+C8_MASKED = ", ".join(
+    f"CASE WHEN count(*) OVER (PARTITION BY {c}) = 1 THEN '{mask}' ELSE {c} END AS {c}"
+    for c, (_, mask, _) in FE.CODE_RULES.items())
+CYC_COLS = [f"{c}_{f}" for c in FE.CYCLICAL for f in ("sin", "cos")]
+C8_SQL = f"""WITH {BASE},
+f1 AS (SELECT area, esp, buffer, tpo_cita, p_sexo, duration_min, lead_time_days, appointment_is_weekend, no_show,
+         CASE WHEN conflicto = 'C' THEN 1 ELSE 0 END AS conflicto, CASE WHEN agregada = 'A' THEN 1 ELSE 0 END AS agregada,
+         CASE WHEN ultimahora = 'U' THEN 1 ELSE 0 END AS ultimahora,
+         {", ".join(f"sin(2 * pi() * {c} / {float(p)}) AS {c}_sin, cos(2 * pi() * {c} / {float(p)}) AS {c}_cos"
+                    for c, p in FE.CYCLICAL.items())},
+         {C8_CODES} FROM base)
+SELECT * EXCLUDE ({", ".join(FE.CODE_RULES)}), {C8_MASKED} FROM f1"""
+
+
+@query("c8_no_show_features", S.wrap(C8_SQL, ["duration_min", "lead_time_days"] + CYC_COLS))
+def c8_no_show_features(spark, sf):
+    """Drop, flags, cyclical encodings, code cleaning and rare masking."""
+    return MD.no_show_features(base(spark, sf))
+
+
+ONE_HOT_LEVELS = {"tpo_cita": None, "p_sexo": None, "area": None}
+
+
+def _levels(spark, sf):
+    b = base(spark, sf)
+    lv = FE.category_levels(b, list(ONE_HOT_LEVELS)).collect()  # bounded by total cardinality
+    out = {c: set() for c in ONE_HOT_LEVELS}
+    for r in lv:
+        out[r["column"]].add(r["level"])
+    return b, out
+
+
+@query("m1_one_hot", f"""WITH {BASE} SELECT no_show, {", ".join(
+    [f"CASE WHEN tpo_cita = '{v}' THEN 1 ELSE 0 END AS tpo_cita_{v}" for v in ['S']]
+    + [f"CASE WHEN p_sexo = '{v}' THEN 1 ELSE 0 END AS p_sexo_{v}" for v in ['F', 'M', 'UNKNOWN']]
+    + [f"CASE WHEN area = '{v}' THEN 1 ELSE 0 END AS area_{v}" for v in [str(i) for i in range(10)]])} FROM base""")
+def m1_one_hot(spark, sf):
+    """M1: named one-hot columns for levels found in the data; p_sexo_N and
+    tpo_cita_P dropped as in the reference."""
+    b, levels = _levels(spark, sf)
+    return FE.one_hot_named(b.select("no_show", *ONE_HOT_LEVELS), levels, FE.DROP_DUMMIES)
+
+
+# ---------------------------------------------------------------- M2-M7
+
+@query("m2_stratified_split_sizes", f"""WITH {BASE}, c AS (SELECT no_show, count(*) AS n FROM base GROUP BY 1)
+SELECT no_show, true AS is_test, CAST(round(n * 0.2) AS BIGINT) AS rows FROM c UNION ALL
+SELECT no_show, false, n - CAST(round(n * 0.2) AS BIGINT) FROM c""")
+def m2_stratified_split_sizes(spark, sf):
+    """M2: exact per-class test/train sizes of the stratified split."""
+    b = base(spark, sf)
+    s = SP.stratified_split(b, "no_show", b.columns, 0.2, 42)
+    return s.groupBy("no_show", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("m2_stratified_split", None)
+def m2_stratified_split(spark, sf):
+    """M2: the split rows themselves (hash order, reproducible)."""
+    b = base(spark, sf)
+    return SP.stratified_split(b, "no_show", b.columns, 0.2, 42)
+
+
+TRAIN_SQL = f"""{MASTER_CTES},
+ms AS (SELECT *, row_number() OVER (ORDER BY timestamp) AS rn, count(*) OVER () AS n FROM master),
+tr AS (SELECT * FROM ms WHERE rn <= floor(n * 0.8))"""
+
+
+@query("m3_chronological_split", f"WITH {TRAIN_SQL} SELECT timestamp, rn <= floor(n * 0.8) AS is_train FROM ms")
+def m3_chronological_split(spark, sf):
+    """M3: first 80% of hours train, the rest test."""
+    return SP.chronological_split(master(spark, sf).select("timestamp"), ["timestamp"], 0.8)
+
+
+FOLD_SQL = f"""{MASTER_CTES},
+ms AS (SELECT timestamp, {Y}, row_number() OVER (ORDER BY timestamp) - 1 AS position, count(*) OVER () AS n FROM master),
+fo AS (SELECT *, n // 6 AS fold_size, n - (n // 6) * 5 AS start FROM ms)"""
+
+
+@query("m4_expanding_folds", f"""WITH {FOLD_SQL} SELECT timestamp, position,
+  CAST(CASE WHEN position >= start THEN (position - start) // fold_size + 1 ELSE 0 END AS INTEGER) AS fold, fold_size FROM fo""")
+def m4_expanding_folds(spark, sf):
+    """M4: expanding time-series folds, k=5."""
+    return SP.expanding_folds(master(spark, sf).select("timestamp"), ["timestamp"], 5)
+
+
+def _split_master(spark, sf):
+    m = master(spark, sf).select("timestamp", "hour", Y, "tiempo_espera")
+    s = SP.chronological_split(m, ["timestamp"], 0.8)
+    return s, s.filter("is_train")
+
+
+@query("m5_mean_impute", S.wrap(f"""WITH {TRAIN_SQL}
+SELECT timestamp, coalesce(tiempo_espera, (SELECT avg(tiempo_espera) FROM tr)) AS tiempo_espera FROM ms""",
+                                ["tiempo_espera"]))
+def m5_mean_impute(spark, sf):
+    """M5: missing mean waits filled with the training mean."""
+    s, tr = _split_master(spark, sf)
+    return FE.apply_fill(s, FE.fit_mean(tr, ["tiempo_espera"]), ["tiempo_espera"]).select("timestamp", "tiempo_espera")
+
+
+@query("m6_standardize", S.wrap(f"""WITH {TRAIN_SQL}, st AS (SELECT avg({Y}) AS mu1, stddev_pop({Y}) AS sd1,
+  avg(tiempo_espera) AS mu2, stddev_pop(tiempo_espera) AS sd2 FROM tr)
+SELECT timestamp, ({Y} - mu1) / sd1 AS {Y}, (tiempo_espera - mu2) / sd2 AS tiempo_espera FROM ms CROSS JOIN st""",
+                                [Y, "tiempo_espera"]))
+def m6_standardize(spark, sf):
+    """M6: standardisation fitted on train (population std)."""
+    s, tr = _split_master(spark, sf)
+    cols = [Y, "tiempo_espera"]
+    return FE.apply_standard(s, FE.fit_standard(tr, cols), cols).select("timestamp", *cols)
+
+
+@query("m7_median_mode", S.wrap(f"""WITH {TRAIN_SQL}
+SELECT (SELECT quantile_cont(tiempo_espera, 0.5) FROM tr) AS tiempo_espera__fill,
+       (SELECT arg_min(hour, (-n, hour)) FROM (SELECT hour, count(*) AS n FROM tr GROUP BY hour)) AS hour__fill""",
+                                ["tiempo_espera__fill"]))
+def m7_median_mode(spark, sf):
+    """M7: exact training median (waits) and mode (hour, smallest on ties)."""
+    _, tr = _split_master(spark, sf)
+    from careflow.operators.ordering import attach_scalars
+    return attach_scalars(FE.fit_median(tr, ["tiempo_espera"]), FE.fit_mode(tr, ["hour"]))
+
+
+# ---------------------------------------------------------------- M14-M18, T6
+
+NAIVE_SQL = f"""{FOLD_SQL},
+pr AS (SELECT timestamp, {Y}, CAST(coalesce(lag({Y}, 24) OVER (ORDER BY timestamp), {Y}) AS DOUBLE) AS prediction,
+       CAST(CASE WHEN position >= start THEN (position - start) // fold_size + 1 ELSE 0 END AS INTEGER) AS fold FROM fo),
+pm AS (SELECT fold, avg({Y}) AS ybar FROM pr GROUP BY fold),
+pf AS (SELECT pr.fold, avg(abs({Y} - prediction)) AS MAE, sqrt(avg(({Y} - prediction) * ({Y} - prediction))) AS RMSE,
+       count(*) AS n, 1 - sum(({Y} - prediction) * ({Y} - prediction)) / sum(({Y} - ybar) * ({Y} - ybar)) AS R2
+       FROM pr JOIN pm ON pr.fold = pm.fold WHERE pr.fold > 0 GROUP BY pr.fold)"""
+
+
+def _naive_folds(spark, sf):
+    m = master(spark, sf).select("timestamp", Y)
+    m = TS.add_lags(m, Y, [24], ["timestamp"], name="prediction")
+    m = m.withColumn("prediction", F.coalesce("prediction", Y).cast("double"))
+    return SP.expanding_folds(m, ["timestamp"], 5)
+
+
+def _naive_per_fold(spark, sf):
+    f = _naive_folds(spark, sf).filter(F.col("fold") > 0)
+    return ME.regression_metrics(f, Y, "prediction", by=["fold"])
+
+
+@query("m14_regression_metrics", S.wrap(f"WITH {NAIVE_SQL} SELECT * FROM pf", ["MAE", "RMSE", "R2"]))
+def m14_regression_metrics(spark, sf):
+    """MAE, RMSE, R2 per fold for the seasonal-naive forecast."""
+    return _naive_per_fold(spark, sf)
+
+
+@query("m14_fold_summary", S.wrap(f"""WITH {NAIVE_SQL} SELECT count(*) AS cv_folds,
+  avg(MAE) AS cv_MAE_mean, stddev_samp(MAE) AS cv_MAE_std, avg(RMSE) AS cv_RMSE_mean, stddev_samp(RMSE) AS cv_RMSE_std,
+  avg(R2) AS cv_R2_mean, stddev_samp(R2) AS cv_R2_std FROM pf""",
+                                  ["cv_MAE_mean", "cv_MAE_std", "cv_RMSE_mean", "cv_RMSE_std", "cv_R2_mean", "cv_R2_std"]))
+def m14_fold_summary(spark, sf):
+    """Mean and sample std of the fold metrics."""
+    return ME.fold_summary(_naive_per_fold(spark, sf))
+
+
+@query("t6_best_fold", S.wrap(f"WITH {NAIVE_SQL} SELECT * FROM pf ORDER BY MAE, fold LIMIT 1", ["MAE", "RMSE", "R2"]))
+def t6_best_fold(spark, sf):
+    """The best row by minimum MAE."""
+    return RK.best_row(_naive_per_fold(spark, sf), "MAE", maximize=False, tie="fold")
+
+
+SCORED_SQL = f"{BASE}, sc AS (SELECT no_show, {PROB_SQL} AS prob FROM base)"
+
+
+@query("m15_binary_metrics", S.wrap(f"""WITH {SCORED_SQL},
+c AS (SELECT CAST(sum(CASE WHEN no_show = 0 AND prob < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+             CAST(sum(CASE WHEN no_show = 0 AND prob >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN no_show = 1 AND prob < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+             CAST(sum(CASE WHEN no_show = 1 AND prob >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp FROM sc),
+d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+              CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1_score,
+  (tp + tn) / (tp + tn + fp + fn) AS accuracy FROM d""", ["precision", "recall", "f1_score", "accuracy"]))
+def m15_binary_metrics(spark, sf):
+    """Confusion counts and threshold metrics."""
+    return ME.binary_metrics(scored(spark, sf), "no_show", "prob", 0.5)
+
+
+@query("m15_class_report", S.wrap(f"""WITH {SCORED_SQL},
+k AS (SELECT c, sum(CASE WHEN no_show = c AND CAST(prob >= 0.5 AS INTEGER) = c THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN CAST(prob >= 0.5 AS INTEGER) = c THEN 1 ELSE 0 END) AS pp,
+             sum(CASE WHEN no_show = c THEN 1 ELSE 0 END) AS s FROM sc CROSS JOIN (VALUES (0), (1)) v(c) GROUP BY c),
+r AS (SELECT CAST(c AS VARCHAR) AS class, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS precision,
+             CASE WHEN s > 0 THEN tp / s ELSE 0 END AS recall, CAST(s AS BIGINT) AS support FROM k),
+r2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1_score FROM r)
+SELECT class, precision, recall, f1_score, support FROM r2 UNION ALL
+SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM r2 UNION ALL
+SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+       sum(f1_score * support) / sum(support), sum(support) FROM r2""", ["precision", "recall", "f1_score"]))
+def m15_class_report(spark, sf):
+    """Per-class report with macro and weighted averages."""
+    return ME.class_report(scored(spark, sf), "no_show", "prob", 0.5)
+
+
+@query("m16_roc_auc", S.wrap(f"""WITH {SCORED_SQL},
+h AS (SELECT prob AS s, sum(no_show) AS pos, sum(1 - no_show) AS neg FROM sc GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h)
+SELECT sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) AS roc_auc FROM c""", ["roc_auc"]))
+def m16_roc_auc(spark, sf):
+    """Exact ROC-AUC over distinct scores (ties half)."""
+    return ME.roc_auc(scored(spark, sf), "no_show", "prob")
+
+
+@query("m17_average_precision", S.wrap(f"""WITH {SCORED_SQL},
+h AS (SELECT prob AS s, sum(no_show) AS pos, sum(1 - no_show) AS neg FROM sc GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM h)
+SELECT sum(pos * (tp / (tp + fp))) / sum(pos) AS pr_auc FROM c""", ["pr_auc"]))
+def m17_average_precision(spark, sf):
+    """Average precision (step sum) over distinct scores."""
+    return ME.average_precision(scored(spark, sf), "no_show", "prob")
+
+
+@query("m18_evaluation_document", None)
+def m18_evaluation_document(spark, sf):
+    """One-row evaluation document (metrics, confusion, sizes)."""
+    s = scored(spark, sf)
+    return ME.evaluation_document(ME.binary_metrics(s, "no_show", "prob"), ME.roc_auc(s, "no_show", "prob"),
+                                  ME.average_precision(s, "no_show", "prob"),
+                                  s.agg(F.count(F.lit(1)).alias("test_size")), {"threshold_source": "score"})
+
+
+@query("k6_model_report", None)
+def k6_model_report(spark, sf):
+    """K6: the demand and no-show metric documents in one report
+    (union by name, missing fields null)."""
+    d = ME.fold_summary(_naive_per_fold(spark, sf)).withColumn("model", F.lit("demand"))
+    s = scored(spark, sf)
+    n = ME.binary_metrics(s, "no_show", "prob").withColumn("model", F.lit("no_show"))
+    return d.unionByName(n, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- models (rows-only)
+
+CHECK_GRID = {"n_estimators": [10], "learning_rate": [0.1], "max_depth": [3, 4], "subsample": [0.8],
+              "colsample_bytree": [0.8], "min_child_weight": [3]}
+CHECK_SPACE = {"n_estimators": (5, 15, "int"), "learning_rate": (0.05, 0.2, "log"), "max_depth": (2, 4, "int"),
+               "min_child_samples": (5, 50, "int"), "subsample": (0.6, 1.0, "float")}
+
+
+def _demand(spark, sf):
+    feats = TS.ts_features(master(spark, sf))
+    cols = [c for c in feats.columns if c not in ("timestamp", Y)]
+    return feats, cols
+
+
+@query("m8_gbt_regressor", None)
+def m8_gbt_regressor(spark, sf):
+    """M8: GBT regressor with validation-based stopping; last-fold predictions."""
+    feats, cols = _demand(spark, sf)
+    folded = SP.expanding_folds(feats, ["timestamp"], 5)
+    tr, va = SP.fold_frames(folded, 5)
+    m = MO.fit_gbt_regressor(tr, cols, Y, {"n_estimators": 20, "max_depth": 4}, validation=va)
+    return m.transform(va).select("timestamp", Y, "prediction")
+
+
+@query("m9_grid_search", None)
+def m9_grid_search(spark, sf):
+    """M9: grid x expanding folds, mean/std MAE per combination."""
+    feats, cols = _demand(spark, sf)
+    return MO.grid_search(SP.expanding_folds(feats, ["timestamp"], 5), cols, Y, CHECK_GRID, 5)
+
+
+@query("m13_oof_predictions", None)
+def m13_oof_predictions(spark, sf):
+    """Out-of-fold predictions of the fold models."""
+    feats, cols = _demand(spark, sf)
+    _, oof, _ = MO.cv_folds(SP.expanding_folds(feats, ["timestamp"], 5), cols, Y, {"n_estimators": 10}, 5)
+    return oof.select("timestamp", "fold", Y, "prediction")
+
+
+@query("c10_train_demand", None)
+def c10_train_demand(spark, sf):
+    """Grid, folds, tuned tree count and final refit; fold summary."""
+    feats, cols = _demand(spark, sf)
+    r = MD.train_demand(feats, cols, Y, CHECK_GRID, 5)
+    return r["summary"].withColumn("final_trees", F.lit(r["params"]["n_estimators"]))
+
+
+@query("t5_top_importances", None)
+def t5_top_importances(spark, sf):
+    """T5: top-10 feature importances of the demand model."""
+    feats, cols = _demand(spark, sf)
+    m = MO.fit_gbt_regressor(feats, cols, Y, {"n_estimators": 10})
+    imp = m.stages[-1].featureImportances.toArray().tolist()
+    rows = spark.createDataFrame(list(zip(cols, [float(v) for v in imp])), "feature string, importance double")
+    return rows.orderBy(F.desc("importance"), "feature").limit(10)
+
+
+@query("m11_gbt_classifier", None)
+def m11_gbt_classifier(spark, sf):
+    """Weighted GBT classifier on no-show features; test probabilities."""
+    feats = MD.no_show_features(base(spark, sf))
+    s = SP.stratified_split(feats, "no_show", feats.columns, 0.2, 42)
+    tr, te = MD.numeric_prep(s.filter(~F.col("is_test")), s.filter(F.col("is_test")))
+    num = ["duration_min", "lead_time_days", "conflicto", "agregada", "ultimahora"] + CYC_COLS
+    m = MO.fit_gbt_classifier(tr, num, "no_show", {"n_estimators": 10, "max_depth": 3}, 2.0)
+    return MO.probability_of_positive(m.transform(te)).select("no_show", "prob")
+
+
+@query("m12_random_search", None)
+def m12_random_search(spark, sf):
+    """Seeded random search, trial log scored by exact ROC-AUC."""
+    feats = MD.no_show_features(base(spark, sf))
+    s = SP.stratified_split(feats, "no_show", feats.columns, 0.2, 42)
+    tr, va = MD.numeric_prep(s.filter(~F.col("is_test")), s.filter(F.col("is_test")))
+    num = ["duration_min", "lead_time_days", "conflicto", "agregada", "ultimahora"] + CYC_COLS
+    return MO.random_search(tr, va, num, "no_show", 3, CHECK_SPACE, 2.0)
+
+
+@query("c10_train_no_show", None)
+def c10_train_no_show(spark, sf):
+    """No-show flow end to end; the evaluation document."""
+    return MD.train_no_show(base(spark, sf), n_trials=2, space=CHECK_SPACE)["evaluation"]
+
+
+@query("m19_batch_scoring", None)
+def m19_batch_scoring(spark, sf):
+    """Batch scoring with probability flag (> 0.6)."""
+    feats = MD.no_show_features(base(spark, sf))
+    tr, te = MD.numeric_prep(feats, feats)
+    num = ["duration_min", "lead_time_days", "conflicto", "agregada", "ultimahora"] + CYC_COLS
+    m = MO.fit_gbt_classifier(tr, num, "no_show", {"n_estimators": 5, "max_depth": 3})
+    return MO.batch_score(m, te, 0.6).select("no_show", "prob", "prediccion_noshow")
+
+
+@query("m20_recursive_forecast", None)
+def m20_recursive_forecast(spark, sf):
+    """24-hour recursive forecast from the last 168 hours."""
+    m = master(spark, sf).select("timestamp", Y)
+    tr = MO.ar_training_frame(m, Y, "timestamp", 168)
+    model = MO.fit_gbt_regressor(tr, MO.ar_feature_columns(), "__label", {"n_estimators": 10})
+    return MO.recursive_forecast(model, m, Y, "timestamp", 24, 168)
+
+
+@query("m21_linear_baseline", None)
+def m21_linear_baseline(spark, sf):
+    """Linear autoregressive baseline scored by M14."""
+    feats, _ = _demand(spark, sf)
+    cols = [f"lag_{k}h" for k in TS.DEFAULT_LAGS]
+    m = MO.linear_baseline(feats, cols, Y)
+    return ME.regression_metrics(m.transform(feats), Y, "prediction")
+
+
+# ---------------------------------------------------------------- sinks
+
+@query("s2_parquet_roundtrip", S.wrap(f"WITH {MASTER_CTES} SELECT * FROM master", ["tiempo_espera", "tiempo_espera_mediana"]))
+def s2_parquet_roundtrip(spark, sf):
+    """The hourly master written as parquet and read back."""
+    path = scratch(spark, "master")
+    IO.write_table(master(spark, sf), path)
+    return IO.read_table(spark, path)
+
+
+@query("s3_guarded_scan", "SELECT * FROM orders")
+def s3_guarded_scan(spark, sf):
+    """S3: guarded scan of an existing table (a missing path gives an
+    empty frame with the declared schema)."""
+    o = IO.read_if_exists(spark, f"{sf}/orders.parquet", None)
+    missing = IO.read_if_exists(spark, f"{sf}/no_such_table.parquet", o.schema)
+    return o.unionByName(missing)
+
+
+@query("s4_json_roundtrip", S.wrap(f"WITH {NAIVE_SQL} SELECT * FROM pf", ["MAE", "RMSE", "R2"]))
+def s4_json_roundtrip(spark, sf):
+    """Fold metrics written as JSON and read back with a schema."""
+    path = scratch(spark, "metrics")
+    pf = _naive_per_fold(spark, sf)
+    IO.write_json(pf, path)
+    return IO.read_json(spark, path, pf.schema)
+
+
+@query("s5_csv_roundtrip", S.wrap(f"WITH {NAIVE_SQL} SELECT * FROM pf", ["MAE", "RMSE", "R2"]))
+def s5_csv_roundtrip(spark, sf):
+    """A trial-style log written as CSV (header) and read back."""
+    path = scratch(spark, "trials")
+    pf = _naive_per_fold(spark, sf)
+    IO.write_csv(pf, path)
+    return IO.read_csv(spark, path, pf.schema)
+
+
+@query("s6_append_predictions", None)
+def s6_append_predictions(spark, sf):
+    """Scored rows appended twice with user and time, read back."""
+    path = scratch(spark, "log")
+    s = scored(spark, sf).select("med", "esp", "prob")
+    IO.append_predictions(s, path, "analyst")
+    IO.append_predictions(s, path, "analyst")
+    return spark.read.parquet(path)
+
+
+@query("s7_prediction_history", S.wrap(f"""WITH {RAW}, {S.CLEAN_APPOINTMENTS}
+SELECT cve_num, appointment_datetime AS timestamp, area AS username, {PROB_SQL} AS prob FROM appt
+WHERE area = '3' ORDER BY appointment_datetime DESC, cve_num DESC LIMIT 10""", ["prob"]))
+def s7_prediction_history(spark, sf):
+    """Newest ten predictions of one user (a top-k)."""
+    a = appts(spark, sf).select("cve_num", F.col("appointment_datetime").alias("timestamp"),
+                                F.col("area").alias("username"),
+                                ((F.col("med").try_cast("bigint") * 7919) % 1000).cast("double") / 1000.0)
+    a = a.withColumnRenamed(a.columns[-1], "prob")
+    return IO.prediction_history(a, "3", 10, "timestamp", "cve_num")
+
+
+@query("s9_model_roundtrip", None)
+def s9_model_roundtrip(spark, sf):
+    """A fitted pipeline saved, loaded and used to score."""
+    feats, cols = _demand(spark, sf)
+    m = MO.fit_gbt_regressor(feats, cols, Y, {"n_estimators": 5})
+    path = scratch(spark, "model")
+    IO.save_model(m, path)
+    return IO.load_model(path).transform(feats).select("timestamp", "prediction")

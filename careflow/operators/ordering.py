@@ -162,3 +162,30 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     row; broadcasting it is a proven-size broadcast.
     """
     return df.join(F.broadcast(one_row), how="inner")
+
+
+def prefix_sums(df: DataFrame, order_cols: Sequence, values: Sequence[str],
+                num_partitions: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Running totals of ``values`` in ``order_cols`` order, distributed.
+
+    Same scheme as :func:`global_index`: range partitions (checkpointed
+    once), running sums inside each partition by a window over that
+    partition only, plus per-partition offsets from a table whose size is
+    the partition count. Adds ``cum_<value>`` columns (``inclusive``:
+    current row counted).
+    """
+    checkpoint_dir(df.sparkSession)
+    n = _num_partitions(df, num_partitions)
+    order = _order_exprs(order_cols)
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("__pid", F.spark_partition_id())
+                .withColumn("__pos", F.monotonically_increasing_id()))
+    ranged = ranged.checkpoint(eager=True)
+    tot = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w), F.lit(0)).alias(f"__o_{v}") for v in values])
+    wp = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    out = ranged.join(F.broadcast(offs), "__pid")
+    out = out.withColumns({f"cum_{v}": F.coalesce(F.sum(v).over(wp), F.lit(0)) + F.col(f"__o_{v}") for v in values})
+    return out.drop("__pid", "__pos", *[f"__o_{v}" for v in values])
