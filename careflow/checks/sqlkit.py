@@ -40,9 +40,10 @@ def p4(x: str) -> str:
 
 
 def ts14(raw: str) -> str:
-    return (f"(CASE WHEN {raw} BETWEEN '16770922000000' AND '22620410235959' "
-            f"AND regexp_full_match({raw}, '\\d{{14}}') AND TRY_CAST(substr({raw}, 13, 2) AS INTEGER) < 60 "
-            f"THEN try_strptime({raw}, '%Y%m%d%H%M%S') END)")
+    t = (f"(CASE WHEN regexp_full_match({raw}, '\\d{{14}}') AND TRY_CAST(substr({raw}, 13, 2) AS INTEGER) < 60 "
+         f"THEN try_strptime({raw}, '%Y%m%d%H%M%S') END)")
+    return (f"(CASE WHEN {t} BETWEEN TIMESTAMP '1677-09-21 00:12:44' AND TIMESTAMP '2262-04-11 23:47:16' "
+            f"THEN {t} END)")
 
 
 def p5(d: str, t: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careflow.functions.text import unicode_trim
+from careflow.functions.text import empty_to_null, unicode_trim
 
 # Pandas can only represent timestamps in this window, so
 # parsed values outside it are null in the reference.
@@ -33,7 +33,7 @@ def _c(c) -> Column:
 
 def _digits(c) -> Column:
     """Strip, blank->null, drop a trailing ``.0``, keep digits only."""
-    s = F.nullif(unicode_trim(c), F.lit(""))
+    s = empty_to_null(unicode_trim(c))
     s = F.regexp_replace(s, r"\.0$", "")
     return F.regexp_replace(s, r"\D", "")
 
@@ -64,6 +64,10 @@ def standardize_hhmmss(c) -> Column:
 
 
 _EPOCH_NTZ = "1970-01-01 00:00:00"
+# Whole-second bounds of what pandas can represent
+# (1677-09-21 00:12:44 .. 2262-04-11 23:47:16) in microseconds since epoch.
+PANDAS_MIN_US = -9223372036000000
+PANDAS_MAX_US = 9223372036000000
 
 
 def _ts_from_digits(raw: Column) -> Column:
@@ -72,14 +76,16 @@ def _ts_from_digits(raw: Column) -> Column:
     The text is parsed with an explicit ``+0000`` offset and turned into a
     wall-clock ``timestamp_ntz`` by epoch arithmetic, so the session time
     zone (and its daylight-saving gaps) never changes the result. Values
-    outside the window pandas can represent are null, as in the reference
-    (compared as 14-digit text, so the input is read a fixed, small number
-    of times).
+    outside the range pandas can represent are null, as in the reference.
+    Every input is referenced once (clamp to sentinels, then drop the
+    sentinels), so filters pushed below this expression cannot multiply
+    the parsing work.
     """
-    ok = F.when(raw.between(F.lit("16770922000000"), F.lit("22620410235959")), raw)
-    parsed = F.try_to_timestamp(F.concat(ok, F.lit("+0000")), F.lit("yyyyMMddHHmmssZ"))
-    return F.timestamp_add("MICROSECOND", F.unix_micros(parsed),
-                           F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
+    parsed = F.try_to_timestamp(F.concat(raw, F.lit("+0000")), F.lit("yyyyMMddHHmmssZ"))
+    lo, hi = F.lit(PANDAS_MIN_US - 1), F.lit(PANDAS_MAX_US + 1)
+    us = F.least(F.greatest(F.unix_micros(parsed), lo), hi)
+    us = F.try_element_at(F.array_except(F.array(us), F.array(lo, hi)), F.lit(1))
+    return F.timestamp_add("MICROSECOND", us, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def parse_datetime(date_col, time_col) -> Column:

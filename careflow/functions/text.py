@@ -35,6 +35,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def empty_to_null(x: Column) -> Column:
+    """``""`` -> null, reading ``x`` once.
+
+    ``nullif`` reads its input twice once Catalyst inlines it into a
+    pushed-down filter, and nested uses then grow exponentially; this
+    form (drop ``""`` from a one-element array, take the first element)
+    keeps every input single-use.
+    """
+    return F.try_element_at(F.array_remove(F.array(x), F.lit("")), F.lit(1))
+
+
 def unicode_trim(c) -> Column:
     """Trim Unicode whitespace at both ends (Python ``str.strip``)."""
     return F.btrim(_c(c).cast("string"), F.lit(WHITESPACE))
@@ -43,7 +54,7 @@ def unicode_trim(c) -> Column:
 def strip_text(c) -> Column:
     """Drop control characters, trim, and map ``""`` to null."""
     s = F.translate(_c(c).cast("string"), CONTROL_CHARS, "")
-    return F.nullif(F.btrim(s, F.lit(WHITESPACE)), F.lit(""))
+    return empty_to_null(F.btrim(s, F.lit(WHITESPACE)))
 
 
 def normalize_code(c) -> Column:

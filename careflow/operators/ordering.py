@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,18 +56,22 @@ def global_index(df: DataFrame, order_cols: Sequence, index_col: str = RN,
     from sampling, so two independent evaluations could cut the data
     differently and per-partition counts would not match positions.
     Checkpointing also cuts the lineage, so a lost executor re-reads the
-    checkpoint instead of re-sampling.
+    checkpoint instead of re-sampling. The input is persisted only while
+    the bounds are sampled and the checkpoint written (so it is computed
+    once), then released; a lost cached block is simply recomputed.
     """
     checkpoint_dir(df.sparkSession)
     n = _num_partitions(df, num_partitions)
     order = _order_exprs(order_cols)
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__mid", F.monotonically_increasing_id()))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sampling and the checkpoint
+    ranged = (src.repartitionByRange(n, *order)
+                 .sortWithinPartitions(*order)
+                 .withColumn("__pid", F.spark_partition_id())
+                 .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn(
         "__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)).drop("__mid")
     ranged = ranged.checkpoint(eager=True)
+    src.unpersist()
     # one row per partition: bounded by the partition count, not the data
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,10 +182,12 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: Sequence[str],
     checkpoint_dir(df.sparkSession)
     n = _num_partitions(df, num_partitions)
     order = _order_exprs(order_cols)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__pos", F.monotonically_increasing_id()))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                 .withColumn("__pid", F.spark_partition_id())
+                 .withColumn("__pos", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
+    src.unpersist()
     tot = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w), F.lit(0)).alias(f"__o_{v}") for v in values])

@@ -120,7 +120,7 @@ def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
     })
     df = _with_dt(df, "triage_datetime", "Fecha", "Hora")
     if "Triage" in df.columns:
-        clean, invalid = P.domain_clean(F.nullif(F.upper(T.unicode_trim("Triage")), F.lit("")), allowed)
+        clean, invalid = P.domain_clean(T.empty_to_null(F.upper(T.unicode_trim("Triage"))), allowed)
         df = df.withColumns({"triage_clean": clean, "triage_invalid": invalid})
     return J.distinct_rows(PR.select_existing(df, TRIAGE_COLUMNS))
 

@@ -21,13 +21,30 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy row-wise work enough tasks.
+
+    A scan of few large row groups yields fewer partitions than the
+    cluster has cores, and everything before the first shuffle then runs
+    in those few tasks. Only in that case the rows are spread round-robin
+    over ``min_partitions`` (default: the session's default parallelism);
+    scans that are already wide (the large-data case) are left as they are.
+    Counting partitions plans the scan but runs no job.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
+               balance: bool = True) -> DataFrame:
     """Parquet scan of a named dataset, with an explicit schema when
-    given (no inference job; unknown columns fail at analysis)."""
+    given (no inference job; unknown columns fail at analysis); narrow
+    scans are spread over the cluster (:func:`spread`)."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(path)
+    df = reader.parquet(path)
+    return spread(df) if balance else df
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
