@@ -34,6 +34,22 @@ BLK = "_blk"
 HOME = "_home"
 
 
+# Largest number of rows one task may order or buffer on its own (a
+# proven bound: counted before the plan is chosen). Above it the
+# distributed forms below are used. Session conf ``careflow.localRows``.
+DEFAULT_LOCAL_ROWS = 2_000_000
+
+
+def local_rows(spark) -> int:
+    return int(spark.conf.get("careflow.localRows", str(DEFAULT_LOCAL_ROWS)))
+
+
+def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
+    """True when ``df`` has at most ``limit`` rows (one counting job)."""
+    lim = limit if limit is not None else local_rows(df.sparkSession)
+    return df.limit(lim + 1).count() <= lim
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -60,9 +76,12 @@ def global_index(df: DataFrame, order_cols: Sequence, index_col: str = RN,
     the bounds are sampled and the checkpoint written (so it is computed
     once), then released; a lost cached block is simply recomputed.
     """
+    order = _order_exprs(order_cols)
+    if fits_one_task(df):
+        # bounded input: one ordered window is cheaper than the distributed form
+        return df.withColumn(index_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     checkpoint_dir(df.sparkSession)
     n = _num_partitions(df, num_partitions)
-    order = _order_exprs(order_cols)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sampling and the checkpoint
     ranged = (src.repartitionByRange(n, *order)
                  .sortWithinPartitions(*order)
@@ -118,13 +137,25 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
     For a group with n non-null values sorted v_0..v_{n-1}, quantile q is
-    ``v_lo + (h - lo) * (v_hi - v_lo)`` with ``h = (n-1)q``. Rows are
-    numbered in (group, value) order by :func:`global_index`; per-group
-    first position and count come from a partial aggregate; only the rows
-    at the needed ranks are kept. Output: group cols, ``q``, ``value``.
+    ``v_lo + (h - lo) * (v_hi - v_lo)`` with ``h = (n-1)q``.
+
+    The largest group is counted first. If it fits one task
+    (``careflow.localRows``), Spark's exact ``percentile`` aggregate is
+    used. Otherwise rows are numbered in (group, value) order by
+    :func:`global_index` (range partitions, so a hot group is split across
+    tasks); per-group first position and count come from a partial
+    aggregate and only the rows at the needed ranks are kept.
+    Output: group cols, ``q``, ``value``.
     """
     qs = [float(q) for q in quantiles]
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    biggest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
+    if biggest <= local_rows(df.sparkSession):
+        # every group has a proven size bound: Spark's exact percentile
+        # aggregate (partial aggregation, at most that many values per group)
+        p = v.groupBy(*group_cols).agg(F.percentile("__v", F.array(*[F.lit(q) for q in qs])).alias("__p"))
+        return p.select(*group_cols, F.posexplode("__p").alias("__i", "value")).select(
+            *group_cols, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("__i") + 1).alias("q"), "value")
     idx = global_index(v, [*group_cols, "__v"], "__r", num_partitions)
     stats = idx.groupBy(*group_cols).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
     qarr = F.array(*[F.lit(q) for q in qs])

@@ -1,10 +1,12 @@
 """Time-series window operators.
 
 Offsets count rows, not hours (the hourly master holds active hours
-only); ``regular=True`` first fills a regular hourly spine (A16). Every
-operator accepts ``series_cols`` and runs its windows over fixed-size
-row blocks with a halo (:func:`careflow.operators.ordering.halo_blocks`),
-so no window partition is larger than one block, with or without series.
+only); apply A16 first for a regular hourly series. Every operator
+accepts ``series_cols``. Inputs above ``careflow.localRows`` rows run
+their windows over fixed-size row blocks with a halo (numbered by
+:func:`careflow.operators.ordering.global_index`), so no window partition
+is larger than one block, with or without series; smaller inputs (an
+hourly table is 8,760 rows a year) use one ordered window.
 """
 
 from __future__ import annotations
@@ -43,18 +45,22 @@ def windowed(df: DataFrame, order: Sequence[str], series: Sequence[str], back: i
              keep_index: bool = False) -> DataFrame:
     """Run ``build(df, window)`` where ``window`` is partitioned by
     (series, block) and ordered by the global row number; frames may reach
-    ``back`` rows before and ``ahead`` rows after the current row."""
+    ``back`` rows before and ``ahead`` rows after the current row.
+
+    When the whole input fits one task (``careflow.localRows``, counted
+    first) the window is simply partitioned by series and ordered by time.
+    """
+    from careflow.operators.ordering import fits_one_task
+    if fits_one_task(df):
+        x = df.withColumn(RN, F.row_number().over(Window.orderBy(*series, *order)).cast("long"))
+        out = build(x, Window.partitionBy(*series).orderBy(RN))
+        return out if keep_index else out.drop(RN)
     x = _blocks(df, order, series, back, ahead, block_rows)
     w = Window.partitionBy(*series, BLK).orderBy(RN)
     out = build(x, w).filter(F.col(HOME)).drop(BLK, HOME)
     return out if keep_index else out.drop(RN)
 
 
-def _series_pos(series: Sequence[str]):
-    """Position of the row inside its series within the block frame."""
-    return None
-
-
 def add_lags(df: DataFrame, value: str, lags: Sequence[int], order: Sequence[str],
              series: Sequence[str] = (), name: str = "lag_{k}h", block_rows: int = 1 << 16) -> DataFrame:
     """``lag(value, k)`` for each k."""
