@@ -7,6 +7,7 @@ of the session, never the driver's local disk.
 
 from __future__ import annotations
 
+import uuid
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Counting partitions plans the scan but runs no job.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # The observed row count (a CollectMetrics node) also keeps predicates on
+    # derived columns above the spread, so parsing in those predicates runs in
+    # the spread tasks instead of the narrow scan; column pruning still
+    # reaches the scan. Wide scans never get here and keep full pushdown.
+    return df.repartition(want).observe(f"careflow_spread_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
