@@ -127,3 +127,11 @@ def a17_resample_mean(spark, sf):
     """Mean valid wait per hour on a regular spine, gaps = 3."""
     n = notes(spark, sf).withColumn("w", F.when(F.col("valid_wait_proxy") == 1, F.col("wait_proxy_min")))
     return H.resample_hourly_mean(n, "arrival_datetime", "w", fill=3.0)
+
+
+@query("a4_no_triage_fallback", S.wrap(f"""WITH {BASE_CTES}, {DEMAND_SQL}
+SELECT timestamp, pacientes_llegando, tiempo_espera, tiempo_espera_mediana, wait_proxy_valid_count,
+       CAST(0 AS BIGINT) AS triage_events, {CAL} FROM demand""", ["tiempo_espera", "tiempo_espera_mediana"]))
+def a4_no_triage_fallback(spark, sf):
+    """A4: without a triage table the master still has triage_events = 0."""
+    return I.hourly_master(notes(spark, sf), None)

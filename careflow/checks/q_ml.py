@@ -483,3 +483,12 @@ def s9_model_roundtrip(spark, sf):
     path = scratch(spark, "model")
     IO.save_model(m, path)
     return IO.load_model(path).transform(feats).select("timestamp", "prediction")
+
+
+@query("p30_minmax_scale", S.wrap(f"""WITH {MASTER_CTES},
+mm AS (SELECT min({Y}) AS lo, max({Y}) AS hi FROM master)
+SELECT timestamp, CASE WHEN hi = lo THEN 0.0 ELSE ({Y} - lo) / (hi - lo) END AS {Y} FROM master CROSS JOIN mm""", [Y]))
+def p30_minmax_scale(spark, sf):
+    """Hourly arrivals scaled to [0, 1]."""
+    m = master(spark, sf).select("timestamp", Y)
+    return FE.apply_minmax(m, FE.fit_minmax(m, [Y]), [Y])
