@@ -1,9 +1,12 @@
 """Hourly demand aggregation.
 
 Hour buckets are a ``groupBy(date_trunc('hour', ts))`` with map-side
-partial aggregation. The exact median of A1 is computed from the global
-(hour, value) order (:func:`careflow.operators.ordering.exact_median`),
-so an hour holding a third of all rows is still split across tasks.
+partial aggregation. The exact median of A1 uses Spark's exact
+percentile only when the busiest hour's value count (known from the
+hourly aggregate itself) fits one task; beyond that it is computed from
+the global (hour, value) order
+(:func:`careflow.operators.ordering.exact_median`), so an hour holding a
+third of all rows is still split across tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 
 from careflow.functions.calendar import floor_hour
 from careflow.functions.parse import TRIAGE_VALUES
-from careflow.operators.ordering import exact_median
+from careflow.operators.ordering import exact_median, local_rows
+from careflow.session import checkpoint_dir
 
 
 def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
@@ -23,9 +27,13 @@ def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
                   out_ts: str = "timestamp", median: str = "exact") -> DataFrame:
     """A1: per hour: arrivals, mean and median wait over valid rows, valid count.
 
-    ``median``: ``exact`` (distributed exact median), ``buffer``
-    (Spark's ``median`` aggregate, buffers each hour's values) or
-    ``approx`` (``percentile_approx``).
+    ``median``: ``exact`` (default), ``buffer`` (Spark's ``median``
+    aggregate, buffers each hour's values) or ``approx``
+    (``percentile_approx``). ``exact`` first builds the hourly aggregate
+    (one row per hour, checkpointed); its valid-wait counts bound the
+    values per hour, so Spark's exact percentile is used when the busiest
+    hour fits one task (``careflow.localRows``) and the distributed
+    sort-based median otherwise.
     """
     base = (notes.filter(F.col(ts).isNotNull())
                  .select(floor_hour(ts).alias(out_ts),
@@ -34,16 +42,21 @@ def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
     aggs = [F.count(F.lit(1)).alias("pacientes_llegando"),
             F.avg("__w").alias("tiempo_espera"),
             F.coalesce(F.sum("__valid"), F.lit(0)).cast("long").alias("wait_proxy_valid_count")]
+    cols = [out_ts, "pacientes_llegando", "tiempo_espera", "tiempo_espera_mediana", "wait_proxy_valid_count"]
     if median == "buffer":
-        aggs.insert(2, F.median("__w").alias("tiempo_espera_mediana"))
-    elif median == "approx":
-        aggs.insert(2, F.percentile_approx("__w", 0.5, 10000).cast("double").alias("tiempo_espera_mediana"))
-    out = base.groupBy(out_ts).agg(*aggs)
-    if median == "exact":
+        return base.groupBy(out_ts).agg(*aggs, F.median("__w").alias("tiempo_espera_mediana")).select(*cols)
+    if median == "approx":
+        return base.groupBy(out_ts).agg(
+            *aggs, F.percentile_approx("__w", 0.5, 10000).cast("double").alias("tiempo_espera_mediana")).select(*cols)
+    checkpoint_dir(notes.sparkSession)
+    hourly = base.groupBy(out_ts).agg(*aggs, F.count("__w").alias("__n_w")).checkpoint(eager=True)
+    busiest = hourly.agg(F.max("__n_w")).first()[0] or 0
+    if busiest <= local_rows(notes.sparkSession):
+        med = base.filter(F.col("__w").isNotNull()).groupBy(out_ts).agg(
+            F.percentile("__w", F.lit(0.5)).alias("tiempo_espera_mediana"))
+    else:
         med = exact_median(base, [out_ts], "__w", "tiempo_espera_mediana")
-        out = out.join(med, out_ts, "left")
-    return out.select(out_ts, "pacientes_llegando", "tiempo_espera",
-                      "tiempo_espera_mediana", "wait_proxy_valid_count")
+    return hourly.join(med, out_ts, "left").select(*cols)
 
 
 def hourly_events(df: DataFrame, ts: str, out_ts: str = "timestamp",

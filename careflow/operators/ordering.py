@@ -50,6 +50,17 @@ def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
     return df.limit(lim + 1).count() <= lim
 
 
+def materialize_if_small(df: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """Checkpoint at most ``limit + 1`` rows of ``df``; when that holds all
+    of ``df``, return the checkpointed copy (so the input is computed once
+    and later reads are lineage-free), else ``None`` (large input; the
+    bounded sample written is discarded)."""
+    lim = limit if limit is not None else local_rows(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    cp = df.limit(lim + 1).checkpoint(eager=True)
+    return cp if cp.count() <= lim else None
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)

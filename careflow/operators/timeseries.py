@@ -50,9 +50,10 @@ def windowed(df: DataFrame, order: Sequence[str], series: Sequence[str], back: i
     When the whole input fits one task (``careflow.localRows``, counted
     first) the window is simply partitioned by series and ordered by time.
     """
-    from careflow.operators.ordering import fits_one_task
-    if fits_one_task(df):
-        x = df.withColumn(RN, F.row_number().over(Window.orderBy(*series, *order)).cast("long"))
+    from careflow.operators.ordering import materialize_if_small
+    small = materialize_if_small(df)
+    if small is not None:
+        x = small.withColumn(RN, F.row_number().over(Window.orderBy(*series, *order)).cast("long"))
         out = build(x, Window.partitionBy(*series).orderBy(RN))
         return out if keep_index else out.drop(RN)
     x = _blocks(df, order, series, back, ahead, block_rows)
