@@ -144,13 +144,15 @@ def finish_blocks(df: DataFrame, keep_index: bool = False) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    quantiles: Iterable[float], num_partitions: int | None = None) -> DataFrame:
+                    quantiles: Iterable[float], num_partitions: int | None = None,
+                    max_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
     For a group with n non-null values sorted v_0..v_{n-1}, quantile q is
     ``v_lo + (h - lo) * (v_hi - v_lo)`` with ``h = (n-1)q``.
 
-    The largest group is counted first. If it fits one task
+    The largest group is counted first (or given as ``max_group_rows`` by
+    a caller that already aggregated the groups). If it fits one task
     (``careflow.localRows``), Spark's exact ``percentile`` aggregate is
     used. Otherwise rows are numbered in (group, value) order by
     :func:`global_index` (range partitions, so a hot group is split across
@@ -160,7 +162,9 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     qs = [float(q) for q in quantiles]
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    biggest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
+    biggest = max_group_rows
+    if biggest is None:
+        biggest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
     if biggest <= local_rows(df.sparkSession):
         # every group has a proven size bound: Spark's exact percentile
         # aggregate (partial aggregation, at most that many values per group)

@@ -210,11 +210,14 @@ def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
                       .alias(c) for c in cols])
     long = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x"))
                                           for c in cols])).alias("p")).select("p.*")
+    from careflow.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     mom = long.groupBy("column").agg(
         F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("long")).alias("missing"),
         F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
-        F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1"))
-    q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
+        F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)  # one row per column
+    biggest = mom.agg(F.max("count")).first()[0] or 0
+    q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75], max_group_rows=biggest)
     qw = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
                                  F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
                                  F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))

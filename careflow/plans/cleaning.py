@@ -2,7 +2,9 @@
 
 Each is one lazy projection over the raw table followed by a full-row
 distinct (D1) or keep-first dedup (D2); column lists are the reference's,
-filtered to the columns that exist (P17).
+filtered to the columns that exist (P17). A raw input read from few large
+row groups is first spread over the cluster (``sources.io.spread``) so the
+parsing runs in parallel.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from careflow.functions import text as T
 from careflow.functions.calendar import add_calendar_features
 from careflow.operators import joins as J
 from careflow.operators import projection as PR
+from careflow.sources.io import spread
 
 # Code columns normalised per table and output columns kept.
 ENCOUNTER_CODES = ["p_area", "p_status", "p_sexo", "p_tpo_pac", "p_tpo_cita",
@@ -57,6 +60,7 @@ def _key(df: DataFrame, col: str):
 
 def clean_encounters(raw: DataFrame) -> DataFrame:
     """Encounters (hospac)."""
+    raw = spread(raw)
     df = PR.normalize_codes(PR.strip_strings(raw), ENCOUNTER_CODES)
     df = df.withColumns({
         "area_key": _key(df, "p_area"),
@@ -72,6 +76,7 @@ def clean_encounters(raw: DataFrame) -> DataFrame:
 
 def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> DataFrame:
     """Appointments (hosagd) with the no-show label."""
+    raw = spread(raw)
     df = PR.normalize_codes(PR.strip_strings(raw), APPOINTMENT_CODES)
     df = df.withColumns({
         "area_key": _key(df, "area"),
@@ -94,6 +99,7 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
     """Patients (hosmpi); one row per file number, the first in
     ``order_by`` (default: the parquet file row index when readable,
     else the key itself)."""
+    raw = spread(raw)
     df = PR.normalize_codes(PR.strip_strings(raw), PATIENT_CODES)
     df = PR.null_out_codes(df, T.NONINFORMATIVE_CODES)
     df = df.withColumn("m_num_exp_key", _key(df, "m_num_exp"))
@@ -113,6 +119,7 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
 
 def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
     """C4: triage records with a domain-checked category."""
+    raw = spread(raw)
     df = PR.normalize_codes(PR.strip_strings(raw), TRIAGE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),
@@ -127,6 +134,7 @@ def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
 
 def clean_notes(raw: DataFrame, max_wait_min: float = 1440.0) -> DataFrame:
     """Emergency notes with the wait proxy (note time - arrival)."""
+    raw = spread(raw)
     df = PR.normalize_codes(PR.strip_strings(raw), NOTE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),

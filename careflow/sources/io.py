@@ -43,10 +43,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
-               balance: bool = True) -> DataFrame:
+               balance: bool = False) -> DataFrame:
     """Parquet scan of a named dataset, with an explicit schema when
-    given (no inference job; unknown columns fail at analysis); narrow
-    scans are spread over the cluster (:func:`spread`)."""
+    given (no inference job; unknown columns fail at analysis). Filters
+    and projections reach the scan; ``balance`` spreads a narrow scan
+    (:func:`spread`), which the cleaners do themselves before parsing."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
