@@ -33,6 +33,17 @@ def normalize_codes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: T.normalize_code(c) for c in cols}) if cols else df
 
 
+def strip_and_normalize(df: DataFrame, code_columns: Iterable[str]) -> DataFrame:
+    """P1 on every string column, then P2 on the listed code columns.
+
+    Same result as ``normalize_codes(strip_strings(df), cols)``: stripping
+    is idempotent, so the code columns only need upper-casing after P1.
+    """
+    out = strip_strings(df)
+    cols = [c for c in code_columns if c in out.columns]
+    return out.withColumns({c: F.upper(c) for c in cols}) if cols else out
+
+
 def null_out_codes(df: DataFrame, replacements: dict) -> DataFrame:
     """Per column, upper/trim then null when in the given set."""
     cols = {c: T.null_out_codes(c, vals) for c, vals in replacements.items() if c in df.columns}

@@ -202,32 +202,45 @@ def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Count, missing, min, q1, median, mean, q3, max, sample std,
-    bias-corrected skew and IQR outliers per column (exact quantiles from
-    the distributed global order; a second pass counts outliers)."""
+    bias-corrected skew and IQR outliers per column.
+
+    The (column, value) pairs are persisted while the three small results
+    (moments, exact quartiles, outlier counts; one row per column each) are
+    checkpointed, then released, so the input is computed once. Quartiles
+    use the moments' counts as the per-column bound
+    (:func:`careflow.operators.ordering.exact_quantiles`).
+    """
+    from pyspark import StorageLevel
+
     from careflow.functions.parse import safe_numeric
+    from careflow.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     cols = [c for c in columns if c in df.columns]
     num = df.select(*[(safe_numeric(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double"))
                       .alias(c) for c in cols])
     long = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x"))
                                           for c in cols])).alias("p")).select("p.*")
-    from careflow.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    mom = long.groupBy("column").agg(
-        F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("long")).alias("missing"),
-        F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
-        F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)  # one row per column
-    biggest = mom.agg(F.max("count")).first()[0] or 0
-    q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75], max_group_rows=biggest)
-    qw = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-                                 F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
-                                 F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mom = long.groupBy("column").agg(
+            F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("long")).alias("missing"),
+            F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
+            F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)
+        biggest = mom.agg(F.max("count")).first()[0] or 0
+        q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75], max_group_rows=biggest)
+        qw = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
+                                     F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
+                                     F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3")).checkpoint(eager=True)
+        fences = qw.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
+                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
+        out = long.join(F.broadcast(fences), "column").groupBy("column").agg(  # one row per column
+            F.sum(((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi"))).cast("long")).alias("iqr_outliers")
+        ).checkpoint(eager=True)
+    finally:
+        long.unpersist()
     prof = mom.join(qw, "column", "left")
     n = F.col("count").cast("double")
     prof = prof.withColumn("skew", F.when(n > 2, F.col("__g1") * F.sqrt(n * (n - 1)) / (n - 2))).drop("__g1")
-    fences = prof.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
-                         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
-    out = long.join(F.broadcast(fences), "column").groupBy("column").agg(
-        F.sum(((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi"))).cast("long")).alias("iqr_outliers"))
     prof = prof.join(out, "column", "left").fillna({"iqr_outliers": 0})
     return prof.select("column", "count", "missing", "min", "q1", "median", "mean", "q3", "max", "std", "skew",
                        "iqr_outliers")

@@ -61,7 +61,7 @@ def _key(df: DataFrame, col: str):
 def clean_encounters(raw: DataFrame) -> DataFrame:
     """Encounters (hospac)."""
     raw = spread(raw)
-    df = PR.normalize_codes(PR.strip_strings(raw), ENCOUNTER_CODES)
+    df = PR.strip_and_normalize(raw, ENCOUNTER_CODES)
     df = df.withColumns({
         "area_key": _key(df, "p_area"),
         "cve_num_key": _key(df, "p_res_cve_num"),
@@ -77,7 +77,7 @@ def clean_encounters(raw: DataFrame) -> DataFrame:
 def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> DataFrame:
     """Appointments (hosagd) with the no-show label."""
     raw = spread(raw)
-    df = PR.normalize_codes(PR.strip_strings(raw), APPOINTMENT_CODES)
+    df = PR.strip_and_normalize(raw, APPOINTMENT_CODES)
     df = df.withColumns({
         "area_key": _key(df, "area"),
         "cve_num_key": _key(df, "cve_num"),
@@ -100,7 +100,7 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
     ``order_by`` (default: the parquet file row index when readable,
     else the key itself)."""
     raw = spread(raw)
-    df = PR.normalize_codes(PR.strip_strings(raw), PATIENT_CODES)
+    df = PR.strip_and_normalize(raw, PATIENT_CODES)
     df = PR.null_out_codes(df, T.NONINFORMATIVE_CODES)
     df = df.withColumn("m_num_exp_key", _key(df, "m_num_exp"))
     if "m_edad" in df.columns:
@@ -120,7 +120,7 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
 def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
     """C4: triage records with a domain-checked category."""
     raw = spread(raw)
-    df = PR.normalize_codes(PR.strip_strings(raw), TRIAGE_CODES)
+    df = PR.strip_and_normalize(raw, TRIAGE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),
         "clave_ingreso_key": _key(df, "ClaveIngreso"),
@@ -135,7 +135,7 @@ def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
 def clean_notes(raw: DataFrame, max_wait_min: float = 1440.0) -> DataFrame:
     """Emergency notes with the wait proxy (note time - arrival)."""
     raw = spread(raw)
-    df = PR.normalize_codes(PR.strip_strings(raw), NOTE_CODES)
+    df = PR.strip_and_normalize(raw, NOTE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),
         "clave_ingreso_key": _key(df, "ClaveIngreso"),
