@@ -16,10 +16,6 @@ from careflow.sources import io as IO
 BASE = f"{RAW}, {S.NO_SHOW_BASE}"
 
 
-def _unpivot_sql(src: str, cols, measure_sql, names) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS column, {measure_sql(c)} FROM {src}" for c in cols)
-
-
 ENC_COLS = ["area_key", "cve_num_key", "cve_mbo_key", "p_num_exp_key", "p_area", "p_status", "p_sexo",
             "reservation_datetime", "arrival_datetime", "registration_datetime"]
 ENC_TYPES = {"reservation_datetime": "timestamp_ntz", "arrival_datetime": "timestamp_ntz",

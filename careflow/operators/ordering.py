@@ -111,38 +111,32 @@ def global_index(df: DataFrame, order_cols: Sequence, index_col: str = RN,
                .drop("__pid", "__pos", "__off"))
 
 
-def halo_blocks(df: DataFrame, order_cols: Sequence, halo: int,
-                series_cols: Sequence[str] = (), block_rows: int = 1 << 16,
-                num_partitions: int | None = None) -> DataFrame:
+def halo_blocks(df: DataFrame, order_cols: Sequence, halo: int, series_cols: Sequence[str] = (),
+                block_rows: int = 1 << 16, ahead: int = 0, num_partitions: int | None = None) -> DataFrame:
     """Number rows (series first, then ``order_cols``) and assign blocks.
 
-    Adds ``_rn`` (global position), ``_blk`` and ``_home``. Rows whose
-    position inside their block is within ``halo`` of the end are also
-    emitted (``_home`` false) into the next block. Window specs use
+    Adds ``_rn`` (global position), ``_blk`` and ``_home``. Rows within
+    ``halo`` of the end of their block are also emitted (``_home`` false)
+    into the next block, and rows within ``ahead`` of its start into the
+    previous one. Window specs use
     ``Window.partitionBy(*series_cols, "_blk").orderBy("_rn")``; afterwards
     keep ``_home`` rows. Each window partition holds at most
-    ``block_rows + halo`` rows whatever the skew.
+    ``block_rows + halo + ahead`` rows whatever the skew.
     """
-    b = max(int(block_rows), 4 * int(halo) + 1)
+    b = max(int(block_rows), 4 * (int(halo) + int(ahead)) + 1)
     idx = global_index(df, [*series_cols, *order_cols], RN, num_partitions)
     zero_based = F.col(RN) - F.lit(1)
     blk = F.floor(zero_based / F.lit(b)).cast("long")
     pos = zero_based - blk * F.lit(b)
-    targets = F.when(pos >= F.lit(b - halo), F.array(blk, blk + F.lit(1))).otherwise(F.array(blk)) \
-        if halo > 0 else F.array(blk)
+    targets = F.array(blk)
+    if halo > 0:
+        targets = F.when(pos >= F.lit(b - halo), F.array_append(targets, blk + 1)).otherwise(targets)
+    if ahead > 0:
+        targets = F.when(pos < F.lit(ahead), F.array_append(targets, blk - 1)).otherwise(targets)
     out = idx.withColumn("__home_blk", blk).withColumn(BLK, F.explode(targets))
     return out.withColumn(HOME, F.col(BLK) == F.col("__home_blk")).drop("__home_blk")
 
 
-def block_window(series_cols: Sequence[str] = ()):
-    return Window.partitionBy(*series_cols, BLK).orderBy(RN)
-
-
-def finish_blocks(df: DataFrame, keep_index: bool = False) -> DataFrame:
-    out = df.filter(F.col(HOME)).drop(BLK, HOME)
-    return out if keep_index else out.drop(RN)
-
-
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     quantiles: Iterable[float], num_partitions: int | None = None,
                     max_group_rows: int | None = None) -> DataFrame:

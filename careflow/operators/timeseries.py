@@ -17,29 +17,13 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.operators.ordering import (BLK, HOME, RN, attach_scalars, global_index)
+from careflow.operators.ordering import BLK, HOME, RN, attach_scalars, global_index, halo_blocks
 
 # Reference defaults for the demand features.
 DEFAULT_LAGS = (1, 2, 3, 6, 12, 24)
 DEFAULT_WINDOWS = (3, 6, 12, 24)
 
 
-def _blocks(df: DataFrame, order: Sequence[str], series: Sequence[str], back: int, ahead: int,
-            block_rows: int) -> DataFrame:
-    b = max(int(block_rows), 4 * (back + ahead) + 1)
-    idx = global_index(df, [*series, *order], RN)
-    zb = F.col(RN) - F.lit(1)
-    blk = F.floor(zb / F.lit(b)).cast("long")
-    pos = zb - blk * F.lit(b)
-    targets = F.array(blk)
-    if back > 0:
-        targets = F.when(pos >= F.lit(b - back), F.array_append(targets, blk + 1)).otherwise(targets)
-    if ahead > 0:
-        targets = F.when(pos < F.lit(ahead), F.array_append(targets, blk - 1)).otherwise(targets)
-    out = idx.withColumn("__hb", blk).withColumn(BLK, F.explode(targets))
-    return out.withColumn(HOME, F.col(BLK) == F.col("__hb")).drop("__hb")
-
-
 def windowed(df: DataFrame, order: Sequence[str], series: Sequence[str], back: int, ahead: int,
              build: Callable[[DataFrame, Window], DataFrame], block_rows: int = 1 << 16,
              keep_index: bool = False) -> DataFrame:
@@ -56,7 +40,7 @@ def windowed(df: DataFrame, order: Sequence[str], series: Sequence[str], back: i
         x = small.withColumn(RN, F.row_number().over(Window.orderBy(*series, *order)).cast("long"))
         out = build(x, Window.partitionBy(*series).orderBy(RN))
         return out if keep_index else out.drop(RN)
-    x = _blocks(df, order, series, back, ahead, block_rows)
+    x = halo_blocks(df, order, back, series, block_rows, ahead)
     w = Window.partitionBy(*series, BLK).orderBy(RN)
     out = build(x, w).filter(F.col(HOME)).drop(BLK, HOME)
     return out if keep_index else out.drop(RN)

@@ -75,3 +75,13 @@ def test_running_max_distributed(distributed):
         best.append(m)
     assert [r.best_so_far for r in out] == best
     assert [r.is_best for r in out] == [1, 0, 1, 0, 1, 1, 0, 0, 0, 0, 0]
+
+
+def test_lookahead_sequences_distributed(distributed):
+    spark = distributed
+    rows = [(t, float(t % 9)) for t in range(60)]
+    df = spark.createDataFrame(rows, "t int, y double")
+    got = TS.sequences(df, "y", ["t"], 4, 3, block_rows=7).orderBy("t").collect()
+    ys = [y for _, y in rows]
+    exp = [(t, ys[t - 4:t], ys[t:t + 3]) for t in range(4, 60 - 2)]
+    assert [(r.t, list(r.x_seq), list(r.y_seq)) for r in got] == exp
