@@ -43,9 +43,39 @@ def week_of_year(ts) -> Column:
     return F.weekofyear(_c(ts))
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def wall_micros(ts) -> Column:
+    """Microseconds from 1970-01-01 00:00 to a timestamp_ntz's wall clock.
+
+    Built from the value's text with an explicit ``Z`` zone, so neither the
+    session time zone nor its daylight-saving gaps enter (``timestamp_diff``
+    on timestamp_ntz converts through the session zone); reads ``ts`` once.
+    """
+    return F.unix_micros(F.concat(_c(ts).cast("string"), F.lit("Z")).cast("timestamp"))
+
+
+def floor_to(ts, unit_us: int) -> Column:
+    """Floor a timestamp_ntz to a multiple of ``unit_us`` microseconds.
+
+    Wall-clock arithmetic on timestamp_ntz (``date_trunc`` and
+    ``date_format`` go through the session time zone and move times that
+    fall in a daylight-saving gap); reads ``ts`` once.
+    """
+    epoch = F.lit(_EPOCH_NTZ).cast("timestamp_ntz")
+    units = F.floor(wall_micros(ts) / F.lit(float(unit_us)))  # exact: |us| < 2**53 in the supported range
+    return F.timestamp_add("MICROSECOND", units * F.lit(unit_us), epoch)
+
+
 def floor_hour(ts) -> Column:
-    """Truncate to the hour, keeping timestamp_ntz."""
-    return F.date_trunc("hour", _c(ts)).cast("timestamp_ntz")
+    """Truncate to the hour, keeping timestamp_ntz (session-zone free)."""
+    return floor_to(ts, 3_600_000_000)
+
+
+def floor_day(ts) -> Column:
+    """Truncate to the day, keeping timestamp_ntz (session-zone free)."""
+    return floor_to(ts, 86_400_000_000)
 
 
 def cyclical(df: DataFrame, cols: dict, drop: bool = True) -> DataFrame:

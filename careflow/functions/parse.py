@@ -145,14 +145,20 @@ def label_map(c, mapping: dict | None = None) -> Column:
     return expr
 
 
+def _wall_diff(start, end) -> Column:
+    from careflow.functions.calendar import wall_micros
+    return wall_micros(end) - wall_micros(start)
+
+
 def minutes_between(start, end) -> Column:
-    """(end - start) in minutes as double."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(60_000_000.0)
+    """(end - start) in minutes as double, on the wall clock (naive
+    timestamps, as pandas), whatever the session time zone."""
+    return _wall_diff(start, end) / F.lit(60_000_000.0)
 
 
 def days_between(start, end) -> Column:
-    """(end - start) in days as double."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(86_400_000_000.0)
+    """(end - start) in days as double (wall clock)."""
+    return _wall_diff(start, end) / F.lit(86_400_000_000.0)
 
 
 def within_flag(c, lo: float = 0.0, hi: float = 1440.0) -> Column:

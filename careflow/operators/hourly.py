@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careflow.functions.calendar import floor_hour
+from careflow.functions.calendar import floor_day, floor_hour
 from careflow.functions.parse import TRIAGE_VALUES
 from careflow.operators.ordering import exact_median, local_rows
 from careflow.session import checkpoint_dir
@@ -97,9 +97,7 @@ def hour_spine(df: DataFrame, ts: str, out_ts: str = "timestamp") -> DataFrame:
     """
     rng = df.agg(F.min(floor_hour(ts)).alias("__lo"), F.max(floor_hour(ts)).alias("__hi"))
     days = rng.select("__lo", "__hi", F.explode(F.sequence(
-        F.date_trunc("day", "__lo").cast("timestamp_ntz"),
-        F.date_trunc("day", "__hi").cast("timestamp_ntz"),
-        F.expr("INTERVAL 1 DAY"))).alias("__day"))
+        floor_day("__lo"), floor_day("__hi"), F.expr("INTERVAL 1 DAY"))).alias("__day"))
     days = days.repartition("__day")
     hours = days.select("__lo", "__hi", F.explode(F.sequence(
         F.col("__day"), F.col("__day") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias(out_ts))

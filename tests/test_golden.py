@@ -138,3 +138,17 @@ def test_m2_exact_sizes(spark):
     s = SP.stratified_split(df, "y", ["id"], 0.2, 42)
     sizes = {(r.y, r.is_test): r.n for r in s.groupBy("y", "is_test").agg(F.count("*").alias("n")).collect()}
     assert sizes[(1, True)] == round(26 * 0.2) and sizes[(0, True)] == round(77 * 0.2)
+
+
+def test_hour_floor_and_durations_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(dt.datetime(2024, 3, 10, 1, 50), dt.datetime(2024, 3, 10, 2, 10))]  # 02:10 is in a New York DST gap
+    try:
+        out = []
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+            out.append(tuple(df.select(CAL.floor_hour("b"), P.minutes_between("a", "b")).first()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out[0] == out[1] == (dt.datetime(2024, 3, 10, 2, 0), 20.0)
