@@ -2,8 +2,8 @@
 
 Library code never creates a session; tests, the bench and command-line
 use call :func:`build_session`. :func:`checkpoint_dir` honours the
-cluster's ``spark.checkpoint.dir`` and only falls back to a scratch folder
-when the session has none (local tests).
+cluster's ``spark.checkpoint.dir`` and sets a scratch folder only when a
+local session has none (tests).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.ansi.enabled": "true",
     "spark.driver.memory": "12g",
+    # checkpoint files go when their DataFrame does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,8 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; set one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only a session without it (local tests) gets a fresh
-    scratch folder, registered so that ``DataFrame.checkpoint()`` works.
+    used as is; without it a cluster session is refused. Only a session with
+    a ``local`` master gets a fresh scratch folder, registered so that
+    ``DataFrame.checkpoint()`` works.
     """
     sc = spark.sparkContext
     current = (spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="careflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
