@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careflow.llm import packing, tokencount
+from careflow.llm import fingerprint, minhash, packing, tokencount
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op9_token_counts(spark, sf_dir):
 def op4_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate classes of all documents by circulant MinHash."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_prefix_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents"))
