@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared checkpoint folder.
 
     Lineage ends there, so a lost executor costs no recomputation, and every
-    later reader sees the same rows.
+    later reader sees the same rows. Files of shuffles that nothing refers to
+    any more go when the driver's JVM collects its garbage, so it is asked to.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,30 +48,16 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to a dict of columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    struct = StructType.fromDDL(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(struct)
-        for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [as_arrow(cols[f.name], f.type) for f in out], schema=out)
-
-    return df.mapInArrow(run, struct)
-
-
-def as_arrow(values, kind: pa.DataType) -> pa.Array:
-    if isinstance(values, pa.ChunkedArray):
-        values = values.combine_chunks()
-    if isinstance(values, pa.Array):
-        return values if values.type == kind else values.cast(kind)
-    return pa.array(values, type=kind)
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes in a column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            done = ends[a - 1] if a else 0
+            b = max(int(np.searchsorted(ends, done + size, "right")), a + 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.common import cut, edge_components, mix64
+from careflow.llm.common import cut, edge_components, mix64, slices
 from careflow.llm.shingles import WORDS, shingle_sets
 
 BANDS, ROWS = 50, 5
@@ -60,7 +60,7 @@ def features(docs: DataFrame, key: str, text: str, bands: int, rows: int, words:
     salt = mix64(np.arange(bands, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             names, out = [], []
             for s in sets:
@@ -86,14 +86,12 @@ def sets_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                sets = shingle_sets(part.column(1), words)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["node", "shingles"])
+        for part in slices(batches, 1):
+            sets = shingle_sets(part.column(1), words)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))],
+                names=["node", "shingles"])
 
     return docs.select(key, text).mapInArrow(run, f"node {kind}, shingles array<long>")
 
@@ -123,7 +121,8 @@ def between_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, w
     """
     sets = sets_of(docs.select(key, text).join(nodes.select(F.col("node").alias(key)), key, "left_semi"),
                    key, text, words)
-    shingles = cut(sets.select("node", F.explode("shingles").alias("shingle")).distinct().join(nodes, "node"))
+    # repeated rows only make the filter wider
+    shingles = sets.select("node", F.explode("shingles").alias("shingle")).join(nodes, "node")
     shared = (shingles.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                               F.count("*").alias("df")).where("lo < hi").select("shingle", "df"))
     own = Window.partitionBy("node")
@@ -158,20 +157,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows_of = cut(features(keyed, key, text, bands, rows, words))
     classes = (rows_of.where("set_key is not null").groupBy("set_key")
                .agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    nodes = classes.select("node", "n", "bands")
-    buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("m"))
-    members = cut(buckets.join(shared.where("m > 1").drop("m"), ["band", "bucket"])
-                  .select("node", "n", "first", F.xxhash64("band", "bucket").alias("bucket")))
+    classes = cut(classes)
+    sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
+    # a bucket's name is salted with its band
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    members = cut(buckets.join(shared.where("first < last").drop("last"), "bucket")
+                  .where("node <> first").join(sizes, "node"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Without the pairs whose set sizes alone rule a link out."""
         return (pairs.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
                 .select("a", "b").distinct())
 
-    size_of = members.select(F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = sized(members.where("node <> first").select(F.col("node").alias("a"), F.col("n").alias("na"),
-                                                        F.col("first").alias("b")).distinct().join(size_of, "b"))
+    stars = sized(members.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("first").alias("b"))
+                  .distinct().join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b"))
     own = rows_of.where("set_key is not null").select(key, "set_key").join(
         classes.select("set_key", F.col("node").alias("_node")), "set_key")
     # a key that stands in several classes ties them together
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     repeated = own.join(repeated, key).where("_node <> a").select("a", F.col("_node").alias("b")).distinct()
     edges = cut(confirmed(stars, keyed, key, text, words, num, den).unionByName(repeated))
     found = edge_components(edges)
+    # every member has been held against its bucket's first: only the others are left
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     left = placed.join(mixed.where("lo < hi"), "bucket").select("node", "n", "component").distinct()
