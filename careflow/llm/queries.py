@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careflow.llm import fingerprint, minhash, packing, tokencount
+from careflow.llm import fingerprint, minhash, packing, repeats, tokencount
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def op1_minhash_near_dedup(spark, sf_dir):
 def op8_prefix_fingerprints(spark, sf_dir):
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    """All documents without the bytes of strings of 400 bytes that occur elsewhere."""
+    return repeats.without_repeats(read(spark, sf_dir, "documents"))

@@ -23,7 +23,7 @@ _BYTE = _random_words(256, 7)
 _PLACE = _random_words(64, 11) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and of its inverse."""
     base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
     with np.errstate(over="ignore"):
@@ -35,6 +35,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix polynomial hashes of bytes, and the factors that place spans alike:
+    (sums[b] - sums[a]) * factors[a] is a value of the bytes from a to b alone."""
+    n = len(raw)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    return sums, down
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch in order, and each row's first word (n + 1)."""
     raw, rows = text_bytes(column)
@@ -48,10 +59,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin[inner] = solid[1:-1][inner]          # a row's first byte begins a word
     end[inner - 1] = solid[1:-1][inner - 1]    # and its last byte ends one
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _powers(n + 1)
+    total, down = prefix_sums(_LOWER[raw])
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])
         hashes = mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * _ODD)
     return hashes, np.searchsorted(start, rows)
 
