@@ -23,15 +23,21 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared checkpoint folder.
 
     Lineage ends there, so a lost executor costs no recomputation, and every
-    later reader sees the same rows. Files of shuffles that nothing refers to
-    any more go when the driver's JVM collects its garbage, so it is asked to.
+    later reader sees the same rows.
     """
+    tidy(df.sparkSession)
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
+    return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of files that nothing refers to any more.
+
+    Files of finished shuffles and old checkpoints go when the driver's JVM
+    collects its garbage, which between two steps of a long query it is asked to.
+    """
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def tokenizer_path(name: str) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import cut, mix64, slices, text_bytes
+from careflow.llm.common import cut, mix64, slices, text_bytes, tidy
 from careflow.llm.shingles import prefix_sums
 
 LENGTH = 400
@@ -103,8 +103,8 @@ def positions(docs: DataFrame, key: str, text: str, length: int, window: int) ->
 
 def doubled(rows: DataFrame, pair: list[str]) -> DataFrame:
     """One round: rows whose pair is not unique, ranked by the sorted pairs."""
-    pairs = rows.groupBy(*pair).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    ranked = cut(pairs.orderBy(*pair).withColumn("_rank", F.monotonically_increasing_id()))
+    ranked = cut(rows.groupBy(*pair).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+                 .orderBy(*pair).withColumn("_rank", F.monotonically_increasing_id()))
     return cut(rows.join(ranked, pair).drop(*pair).withColumnRenamed("_rank", "rank"))
 
 
@@ -153,15 +153,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, window: in
     lone = classes.where("n = 1").select("rank").distinct()
     wanted = classes.join(lone, "rank", "left_semi").select(
         "first.*", "rank", starts.alias("starts"), (F.col("n") == 1).alias("lone"))
-    singles = single_starts(docs, wanted, key, text, length)
-    if not wanted.isEmpty():
-        # a string among its position's others: few, so its rows are written once
-        singles = cut(singles)
-        again = singles.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        found = singles.where("lone").join(again, ["rank", "string"])
-        whole = whole.unionByName(found.select(key, "text_hash", "start", F.lit(length).alias("bytes")))
-    return whole.groupBy(key, "text_hash").agg(
-        F.collect_list(F.struct("start", F.col("bytes").cast("long").alias("bytes"))).alias("spans"))
+    singles = cut(single_starts(docs, wanted, key, text, length))
+    again = singles.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = singles.where("lone").join(again, ["rank", "string"])
+    whole = whole.unionByName(found.select(key, "text_hash", "start", F.lit(length).alias("bytes")))
+    return cut(whole.groupBy(key, "text_hash").agg(
+        F.collect_list(F.struct("start", F.col("bytes").cast("long").alias("bytes"))).alias("spans")))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -179,6 +176,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(key, text).withColumn("text_hash", F.xxhash64(text))
     spans = repeated_spans(docs, key, text, length, window)
+    tidy(docs.sparkSession)
     joined = (docs.alias("d").join(spans.alias("x"), _same(key), "left")
               .select(f"d.{key}", f"d.{text}", "x.spans"))
     fields = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
