@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careflow.llm import fingerprint, minhash, packing, repeats, tokencount
+from careflow.llm import fingerprint, language, minhash, neighbours, packing, repeats, tokencount
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,15 @@ def op8_prefix_fingerprints(spark, sf_dir):
 def op2_suffix_dedup(spark, sf_dir):
     """All documents without the bytes of strings of 400 bytes that occur elsewhere."""
     return repeats.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """Language mixtures of all documents."""
+    return language.predict(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_projected_neighbours(spark, sf_dir):
+    """The 20 nearest of every twentieth embedding."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
