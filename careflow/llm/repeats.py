@@ -113,7 +113,7 @@ def _same(key: str) -> Column:
 
 
 def single_starts(docs: DataFrame, wanted: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(key, text_hash, start, lone, rank, string) of every start of the wanted positions."""
+    """(key, text_hash, at, lone, rank, strings): the string of every start of the wanted positions."""
     kind = docs.schema[key].dataType.simpleString()
     lists = wanted.groupBy(key, "text_hash").agg(
         F.collect_list(F.struct("at", "starts", "lone", "rank")).alias("wanted"))
@@ -125,20 +125,20 @@ def single_starts(docs: DataFrame, wanted: DataFrame, key: str, text: str, lengt
             sums, down = prefix_sums(raw)
             lists = batch.column(3)
             row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-            at, n, lone, rank = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            one = np.repeat(np.arange(len(at)), n)
-            start = np.repeat(at, n) + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-            place = start + offsets[row[one]]
-            for a in range(0, len(one), _BLOCK):
-                z = slice(a, a + _BLOCK)
-                take = pa.array(row[one[z]])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start[z]),
-                     pa.array(lone[one[z]].astype(bool)), pa.array(rank[one[z]]),
-                     pa.array(span_hash(sums, down, place[z], place[z] + length).view(np.int64))],
-                    names=[key, "text_hash", "start", "lone", "rank", "string"])
-
-    return joined.mapInArrow(run, f"`{key}` {kind}, text_hash long, start long, lone boolean, rank long, string long")
+            at, n, lone, rank = (lists.flatten().field(i) for i in range(4))
+            n = n.to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n)
+            one = np.repeat(np.arange(len(n)), n)
+            place = (at.to_numpy(zero_copy_only=False) + offsets[row])[one] + np.arange(len(one)) - (ends - n)[one]
+            strings = pa.array(span_hash(sums, down, place, place + length).view(np.int64))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), at, lone, rank,
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), strings)],
+                names=[key, "text_hash", "at", "lone", "rank", "strings"])
+
+    return joined.mapInArrow(
+        run, f"`{key}` {kind}, text_hash long, at long, lone boolean, rank long, strings array<long>")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int, window: int) -> DataFrame:
@@ -154,9 +154,12 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, window: in
     wanted = classes.join(lone, "rank", "left_semi").select(
         "first.*", "rank", starts.alias("starts"), (F.col("n") == 1).alias("lone"))
     singles = cut(single_starts(docs, wanted, key, text, length))
-    again = singles.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found = singles.where("lone").join(again, ["rank", "string"])
-    whole = whole.unionByName(found.select(key, "text_hash", "start", F.lit(length).alias("bytes")))
+    again = (singles.select("rank", F.explode("strings").alias("string"))
+             .groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    lone = singles.where("lone").select(key, "text_hash", "at", "rank", F.posexplode("strings").alias("i", "string"))
+    found = lone.join(again, ["rank", "string"])
+    whole = whole.unionByName(found.select(key, "text_hash", (F.col("at") + F.col("i")).alias("start"),
+                                           F.lit(length).alias("bytes")))
     return cut(whole.groupBy(key, "text_hash").agg(
         F.collect_list(F.struct("start", F.col("bytes").cast("long").alias("bytes"))).alias("spans")))
 
