@@ -1,0 +1,218 @@
+"""Surrogates for personal data.
+
+Detected entities get replacements that keep their type and format: digits
+stay digits, letters keep their case and script, separators and lengths stay,
+addresses stay addresses, card numbers keep whether their check digit is
+right, names keep their script and gender. A replacement is a keyed hash of
+the entity alone, so one entity has the same surrogate in every document.
+Surrogates that two entities would share, or that are themselves an entity of
+the corpus, are drawn again until none collides.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from careflow.llm.common import cut, tidy
+
+KEY = b"surrogate key"
+#: Given names by script and gender. Fixed values.
+NAMES = {
+    ("latin", "f"): "Anna Maria Sofia Laura Julia Emma Clara Elena Marta Alice Sarah Helen Ingrid Camille".split(),
+    ("latin", "m"): "Peter Paul Martin Thomas David Daniel Robert Jean Carlos Hans John James Michael Luis".split(),
+    ("cyrillic", "f"): "Анна Мария Ольга Елена Ирина Наталья Светлана Татьяна".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Андрей Алексей Дмитрий Николай Михаил".split(),
+}
+#: Family names by script. Fixed values.
+FAMILY = {"latin": "Adler Bauer Costa Dumas Ellis Ferrer Graham Hartmann Keller Lopez Moreau Novak Palmer Roux Stone "
+                   "Turner Vega Weber".split(),
+          "cyrillic": "Иваненко Петренко Ткаченко Шевченко Кравченко Бондаренко Коваленко Лысенко".split()}
+_GENDER = {n: k for k, names in NAMES.items() for n in names}
+_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
+_GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
+
+#: Entity patterns, the earlier ones first where they overlap.
+PATTERN = re.compile("|".join([
+    r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)",
+    r"(?P<secret>(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}"
+    r"|(?:sk|pk|ghp|AKIA|xox[bp])[-_]?[0-9A-Za-z]{16,})(?![0-9A-Za-z]))",
+    r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
+    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))",
+    r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
+    r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
+    rf"(?P<name>\b(?:{_GIVEN}) (?:[A-ZÀ-Þ][a-zß-ÿ]+|[А-ЯЁ][а-яё]+)\b)",
+]))
+
+
+#: Every entity but a name has one of these.
+_SIGNS = re.compile(r"[0-9@]|(?:sk|pk|ghp|AKIA|xox[bp])[-_0-9A-Za-z]{16}")
+_WORDS = re.compile(r"\b[A-ZА-Я]\w+")
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the entities of a text, which don't overlap."""
+    if not _SIGNS.search(text) and _GENDER.keys().isdisjoint(_WORDS.findall(text)):
+        return []
+    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text)]
+
+
+class _Stream:
+    """Keyed pseudo-random numbers for one entity and attempt."""
+
+    def __init__(self, key: bytes, kind: str, value: str, attempt: int):
+        self.head, self.n, self.pool = (key, f"{kind}\0{value}\0{attempt}".encode()), 0, b""
+
+    def below(self, n: int) -> int:
+        if len(self.pool) < 4:
+            self.pool += hashlib.blake2b(self.head[1] + self.n.to_bytes(4, "big"), key=self.head[0][:64]).digest()
+            self.n += 1
+        x, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
+        return x % n
+
+
+def _alike(text: str, r: _Stream) -> str:
+    out = []
+    for c in text:
+        if "0" <= c <= "9":
+            out.append(str(r.below(10)))
+        elif c.isalpha():
+            pool = _LETTERS["cyrillic" if "Ѐ" <= c <= "ӿ" else "latin"]
+            d = pool[r.below(len(pool))]
+            out.append(d.upper() if c.isupper() else d)
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def _luhn(digits: list[int]) -> int:
+    return sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(reversed(digits))) % 10
+
+
+def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
+    """The replacement of an entity, in its own format."""
+    r = _Stream(key, kind, value, attempt)
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        *inner, _, top = domain.split(".")
+        # a reserved domain, so that no one's address is made up
+        top = top if top in ("com", "net", "org") else "com"
+        return f"{_alike(local, r)}@{'.'.join([*(_alike(x, r) for x in inner), 'example', top])}"
+    if kind == "ip":
+        return ".".join(str(1 + r.below(254)) for _ in range(4))
+    if kind == "secret":
+        return "".join("0123456789abcdef"[r.below(16)] if re.fullmatch("[0-9a-f]+", value) else _alike(c, r) for c in value)
+    if kind == "iban":
+        return value[:2] + _alike(value[2:], r)
+    if kind == "phone" and value[0] == "+":
+        head = re.match(r"\+\d{1,3}(?=\D)|\+", value)[0]
+        return head + _alike(value[len(head):], r)
+    if kind == "name":
+        given, family = value.split(" ", 1)
+        script, gender = _GENDER[given]
+        pool, families = NAMES[script, gender], FAMILY["cyrillic" if "Ѐ" <= family[0] <= "ӿ" else "latin"]
+        # past the list's combinations, attempts lengthen the family name
+        tail = "".join(_LETTERS[script][r.below(20)] for _ in range(2 * attempt))
+        return f"{pool[r.below(len(pool))]} {families[r.below(len(families))]}{tail}"
+    out = _alike(value, r)
+    if kind == "card":
+        digits = [int(c) for c in value if c.isdigit()]
+        if _luhn(digits) == 0:
+            last = max(i for i, c in enumerate(out) if c.isdigit())
+            rest = [int(c) for c in out[:last] if c.isdigit()]
+            out = out[:last] + str(-_luhn([*rest, 0]) % 10) + out[last + 1:]
+    return out
+
+
+def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, attempt, surrogate) of (kind, value, attempt)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [surrogate(k, v, key, a) for k, v, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())],
+                                             names=["kind", "value", "attempt", "surrogate"])
+    return rows.select("kind", "value", "attempt").mapInArrow(
+        run, "kind string, value string, attempt int, surrogate string")
+
+
+def assigned(values: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+    """(kind, value, surrogate) of distinct entities, without two that share one.
+
+    An entity whose surrogate is an entity of the corpus, or is also that of
+    an entity with fewer attempts or a smaller value, draws again.
+    """
+    now = cut(_drawn(values.withColumn("attempt", F.lit(0)), key))
+    for _ in range(rounds):
+        real = values.select(F.col("kind"), F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+        first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
+        judged = (now.withColumn("n", F.row_number().over(first)).join(real, ["kind", "surrogate"], "left")
+                  .withColumn("clash", (F.col("n") > 1) | F.col("real").isNotNull()))
+        clash = judged.where("clash").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        if clash.isEmpty():
+            return now.select("kind", "value", "surrogate")
+        kept = judged.where(~F.col("clash")).select("kind", "value", "attempt", "surrogate")
+        now = cut(kept.unionByName(_drawn(clash, key)))
+    raise RuntimeError("surrogates still collide")
+
+
+def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: bytes = KEY,
+            carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, text, n_entities, kinds) of every row, with surrogates for its entities.
+
+    ``text`` is the whole text with all entities replaced (null stays null),
+    kinds counts the entities of each type. Rows with equal keys and texts are
+    alike; null keys are carried through; an empty table stays empty.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.select(key, *[c for c in carry or []], text).withColumn("text_hash", F.xxhash64(text))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, kinds, values = [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                if t:
+                    for k, v in dict.fromkeys((k, t[s:e]) for s, e, k in entities(t)):
+                        row.append(i), kinds.append(k), values.append(v)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(kinds, pa.string()),
+                 pa.array(values, pa.string())], names=[key, "text_hash", "kind", "value"])
+
+    found = cut(docs.select(key, "text_hash", text).mapInArrow(
+        find, f"`{key}` {kind}, text_hash long, kind string, value string"))
+    given = assigned(cut(found.select("kind", "value").distinct()), secret)
+    lists = cut(found.join(given, ["kind", "value"]).distinct().groupBy(key, "text_hash").agg(
+        F.collect_list(F.struct("kind", "value", "surrogate")).alias("given")))
+    tidy(docs.sparkSession)
+    same = F.col(f"d.{key}").eqNullSafe(F.col(f"x.{key}")) & (F.col("d.text_hash") == F.col("x.text_hash"))
+    joined = docs.alias("d").join(lists.alias("x"), same, "left").select(
+        *[f"d.{c}" for c in [key, *(carry or []), text]], "x.given")
+    at = 1 + len(carry or [])
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in [key, *(carry or [])])
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, counts, kinds = [], [], []
+            for t, given in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist()):
+                n: dict[str, int] = {}
+                if given:
+                    to = {(g["kind"], g["value"]): g["surrogate"] for g in given}
+                    parts, last = [], 0
+                    for s, e, k in entities(t):
+                        parts += [t[last:s], to[k, t[s:e]]]
+                        last, n[k] = e, n.get(k, 0) + 1
+                    t = "".join([*parts, t[last:]])
+                texts.append(t), counts.append(sum(n.values())), kinds.append(list(n.items()))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:at], pa.array(texts, pa.string()), pa.array(counts, pa.int64()),
+                 pa.array(kinds, pa.map_(pa.string(), pa.int64()))],
+                names=[key, *(carry or []), text, "n_entities", "kinds"])
+
+    return joined.mapInArrow(swap, fields + f"`{text}` string, n_entities long, kinds map<string,bigint>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careflow.llm import fingerprint, language, minhash, neighbours, packing, repeats, tokencount
+from careflow.llm import fingerprint, language, minhash, neighbours, packing, pii, repeats, sampling, tokencount
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,15 @@ def op3_language_id(spark, sf_dir):
 def op10_projected_neighbours(spark, sf_dir):
     """The 20 nearest of every twentieth embedding."""
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_pii_surrogates(spark, sf_dir):
+    """All documents with surrogates for their personal data."""
+    return pii.replace(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_sampled_pieces(spark, sf_dir):
+    """Sampled segmentations of all documents, decoded again."""
+    return sampling.sample_digest(read(spark, sf_dir, "documents"))
