@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careflow.llm import fingerprint, language, minhash, neighbours, packing, pii, repeats, sampling, tokencount
+from careflow.llm import extraction, fingerprint, language, minhash, neighbours, packing, pii, repeats, sampling, tokencount
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op6_pii_surrogates(spark, sf_dir):
 def op7_sampled_pieces(spark, sf_dir):
     """Sampled segmentations of all documents, decoded again."""
     return sampling.sample_digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_wrapper_extraction(spark, sf_dir):
+    """Main texts of all pages by wrapper induction."""
+    return extraction.main_text(read(spark, sf_dir, "pages"))

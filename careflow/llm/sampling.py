@@ -19,13 +19,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from careflow.llm.chunks import Memo
 from careflow.llm.common import mix64, slices, tokenizer_path
 
 FILE = "piece_bpe_32k.model"
@@ -34,7 +33,7 @@ SPACE = "▁"
 _SPELLED = 1 << 24
 _COMMON = 0x250
 _SIGN = "\ufdd0"
-_BLOCK = 500_000
+_BLOCK = 1_000_000
 
 
 class Lattice:
@@ -48,21 +47,32 @@ class Lattice:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)
                                               or model.is_unused(i))]
-        weight = 1.0 / np.arange(2, len(plain) + 2) ** alpha
-        self.edges = {self.pieces[i]: (i, w) for i, w in zip(plain, (weight / weight.sum()).tolist())}
-        self.longest = max(map(len, self.edges))
-        self.spelled = min(w for _, w in self.edges.values())  # for each byte
-        self.memo = Memo(lambda new: list(map(self.unit, new)), 300_000)
-        # ends of pieces, and the pairs of characters that some piece holds side by side
-        self.tails = {p[i:] for p in self.edges for i in range(len(p))}
+        weight = -alpha * np.log(np.arange(2, len(plain) + 2))
+        weight -= np.log(np.exp(weight).sum())
+        self.spelled = float(weight.min())  # for each byte
+        # a trie of the pieces: the step from a node by a character is a sorted key
+        steps, self.ends = {}, [(-1, 0.0)]
+        for i, w in zip(plain, weight.tolist()):
+            node = 0
+            for c in self.pieces[i]:
+                step = (node << 21) | ord(c)
+                if step not in steps:
+                    steps[step] = len(self.ends)
+                    self.ends.append((-1, 0.0))
+                node = steps[step]
+            self.ends[node] = (i, w)
+        self.steps = np.array(sorted(steps), np.int64)
+        self.child = np.array([steps[k] for k in self.steps.tolist()])
+        self.piece, self.weight = (np.array(x) for x in zip(*self.ends))
+        # the pairs of characters that some piece holds side by side
         self.beside = np.zeros((_COMMON + 1, _COMMON + 1), bool)
         self.beside[_COMMON] = self.beside[:, _COMMON] = True
-        for p in self.edges:
+        for p in (self.pieces[i] for i in plain):
             for x, y in zip(p, p[1:]):
                 self.beside[self.common(ord(x)), self.common(ord(y))] = True
-        self.values = np.array([-1] * n)
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b, i in self.byte_id.items():
-            self.values[i] = b
+            self.raw[i] = bytes([b])
 
     @staticmethod
     def common(code: int) -> int:
@@ -74,36 +84,28 @@ class Lattice:
         rows = np.where(codes < _COMMON - 1, codes, np.where(codes == ord(SPACE), _COMMON - 1, _COMMON))
         return ~self.beside[rows[:-1], rows[1:]]
 
-    def unit(self, unit: str) -> tuple[list, list, list, list]:
-        """Edges into each place after the first: (edges of each, cumulated share, place before, code)."""
-        n, get, longest, tails = len(unit), self.edges.get, self.longest, self.tails
-        paths, sizes, shares, before, codes = [1.0] + [0.0] * n, [], [], [], []
-        for j in range(1, n + 1):
-            into = []
-            for i in range(j - 1, max(0, j - longest) - 1, -1):
-                part = unit[i:j]
-                if part not in tails:
-                    break
-                edge = get(part)
-                if edge and paths[i]:
-                    into.append((paths[i] * edge[1], i, edge[0]))
-            if not into or unit[j - 1] not in self.edges:
-                c = unit[j - 1]
-                into.append((paths[j - 1] * self.spelled ** len(c.encode("utf-8", "surrogatepass")), j - 1,
-                             _SPELLED + ord(c)))
-            total, share = 0.0, 0.0
-            for w, _, _ in into:
-                total += w
-            for w, i, code in into:
-                share += w / total
-                shares.append(share), before.append(i), codes.append(code)
-            shares[-1] = 1.0
-            sizes.append(len(into))
-            paths[j] = total
-            if total < 1e-200:  # only ratios count: lift what later edges can reach
-                for i in range(max(0, j - longest), j + 1):
-                    paths[i] *= 1e200
-        return sizes, shares, before, codes
+    def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, code, log-weight) of every piece in texts laid end to end,
+        with so many characters from each place to its text's end."""
+        out, at, node = [], np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        single = np.zeros(len(codes), bool)
+        length = 0
+        while len(at):
+            step = (node << 21) | codes[at + length]
+            found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            hit = self.steps[found] == step
+            at, node, length = at[hit], self.child[found[hit]], length + 1
+            ends = self.piece[node] >= 0
+            out.append((at[ends], np.full(ends.sum(), length), self.piece[node[ends]], self.weight[node[ends]]))
+            if length == 1:
+                single[at[ends]] = True
+            more = room[at] > length
+            at, node = at[more], node[more]
+        lost = np.flatnonzero(~single)
+        c = codes[lost]
+        size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        out.append((lost, np.ones(len(lost), np.int64), _SPELLED + c, self.spelled * size))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def spell(self, code: int) -> list[int]:
         return [self.byte_id[b] for b in chr(code - _SPELLED).encode("utf-8", "surrogatepass")]
@@ -123,16 +125,32 @@ class Lattice:
         row = np.searchsorted(ends, cut[:-1], "right") - 1
         place = cut[:-1] - ends[row]
         kinds = list(dict.fromkeys(units))
-        tables = self.memo.values(kinds)
-        length = np.array([len(x[0]) for x in tables])
+        length = np.array(list(map(len, kinds)))
+        codes = np.frombuffer("".join(kinds).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(length)
+        own = np.repeat(np.arange(len(kinds)), length)
+        start, size, code, weight = self.edges(codes, ends[own] - np.arange(len(codes)))
         # node numbers: each unit's places from 0 to its length, in a row
-        base = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-        node = np.arange(length.sum()) + np.repeat(np.arange(len(length)), length) + 1
-        sizes, shares, before, codes = (np.fromiter(chain.from_iterable(x[i] for x in tables), kind)
-                                        for i, kind in enumerate((np.int64, np.float64, np.int64, np.int64)))
-        into = np.repeat(node, sizes)
-        goes = before + np.repeat(np.repeat(base, length), sizes)
-        ladder = into + shares
+        base = ends - length + np.arange(len(kinds))
+        goes, into = start + own[start], start + own[start] + size
+        # forward: places in the order of their distance from the unit's start
+        depth = into - base[own[start]]
+        order = np.lexsort((into, depth))
+        goes, into, code, weight, depth = goes[order], into[order], code[order], weight[order], depth[order]
+        paths = np.zeros(len(codes) + len(kinds))
+        for a, b in pairwise(np.searchsorted(depth, np.arange(1, depth[-1] + 2)).tolist()):
+            x = paths[goes[a:b]] + weight[a:b]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(into[a:b]) != 0]))
+            top = np.maximum.reduceat(x, first)
+            many = np.diff(np.concatenate([first, [b - a]]))
+            paths[into[a + first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), first))
+        order = np.argsort(into, kind="stable")
+        goes, into, codes = goes[order], into[order], code[order]
+        share = np.exp(paths[goes] + weight[order] - paths[into])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(into) != 0]))
+        many = np.diff(np.concatenate([first, [len(into)]]))
+        total = np.cumsum(share)
+        ladder = into + np.minimum(total - np.repeat(total[first] - share[first], many), 1.0)
         index = {k: i for i, k in enumerate(kinds)}
         kind = np.array([index[u] for u in units])
         floor = base[kind]
@@ -162,14 +180,7 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with space signs as spaces, bytes put together."""
-        if not len(ids):
-            return ""
-        pieces, values, ids = self.pieces, self.values, ids.astype(np.int64)
-        if (values[ids] < 0).all():
-            return "".join([pieces[i] for i in ids.tolist()])[1:].replace(SPACE, " ")
-        data = b"".join(bytes([values[i]]) if values[i] >= 0 else pieces[i].replace(SPACE, " ").encode()
-                        for i in ids.tolist())
-        return data[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
