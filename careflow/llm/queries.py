@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from careflow.llm import extraction, fingerprint, language, minhash, neighbours, packing, pii, repeats, sampling, tokencount
 from careflow.llm.common import read
 
@@ -76,3 +77,13 @@ def op7_sampled_pieces(spark, sf_dir):
 def op5_wrapper_extraction(spark, sf_dir):
     """Main texts of all pages by wrapper induction."""
     return extraction.main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -165,8 +165,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, window: in
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
-                    window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) of every row.
+                    window: int = WINDOW, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) of every row.
 
     n_spans counts the maximal runs of removed bytes; kept (only if asked for)
     is the text left, without the bytes of characters cut apart. Repeated rows
@@ -176,37 +176,39 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """
     if not 0 < window <= length // 3:
         raise ValueError("the window must be at most a third of the length")
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(key, text).withColumn("text_hash", F.xxhash64(text))
+    held = [key, *(carry or [])]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in held)
+    fields += "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    docs = docs.select(*held, text).withColumn("text_hash", F.xxhash64(text))
     spans = repeated_spans(docs, key, text, length, window)
     tidy(docs.sparkSession)
     joined = (docs.alias("d").join(spans.alias("x"), _same(key), "left")
-              .select(f"d.{key}", f"d.{text}", "x.spans"))
-    fields = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+              .select(*[f"d.{c}" for c in [*held, text]], "x.spans"))
+    names = [*held, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     if keep_text:
         fields, names = fields + ", kept string", [*names, "kept"]
+    at = len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, s in zip(batch.column(1), batch.column(2)):
+            for t, s in zip(batch.column(at), batch.column(at + 1)):
                 data = (t.as_py() or "").encode()
                 gone, runs = 0, 0
                 if s.is_valid:
-                    at, n = (s.values.field(i).to_numpy() for i in range(2))
+                    start, n = (s.values.field(i).to_numpy() for i in range(2))
                     step = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + n, -1)
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + n, -1)
                     covered = np.cumsum(step[:-1]) > 0
                     gone = int(covered.sum())
                     runs = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     data = np.frombuffer(data, np.uint8)[~covered].tobytes()
                 row = [gone + len(data), gone, runs, hashlib.sha256(data).hexdigest()]
                 out.append([*row, data.decode(errors="ignore") if t.is_valid else None] if keep_text else row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out))], names=names)
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:at], *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)
 
-    if keep_text:
-        inner = run
-        run = lambda it: (b.set_column(5, pa.field("kept", pa.string()), b.column(5).cast(pa.string())) for b in inner(it))
     return joined.mapInArrow(run, fields)
