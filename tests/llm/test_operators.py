@@ -148,7 +148,7 @@ def test_packing(spark, texts):
 def test_ranks_file_gives_the_tokenizers_ids():
     fast = packing.Encoder(tokenizer_path(packing.FILE), tokenizer_path(packing.RANKS))
     words = [f" {w.lstrip('Ġ')}" for w in fast.tok.get_vocab() if w.lstrip("Ġ").isascii()]
-    words = [w for w in dict.fromkeys(words) if len(w) > 1 and not w[1].isspace()]
+    words = [w for w in dict.fromkeys(words) if len(w) > 1 and not w[1].isspace() and w[1:] not in fast.special]
     plain = packing.Encoder(tokenizer_path(packing.FILE))
     assert fast.merge(words) == plain.merge(words)
 
