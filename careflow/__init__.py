@@ -9,7 +9,6 @@ operators   DataFrame -> DataFrame operators (joins, dedup, aggregates,
 sources     Readers and writers (parquet, JSON, CSV, prediction log, models).
 plans       Composite entry points (cleaning, integration, modelling) and the
             role mapping used to run them on the driver's tables.
-streaming   Intentionally empty: the reference has no streaming surface.
 
 Every operator takes column names as arguments (hospital names are only
 defaults), never collects data to the driver, and leaves physical planning

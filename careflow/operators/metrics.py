@@ -99,7 +99,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     hist = _score_histogram(df, label, score)
     cum = prefix_sums(hist, ["s"], ["neg"], inclusive=False)
     return cum.agg((F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * 0.5))
-                    / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+                    / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -44,7 +44,7 @@ def missing_summary(df: DataFrame, blanks_as_missing: bool = False) -> DataFrame
                                             "column string, dtype string")
     rep = attach_scalars(rep, n).join(F.broadcast(types), "column")
     rep = rep.withColumn("missing_pct", F.col("missing_count") * 100.0 / F.col("__n")).drop("__n")
-    return rep.select("column", "missing_count", "missing_pct", "dtype")
+    return rep.select("column", "missing_count", "missing_pct", "dtype").orderBy(F.desc("missing_pct"), "column")
 
 
 def shape_and_duplicates(df: DataFrame, name: str = "table") -> DataFrame:
