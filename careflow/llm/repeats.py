@@ -157,9 +157,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int, window: in
     again = (singles.select("rank", F.explode("strings").alias("string"))
              .groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     lone = singles.where("lone").select(key, "text_hash", "at", "rank", F.posexplode("strings").alias("i", "string"))
-    found = lone.join(again, ["rank", "string"])
-    whole = whole.unionByName(found.select(key, "text_hash", (F.col("at") + F.col("i")).alias("start"),
-                                           F.lit(length).alias("bytes")))
+    # written by itself, so that the strings' shuffles are released before the other positions'
+    found = cut(lone.join(again, ["rank", "string"])
+                .select(key, "text_hash", (F.col("at") + F.col("i")).alias("start"), F.lit(length).alias("bytes")))
+    whole = whole.unionByName(found)
     return cut(whole.groupBy(key, "text_hash").agg(
         F.collect_list(F.struct("start", F.col("bytes").cast("long").alias("bytes"))).alias("spans")))
 
