@@ -1,12 +1,9 @@
 """Hourly demand aggregation.
 
 Hour buckets are a ``groupBy(date_trunc('hour', ts))`` with map-side
-partial aggregation. The exact median of A1 uses Spark's exact
-percentile only when the busiest hour's value count (known from the
-hourly aggregate itself) fits one task; beyond that it is computed from
-the global (hour, value) order
-(:func:`careflow.operators.ordering.exact_median`), so an hour holding a
-third of all rows is still split across tasks.
+partial aggregation. The exact median of A1 comes from running totals of
+the (hour, value) counts (:func:`careflow.operators.ordering.exact_median`),
+so an hour holding a third of all rows is split across tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +15,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.calendar import floor_day, floor_hour
 from careflow.functions.parse import TRIAGE_VALUES
-from careflow.operators.ordering import exact_median, local_rows
-from careflow.session import checkpoint_dir
+from careflow.operators.ordering import exact_median
 
 
 def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
@@ -29,11 +25,7 @@ def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
 
     ``median``: ``exact`` (default), ``buffer`` (Spark's ``median``
     aggregate, buffers each hour's values) or ``approx``
-    (``percentile_approx``). ``exact`` first builds the hourly aggregate
-    (one row per hour, checkpointed); its valid-wait counts bound the
-    values per hour, so Spark's exact percentile is used when the busiest
-    hour fits one task (``careflow.localRows``) and the distributed
-    sort-based median otherwise.
+    (``percentile_approx``).
     """
     base = (notes.filter(F.col(ts).isNotNull())
                  .select(floor_hour(ts).alias(out_ts),
@@ -48,14 +40,8 @@ def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
     if median == "approx":
         return base.groupBy(out_ts).agg(
             *aggs, F.percentile_approx("__w", 0.5, 10000).cast("double").alias("tiempo_espera_mediana")).select(*cols)
-    checkpoint_dir(notes.sparkSession)
-    hourly = base.groupBy(out_ts).agg(*aggs, F.count("__w").alias("__n_w")).checkpoint(eager=True)
-    busiest = hourly.agg(F.max("__n_w")).first()[0] or 0
-    if busiest <= local_rows(notes.sparkSession):
-        med = base.filter(F.col("__w").isNotNull()).groupBy(out_ts).agg(
-            F.percentile("__w", F.lit(0.5)).alias("tiempo_espera_mediana"))
-    else:
-        med = exact_median(base, [out_ts], "__w", "tiempo_espera_mediana")
+    hourly = base.groupBy(out_ts).agg(*aggs)
+    med = exact_median(base, [out_ts], "__w", "tiempo_espera_mediana")
     return hourly.join(med, out_ts, "left").select(*cols)
 
 

@@ -14,7 +14,7 @@ the whole table into one task; these helpers avoid that:
   copies the last ``halo`` rows of each block into the next one, so a window
   partitioned by block sees every row its frame reaches back to.
 * :func:`exact_quantiles` gives exact, interpolated quantiles per group
-  from the global order (no per-group value buffer).
+  from running totals of value counts (no per-group value buffer).
 * :func:`top_n` / :func:`attach_scalars` are the bounded helpers for
   top-k and one-row aggregates.
 """
@@ -34,33 +34,6 @@ BLK = "_blk"
 HOME = "_home"
 
 
-# Largest number of rows one task may order or buffer on its own (a
-# proven bound: counted before the plan is chosen). Above it the
-# distributed forms below are used. Session conf ``careflow.localRows``.
-DEFAULT_LOCAL_ROWS = 2_000_000
-
-
-def local_rows(spark) -> int:
-    return int(spark.conf.get("careflow.localRows", str(DEFAULT_LOCAL_ROWS)))
-
-
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows (one counting job)."""
-    lim = limit if limit is not None else local_rows(df.sparkSession)
-    return df.limit(lim + 1).count() <= lim
-
-
-def materialize_if_small(df: DataFrame, limit: int | None = None) -> DataFrame | None:
-    """Checkpoint at most ``limit + 1`` rows of ``df``; when that holds all
-    of ``df``, return the checkpointed copy (so the input is computed once
-    and later reads are lineage-free), else ``None`` (large input; the
-    bounded sample written is discarded)."""
-    lim = limit if limit is not None else local_rows(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
-    cp = df.limit(lim + 1).checkpoint(eager=True)
-    return cp if cp.count() <= lim else None
-
-
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
@@ -71,42 +44,40 @@ def _order_exprs(order_cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+def ranged(df: DataFrame, order_cols: Sequence, num_partitions: int | None = None) -> DataFrame:
+    """Rows in range partitions of ``order_cols``, sorted inside each, written
+    once: ``__pid`` is the partition, ``__mid`` grows with the order.
+
+    Checkpointed because range bounds come from sampling, so two independent
+    evaluations could cut the data differently. The input is persisted only
+    while the bounds are sampled and the checkpoint written.
+    """
+    checkpoint_dir(df.sparkSession)
+    n = _num_partitions(df, num_partitions)
+    order = _order_exprs(order_cols)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("__pid", F.spark_partition_id())
+              .withColumn("__mid", F.monotonically_increasing_id())).checkpoint(eager=True)
+    src.unpersist()
+    return out
+
+
 def global_index(df: DataFrame, order_cols: Sequence, index_col: str = RN,
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``index_col`` = 1-based position of each row in ``order_cols``.
 
     ``order_cols`` should be a total order (add a unique tie-break);
     rows that tie completely get an arbitrary relative order.
-
-    The range-partitioned, position-numbered rows are checkpointed (to the
-    cluster's ``spark.checkpoint.dir``) before counting: range bounds come
-    from sampling, so two independent evaluations could cut the data
-    differently and per-partition counts would not match positions.
-    Checkpointing also cuts the lineage, so a lost executor re-reads the
-    checkpoint instead of re-sampling. The input is persisted only while
-    the bounds are sampled and the checkpoint written (so it is computed
-    once), then released; a lost cached block is simply recomputed.
     """
-    order = _order_exprs(order_cols)
-    if fits_one_task(df):
-        # bounded input: one ordered window is cheaper than the distributed form
-        return df.withColumn(index_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the range sampling and the checkpoint
-    ranged = (src.repartitionByRange(n, *order)
-                 .sortWithinPartitions(*order)
-                 .withColumn("__pid", F.spark_partition_id())
-                 .withColumn("__mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn(
+    rows = ranged(df, order_cols, num_partitions)
+    rows = rows.withColumn(
         "__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)).drop("__mid")
-    ranged = ranged.checkpoint(eager=True)
-    src.unpersist()
     # one row per partition: bounded by the partition count, not the data
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    out = ranged.join(F.broadcast(offsets), "__pid")
+    out = rows.join(F.broadcast(offsets), "__pid")
     return (out.withColumn(index_col, F.col("__off") + F.col("__pos") + F.lit(1))
                .drop("__pid", "__pos", "__off"))
 
@@ -138,54 +109,42 @@ def halo_blocks(df: DataFrame, order_cols: Sequence, halo: int, series_cols: Seq
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    quantiles: Iterable[float], num_partitions: int | None = None,
-                    max_group_rows: int | None = None) -> DataFrame:
+                    quantiles: Iterable[float], num_partitions: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
     For a group with n non-null values sorted v_0..v_{n-1}, quantile q is
     ``v_lo + (h - lo) * (v_hi - v_lo)`` with ``h = (n-1)q``.
 
-    The largest group is counted first (or given as ``max_group_rows`` by
-    a caller that already aggregated the groups). If it fits one task
-    (``careflow.localRows``), Spark's exact ``percentile`` aggregate is
-    used. Otherwise rows are numbered in (group, value) order by
-    :func:`global_index` (range partitions, so a hot group is split across
-    tasks); per-group first position and count come from a partial
-    aggregate and only the rows at the needed ranks are kept.
+    Rows are first counted per (group, value) with map-side combine; the
+    running totals of these counts (:func:`prefix_sums`, range partitions,
+    so a hot group is split across tasks) say which value holds a rank.
     Output: group cols, ``q``, ``value``.
     """
     qs = [float(q) for q in quantiles]
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    biggest = max_group_rows
-    if biggest is None:
-        biggest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
-    if biggest <= local_rows(df.sparkSession):
-        # every group has a proven size bound: Spark's exact percentile
-        # aggregate (partial aggregation, at most that many values per group)
-        p = v.groupBy(*group_cols).agg(F.percentile("__v", F.array(*[F.lit(q) for q in qs])).alias("__p"))
-        return p.select(*group_cols, F.posexplode("__p").alias("__i", "value")).select(
-            *group_cols, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("__i") + 1).alias("q"), "value")
-    idx = global_index(v, [*group_cols, "__v"], "__r", num_partitions)
-    stats = idx.groupBy(*group_cols).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    qarr = F.array(*[F.lit(q) for q in qs])
-    want = (stats.withColumn("q", F.explode(qarr))
-                 .withColumn("__h", (F.col("__n") - 1) * F.col("q"))
-                 .withColumn("__lo", F.floor("__h").cast("long"))
-                 .withColumn("__hi", F.ceil("__h").cast("long"))
-                 .withColumn("__frac", F.col("__h") - F.col("__lo")))
-    ranks = want.select(*group_cols, "q", "__frac", "__first",
-                        F.explode(F.array(
-                            F.struct(F.lit(0).alias("side"), F.col("__lo").alias("off")),
-                            F.struct(F.lit(1).alias("side"), F.col("__hi").alias("off")))).alias("__s"))
-    ranks = ranks.select(*group_cols, "q", "__frac", F.col("__s.side").alias("__side"),
-                         (F.col("__first") + F.col("__s.off")).alias("__r"))
-    picked = ranks.join(idx.select("__r", "__v"), "__r")
-    agg = picked.groupBy(*group_cols, "q").agg(
-        F.max("__frac").alias("__frac"),
-        F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__vlo"),
-        F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__vhi"))
-    return agg.select(*group_cols, "q",
-                      (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("value"))
+    counts = v.groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    runs = prefix_sums(counts, [*group_cols, "__v"], ["__c"], num_partitions)
+    runs = runs.withColumn("__end", F.col("cum___c")).withColumn("__start", F.col("cum___c") - F.col("__c"))
+    stats = runs.groupBy(*group_cols).agg(F.min("__start").alias("__first"), F.sum("__c").alias("__n"))
+    if group_cols:
+        same = [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group_cols]
+        placed = runs.alias("r").join(stats.alias("s"), same).select("r.*", "__first", "__n")
+    else:
+        placed = attach_scalars(runs, stats)
+
+    def at(rank: Column) -> Column:
+        r = F.col("__first") + rank
+        return F.max(F.when((F.col("__start") <= r) & (r < F.col("__end")), F.col("__v")))
+
+    picked = []
+    for i, q in enumerate(qs):
+        h = (F.col("__n") - 1) * F.lit(q)
+        picked += [at(F.floor(h)).alias(f"__lo{i}"), at(F.ceil(h)).alias(f"__hi{i}"),
+                   F.max(h - F.floor(h)).alias(f"__f{i}")]
+    found = placed.groupBy(*group_cols).agg(*picked)
+    return found.filter(F.col("__lo0").isNotNull()).select(*group_cols, F.explode(F.array(*[
+        F.struct(F.lit(q).alias("q"), (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}")))
+                 .alias("value")) for i, q in enumerate(qs)])).alias("__q")).select(*group_cols, "__q.q", "__q.value")
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -219,20 +178,12 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: Sequence[str],
     the partition count. Adds ``cum_<value>`` columns (``inclusive``:
     current row counted).
     """
-    checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
-    order = _order_exprs(order_cols)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                 .withColumn("__pid", F.spark_partition_id())
-                 .withColumn("__pos", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    src.unpersist()
-    tot = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    rows = ranged(df, order_cols, num_partitions)
+    tot = rows.groupBy("__pid").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{v}").over(w), F.lit(0)).alias(f"__o_{v}") for v in values])
-    wp = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(
+    wp = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    out = ranged.join(F.broadcast(offs), "__pid")
+    out = rows.join(F.broadcast(offs), "__pid")
     out = out.withColumns({f"cum_{v}": F.coalesce(F.sum(v).over(wp), F.lit(0)) + F.col(f"__o_{v}") for v in values})
-    return out.drop("__pid", "__pos", *[f"__o_{v}" for v in values])
+    return out.drop("__pid", "__mid", *[f"__o_{v}" for v in values])

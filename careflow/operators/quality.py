@@ -206,9 +206,7 @@ def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
     The (column, value) pairs are persisted while the three small results
     (moments, exact quartiles, outlier counts; one row per column each) are
-    checkpointed, then released, so the input is computed once. Quartiles
-    use the moments' counts as the per-column bound
-    (:func:`careflow.operators.ordering.exact_quantiles`).
+    checkpointed, then released, so the input is computed once.
     """
     from pyspark import StorageLevel
 
@@ -226,8 +224,7 @@ def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
             F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("long")).alias("missing"),
             F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
             F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)
-        biggest = mom.agg(F.max("count")).first()[0] or 0
-        q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75], max_group_rows=biggest)
+        q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
         qw = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
                                      F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
                                      F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3")).checkpoint(eager=True)

@@ -2,11 +2,9 @@
 
 Offsets count rows, not hours (the hourly master holds active hours
 only); apply A16 first for a regular hourly series. Every operator
-accepts ``series_cols``. Inputs above ``careflow.localRows`` rows run
-their windows over fixed-size row blocks with a halo (numbered by
-:func:`careflow.operators.ordering.global_index`), so no window partition
-is larger than one block, with or without series; smaller inputs (an
-hourly table is 8,760 rows a year) use one ordered window.
+accepts ``series_cols``. Windows run over fixed-size row blocks with a
+halo (numbered by :func:`careflow.operators.ordering.global_index`), so no
+window partition is larger than one block, with or without series.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.operators.ordering import BLK, HOME, RN, attach_scalars, global_index, halo_blocks
+from careflow.operators.ordering import BLK, HOME, RN, attach_scalars, global_index, halo_blocks, ranged
 
 # Reference defaults for the demand features.
 DEFAULT_LAGS = (1, 2, 3, 6, 12, 24)
@@ -30,16 +28,7 @@ def windowed(df: DataFrame, order: Sequence[str], series: Sequence[str], back: i
     """Run ``build(df, window)`` where ``window`` is partitioned by
     (series, block) and ordered by the global row number; frames may reach
     ``back`` rows before and ``ahead`` rows after the current row.
-
-    When the whole input fits one task (``careflow.localRows``, counted
-    first) the window is simply partitioned by series and ordered by time.
     """
-    from careflow.operators.ordering import materialize_if_small
-    small = materialize_if_small(df)
-    if small is not None:
-        x = small.withColumn(RN, F.row_number().over(Window.orderBy(*series, *order)).cast("long"))
-        out = build(x, Window.partitionBy(*series).orderBy(RN))
-        return out if keep_index else out.drop(RN)
     x = halo_blocks(df, order, back, series, block_rows, ahead)
     w = Window.partitionBy(*series, BLK).orderBy(RN)
     out = build(x, w).filter(F.col(HOME)).drop(BLK, HOME)
@@ -92,26 +81,25 @@ def add_diffs(df: DataFrame, value: str, order: Sequence[str], series: Sequence[
 
 
 def running_max(df: DataFrame, value: str, order: Sequence[str], out: str = "best_so_far",
-                flag: str | None = "is_best", block_rows: int = 1 << 16) -> DataFrame:
+                flag: str | None = "is_best", num_partitions: int | None = None) -> DataFrame:
     """Cumulative maximum in ``order`` (and a flag for new bests).
 
-    Inside each block a window gives the running max; the max of all
-    earlier blocks comes from a table with one row per block.
+    Inside each range partition a window gives the running max; the max of
+    all earlier partitions comes from a table with one row per partition.
     """
-    idx = global_index(df, order, RN)
-    x = idx.withColumn(BLK, F.floor((F.col(RN) - 1) / F.lit(block_rows)).cast("long"))
-    w = Window.partitionBy(BLK).orderBy(RN)
-    x = x.withColumn("__in", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("__prev_in", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    bmax = x.groupBy(BLK).agg(F.max(value).alias("__bmax"))
-    wb = Window.orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    before = bmax.select(BLK, F.max("__bmax").over(wb).alias("__before"))
-    x = x.join(F.broadcast(before), BLK, "left")
-    x = x.withColumn(out, F.greatest("__in", "__before"))
+    x = ranged(df, order, num_partitions)
+    top = x.groupBy("__pid").agg(F.max(value).alias("__top"))
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = top.select("__pid", F.max("__top").over(earlier).alias("__before"))
+    w = Window.partitionBy("__pid").orderBy("__mid")
+    x = x.join(F.broadcast(before), "__pid", "left")
+    x = x.withColumn(out, F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before"))
     if flag:
-        prev = F.greatest("__prev_in", "__before")
-        x = x.withColumn(flag, (F.col(value).isNotNull() & (prev.isNull() | (F.col(value) > prev))).cast("int"))
-    return x.drop(BLK, RN, "__in", "__prev_in", "__before")
+        x = x.withColumn("__prev", F.greatest(
+            F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__before"))
+        x = x.withColumn(flag, (F.col(value).isNotNull()
+                                & (F.col("__prev").isNull() | (F.col(value) > F.col("__prev")))).cast("int")).drop("__prev")
+    return x.drop("__pid", "__mid", "__before")
 
 
 def sequences(df: DataFrame, value: str, order: Sequence[str], n_back: int, n_ahead: int = 1,
@@ -170,7 +158,8 @@ def seasonal_decompose(df: DataFrame, value: str, order: Sequence[str], period:
     centre = ph.groupBy(*series).agg(F.avg("__pm").alias("__pc"))
     ph = (ph.join(centre, list(series), "left") if series else attach_scalars(ph, centre))
     ph = ph.select(*series, "phase", (F.col("__pm") - F.col("__pc")).alias("seasonal"))
-    out = out.join(ph, [*series, "phase"], "left")
+    # without series ph has ``period`` rows
+    out = out.join(ph if series else F.broadcast(ph), [*series, "phase"], "left")
     out = out.withColumn("resid", F.col(value).cast("double") - F.col("trend") - F.col("seasonal"))
     return out.drop(RN, "__first")
 

@@ -9,6 +9,7 @@ parsing runs in parallel.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +98,14 @@ def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> Dat
 
 def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
     """Patients (hosmpi); one row per file number, the first in
-    ``order_by`` (default: the parquet file row index when readable,
-    else the key itself)."""
+    ``order_by``. Default: file order (path, row index) when ``raw`` is a
+    file scan or a projection of one, else the order of the other columns."""
+    if order_by is None:
+        try:
+            raw = raw.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+            raw.schema  # resolves the names
+        except AnalysisException:
+            pass
     raw = spread(raw)
     df = PR.strip_and_normalize(raw, PATIENT_CODES)
     df = PR.null_out_codes(df, T.NONINFORMATIVE_CODES)
@@ -112,9 +119,11 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
     if order_by and order_by not in PATIENT_COLUMNS:
         df = df.withColumn("__order", F.col(order_by))
         order = ["__order"]
-    out = PR.select_existing(df, PATIENT_COLUMNS + (["__order"] if order == ["__order"] else []))
+    order = [c for c in ("__path", "__row") if c in df.columns] or order
+    own = [c for c in order if c.startswith("__")]
+    out = PR.select_existing(df, PATIENT_COLUMNS + own)
     out = J.keep_first(out, ["m_num_exp_key"], order or [c for c in out.columns if c != "m_num_exp_key"])
-    return out.drop("__order") if "__order" in out.columns else out
+    return out.drop(*own)
 
 
 def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:

@@ -13,16 +13,3 @@ def spark():
     checkpoint_dir(s)
     yield s
     s.stop()
-
-
-@pytest.fixture
-def distributed(spark):
-    """Force the distributed forms (global index, halo blocks, sort-based
-    quantiles) by lowering the one-task row bound."""
-    old = spark.conf.get("careflow.localRows", None)
-    spark.conf.set("careflow.localRows", "3")
-    yield spark
-    if old is None:
-        spark.conf.unset("careflow.localRows")
-    else:
-        spark.conf.set("careflow.localRows", old)

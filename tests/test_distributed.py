@@ -1,4 +1,4 @@
-"""The distributed forms (forced with a tiny one-task bound) agree with
+"""The distributed forms agree with
 plain single-window / pandas computations."""
 
 import random
@@ -12,8 +12,7 @@ from careflow.operators import ordering as O
 from careflow.operators import timeseries as TS
 
 
-def test_global_index_dense(distributed):
-    spark = distributed
+def test_global_index_dense(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(200)], "k int, v int")
     idx = O.global_index(df, ["k", "v"])
     got = [(r.k, r.v, r._rn) for r in idx.orderBy("_rn").collect()]
@@ -22,8 +21,7 @@ def test_global_index_dense(distributed):
     assert [r for *_, r in got] == list(range(1, 201))
 
 
-def test_exact_quantiles_distributed_match_pandas(distributed):
-    spark = distributed
+def test_exact_quantiles_distributed_match_pandas(spark):
     rng = random.Random(1)
     rows = [(g, rng.random() * 100) for g in ("a", "b", "c") for _ in range(rng.randint(5, 40))]
     rows += [("hot", float(i % 13)) for i in range(300)]  # one hot group with ties
@@ -34,8 +32,7 @@ def test_exact_quantiles_distributed_match_pandas(distributed):
         assert abs(r.value - pdf[pdf.g == r.g].x.quantile(r.q)) < 1e-9
 
 
-def test_halo_windows_match_plain_window(distributed):
-    spark = distributed
+def test_halo_windows_match_plain_window(spark):
     rows = [(s, t, float((t * 7 + s) % 11)) for s in (1, 2) for t in range(90)]
     df = spark.createDataFrame(rows, "s int, t int, y double")
     got = TS.add_lags(df, "y", [1, 5], ["t"], series=["s"], block_rows=10)
@@ -48,8 +45,7 @@ def test_halo_windows_match_plain_window(distributed):
     assert a == b
 
 
-def test_prefix_sums_and_auc(distributed):
-    spark = distributed
+def test_prefix_sums_and_auc(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 1), round(rng.random(), 2)) for _ in range(400)]
     df = spark.createDataFrame(rows, "y int, s double")
@@ -63,11 +59,10 @@ def test_prefix_sums_and_auc(distributed):
     assert abs(auc - auc2) < 1e-12
 
 
-def test_running_max_distributed(distributed):
-    spark = distributed
+def test_running_max_distributed(spark):
     vals = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
     df = spark.createDataFrame(list(enumerate(vals)), "t int, v int")
-    out = TS.running_max(df, "v", ["t"], block_rows=3).orderBy("t").collect()
+    out = TS.running_max(df, "v", ["t"], num_partitions=3).orderBy("t").collect()
     best = []
     m = None
     for v in vals:
@@ -77,11 +72,26 @@ def test_running_max_distributed(distributed):
     assert [r.is_best for r in out] == [1, 0, 1, 0, 1, 1, 0, 0, 0, 0, 0]
 
 
-def test_lookahead_sequences_distributed(distributed):
-    spark = distributed
+def test_lookahead_sequences_distributed(spark):
     rows = [(t, float(t % 9)) for t in range(60)]
     df = spark.createDataFrame(rows, "t int, y double")
     got = TS.sequences(df, "y", ["t"], 4, 3, block_rows=7).orderBy("t").collect()
     ys = [y for _, y in rows]
     exp = [(t, ys[t - 4:t], ys[t:t + 3]) for t in range(4, 60 - 2)]
     assert [(r.t, list(r.x_seq), list(r.y_seq)) for r in got] == exp
+
+
+def test_patients_keep_the_first_row_in_file_order(spark, tmp_path):
+    from careflow.plans.cleaning import clean_patients
+    rows = [("1", "B", "20"), ("1", "A", "99"), ("2", "C", "30")]
+    path = str(tmp_path / "p.parquet")
+    spark.createDataFrame(rows, "m_num_exp string, m_sexo string, m_edad string").coalesce(1).write.parquet(path)
+    raw = spark.read.parquet(path).select("m_num_exp", "m_sexo", "m_edad")
+    got = {r.m_num_exp_key: (r.m_sexo, r.m_edad_num) for r in clean_patients(raw).collect()}
+    assert got["1"][1] == 20 and got["2"][1] == 30
+
+
+def test_quantiles_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), ("b", None)], "g string, x double")
+    got = {(r.g, r.q): r.value for r in O.exact_quantiles(df, ["g"], "x", [0.5, 1.0]).collect()}
+    assert got == {(None, 0.5): 1.5, (None, 1.0): 2.0, ("a", 0.5): 5.0, ("a", 1.0): 5.0}
