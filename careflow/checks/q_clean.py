@@ -56,6 +56,22 @@ def c3_clean_patients(spark, sf):
     return pats(spark, sf)
 
 
+NOTE_MAX_WAIT = 240.0  # the driver's waits (README, driver tables)
+
+
+@query("c4_clean_triage", S.wrap(f"WITH {S.RAW_TRIAGE}, {S.clean_triage_sql()} SELECT * FROM tri"))
+def c4_clean_triage(spark, sf):
+    """C4: triage records with parsed time and a domain-checked category."""
+    return C.clean_triage(Inputs(spark, sf).triage())
+
+
+@query("c5_clean_notes", S.wrap(f"WITH {S.RAW_NOTES}, {S.clean_notes_sql(NOTE_MAX_WAIT)} SELECT * FROM notes",
+                                ["wait_proxy_min"]))
+def c5_clean_notes(spark, sf):
+    """Emergency notes with parsed times and the wait proxy."""
+    return C.clean_notes(Inputs(spark, sf).notes(), NOTE_MAX_WAIT)
+
+
 @query("c6_no_show_base", S.wrap(f"WITH {RAW}, {S.NO_SHOW_BASE} SELECT * FROM base",
                                  ["duration_min", "lead_time_days", "m_edad_num"]))
 def c6_no_show_base(spark, sf):
