@@ -175,6 +175,20 @@ def test_extraction(spark):
     assert text[5] == "T\nOne two x\nThree" and text[6] == "" and text[7] == "only"
 
 
+def test_names_hide_no_article():
+    text = lambda html: extraction.extract(html, [])
+    for page in ("<body class='has-sidebar'><article><p>x</p></article>", "<body class='sidebar'><article><p>x</p></article>",
+                 "<div id='page' class='search-results'><article><p>x</p></article></div>",
+                 "<div class='search'><div><article><p>x</p></article></div></div>",
+                 "<article class='post comments-open'><p>x</p></article>", "<main class='search'><p>x</p></main>",
+                 "<article class='social'><p>x</p></article>", "<div class='search'><p>x</p></div>",
+                 "<article>x<div class='comments'>no</div><div class='cookie-banner site-footer'>no</div></article>",
+                 "<article>x</article><div id='comments'><article class='comment'>c</article></div>",
+                 "<article><p>x</p></article><div hidden><article>no</article></div>"):
+        assert text(page) == "x", page
+    assert text("<article><div class='article-header'>a</div><p class='social-policy'>b</p></article>") == "a\nb"
+
+
 def test_tree_matching_keeps_order():
     a, b = (extraction.parse(f"<ul>{x}</ul>") for x in ("<li>1</li><p>2</p><li>3</li>", "<p>2</p><li>1</li><li>4</li>"))
     assert extraction.align(a, b, {}) == 6  # root, ul, p with its text, li with another
