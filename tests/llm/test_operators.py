@@ -175,6 +175,16 @@ def test_extraction(spark):
     assert text[5] == "T\nOne two x\nThree" and text[6] == "" and text[7] == "only"
 
 
+def test_template_of_several_page_types(spark):
+    body = "<body><div>%s</div><ul><li>Home %s</li></ul><div><p>text %d of it</p></div><p>About %s</p></body>"
+    rows = [(i, "https://a.org/x", body % (k, k, i, k)) for i in range(30) for k in ["abc"[i % 3]]]
+    rows += [(30 + i, "https://a.org/e", f"<p>error {i}") for i in range(3)]
+    rows += [(40 + i, "https://b.org/", "<p>same</p><p>page</p>") for i in range(4)]  # copies tell nothing
+    got = extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"text {i} of it" for i in range(30)} | {30 + i: f"error {i}" for i in range(3)}
+    assert {r["page_id"]: r["text"] for r in got} == want | {40 + i: "same\npage" for i in range(4)}
+
+
 def test_names_hide_no_article():
     text = lambda html: extraction.extract(html, [])
     for page in ("<body class='has-sidebar'><article><p>x</p></article>", "<body class='sidebar'><article><p>x</p></article>",
