@@ -185,6 +185,18 @@ def test_template_of_several_page_types(spark):
     assert {r["page_id"]: r["text"] for r in got} == want | {40 + i: "same\npage" for i in range(4)}
 
 
+def test_template_inside_articles(spark):
+    words = ["one two three four five six %d" % i for i in range(9)]
+    page = "<nav>n%d</nav><article><h1>T %d</h1><div>Read more <b>on our site</b></div><p>%s</p><p>%s</p></article>"
+    # a line of three pages of nine is text, and so is all of a page that is mostly shared
+    rows = [(i, "https://a.org/x", page % (i, i, words[i], "A license" if i < 3 else f"end {i}")) for i in range(9)]
+    rows += [(20 + i, "https://b.org/x", f"<article><p>{words[0]} and {words[1]}</p><p>{i}</p></article>") for i in range(5)]
+    got = extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"T {i}\n{words[i]}\n" + ("A license" if i < 3 else f"end {i}") for i in range(9)}
+    assert {r["page_id"]: r["text"] for r in got} == want | {
+        20 + i: f"{words[0]} and {words[1]}\n{i}" for i in range(5)}
+
+
 def test_names_hide_no_article():
     text = lambda html: extraction.extract(html, [])
     for page in ("<body class='has-sidebar'><article><p>x</p></article>", "<body class='sidebar'><article><p>x</p></article>",
