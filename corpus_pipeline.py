@@ -24,10 +24,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns as the operator's query does, from labelled rows of other folds
     than 1. Texts without a letter, null ones included, go. Documents that are
-    kept keep their text.
+    kept keep their text. Where no row is labelled in those folds, nothing is
+    learned: texts with a letter stay, with the ``lang`` they have.
     """
     rows = docs.select(*COLUMNS)
     model = language.learn(rows.where(language.fold() != 1), "text", "lang", "doc_id")
+    if not model[0]:
+        return rows.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(rows, model, carry=["text", "source", "n_chars"])
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(
         "doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")

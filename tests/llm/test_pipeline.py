@@ -35,3 +35,13 @@ def test_empty_documents(spark, tmp_path):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_documents_stay_without_labels(spark):
+    texts = ["a clean text", "日本", None, "", "12 !"]
+    for langs in ([None] * 5, [None, "en", "en", None, None]):  # doc_id 2 is in fold 1, the null text tells nothing
+        rows = [(i + 1, t, x, "s", len(t or "")) for i, (t, x) in enumerate(zip(texts, langs))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.language_id(spark, docs, SF)
+        assert got.columns == corpus_pipeline.COLUMNS
+        assert sorted(tuple(r) for r in got.collect()) == rows[:2]
