@@ -4,7 +4,8 @@ Detected entities get replacements that keep their type and format: digits
 stay digits, letters keep their case and script, separators and lengths stay,
 addresses stay addresses, card numbers keep whether their check digit is
 right, names keep their script and gender. A replacement is a keyed hash of
-the entity alone, so one entity has the same surrogate in every document.
+the entity alone, so one entity has the same surrogate in every document and
+in every case and separators it is written in, each mention in its own.
 Surrogates that two entities would share, or that are themselves an entity of
 the corpus, are drawn again until none collides.
 """
@@ -12,6 +13,7 @@ the corpus, are drawn again until none collides.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -33,35 +35,146 @@ NAMES = {
 FAMILY = {"latin": "Adler Bauer Costa Dumas Ellis Ferrer Graham Hartmann Keller Lopez Moreau Novak Palmer Roux Stone "
                    "Turner Vega Weber".split(),
           "cyrillic": "Иваненко Петренко Ткаченко Шевченко Кравченко Бондаренко Коваленко Лысенко".split()}
-_GENDER = {n: k for k, names in NAMES.items() for n in names}
+#: Given names that are only found, not given. Fixed values.
+FOUND = {
+    ("latin", "f"): "Amelia Amy Andrea Angela Anne Annette Antonia Barbara Beatriz Birgit Brigitte Carla Carmen Carol "
+                    "Caroline Catherine Charlotte Chiara Chloe Christina Christine Claire Claudia Cristina Diana Dorothy "
+                    "Elisabeth Elizabeth Emily Emilia Eva Francesca Gabriele Giulia Hannah Heike Ines Irene Isabel Jane "
+                    "Jennifer Jessica Joan Johanna Judith Karen Karin Katharina Katherine Kim Lea Lena Linda Lisa Lucia "
+                    "Lucy Margaret Marie Marina Martina Mary Mia Michelle Monica Monika Nancy Natalie Nicole Olivia "
+                    "Patricia Paula Petra Pilar Rachel Rebecca Rosa Ruth Sabine Sandra Sharon Silvia Sophia Sophie Stefanie "
+                    "Stephanie Susan Susanne Teresa Ursula Valentina Valerie Victoria".split(),
+    ("latin", "m"): "Adam Albert Alberto Alejandro Alexander Alfred Andreas Andrew Anthony Antoine Antonio Arthur Benjamin "
+                    "Bernd Brian Charles Christian Christopher Claude Daniele Diego Dieter Dirk Edward Enrique Eric Fernando "
+                    "Francesco Francisco Frank Franz George Georg Giovanni Giuseppe Guillaume Heinrich Henry Ivan Jack "
+                    "Jason Javier Jeff Jeffrey Joachim Johannes Jonathan Jorge Jose José Joseph Juan Julien Kevin Klaus "
+                    "Lars Laurent Leonardo Louis Lukas Manuel Marco Mario Mark Marc Matthew Matthias Max Miguel Nicholas "
+                    "Nicolas Olivier Otto Pablo Patrick Pedro Philipp Philippe Pierre Rafael Ralf Raul Ricardo Richard "
+                    "Roberto Ronald Ryan Samuel Scott Sergio Simon Stefan Stephen Steven Thierry Timothy Tobias Uwe "
+                    "Vincent Walter Werner William Wolfgang".split(),
+    ("cyrillic", "f"): "Александра Алина Алла Анастасия Валентина Вера Виктория Галина Дарья Екатерина Елизавета "
+                       "Юлия Ксения Лариса Любовь Людмила Марина Надежда Оксана Полина".split(),
+    ("cyrillic", "m"): "Александр Антон Артём Борис Вадим Валерий Василий Виктор Виталий Владимир Георгий Григорий "
+                       "Денис Евгений Егор Игорь Илья Кирилл Константин Максим Олег Павел Роман Степан Юрий".split(),
+}
+_GENDER = {n: k for found in (FOUND, NAMES) for k, names in found.items() for n in names}
 _LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
-_GIVEN = "|".join(sorted(_GENDER, key=len, reverse=True))
+_GIVEN = "|".join(x for n in sorted(_GENDER, key=len, reverse=True) for x in (n, n.upper()))
+#: What stands before a name: titles, and words that introduce one. Fixed values.
+_TITLE = (r"(?:(?:Mrs?|Ms|Miss|Dr|Prof|Mme|Mlle|Sra?|Srta|MRS?|MS|MISS|DR|PROF|MME|MLLE|SRA?|SRTA)\.?"
+          r"|Herrn?|Frau|HERRN?|FRAU|Monsieur|Madame|Señora?|Professor|Господин|Госпожа)")
+_INTRO = (r"(?:[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут"
+          r"|[Ss]igned by|[Ff]ull name ?:|[Nn]ame ?:|NAME ?:)")
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŁŚŠŽČĆŐŰİА-ЯЁІЇЄ", "a-zß-öø-ÿłśšžčćőűıа-яёіїє"
+_PART = rf"(?:(?:Mc|Mac|[OD]['’])?[{_UPPER}][{_LOWER}]+|(?:[OD]['’])?[{_UPPER}]{{2,}})"
+_SURNAME = rf"(?:(?:von|van|de|del|della|di|da|la|le|der|den|ter|dos) ){{0,2}}{_PART}(?:-{_PART})*"
+#: A word that names a telephone number. Fixed values.
+_CALL = r"(?:[Tt]el(?:ephone|efon|éfono|éphone)?|[Pp]hone|[Ff]ax|[Mm]obile|[Cc]ell|[Cc]all|[Hh]andy|TEL|PHONE|FAX|MOBILE)\.?:? ?"
+_H = "[0-9A-Fa-f]{1,4}"
 
 #: Entity patterns, the earlier ones first where they overlap.
-PATTERN = re.compile("|".join([
+_ANY = [
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)",
-    r"(?P<secret>(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}"
-    r"|(?:sk|pk|ghp|AKIA|xox[bp])[-_]?[0-9A-Za-z]{16,})(?![0-9A-Za-z]))",
+    r"(?P<secret>(?<![0-9A-Za-z])(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}"
+    r"|(?:sk|pk|ghp|AKIA|xox[bp])[-_]?[0-9A-Za-z]{16,}|(?:SK|PK|GHP|XOX[BP])[-_][0-9A-Z]{16,})(?![0-9A-Za-z]))",
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
+    rf"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]+(?![\w:]))"
+    rf"{_H}(?::{_H}){{0,5}}::{_H}(?::{_H}){{0,5}})(?![\w:]))",
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))",
+    r"|00[1-9]\d{0,2}[ ./-](?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|00[1-9]\d{7,9}"
+    r"|(?:1[ .-])?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|1 \d{3} \d{3} \d{4}"
+    r"|\(0\d{1,5}\) ?\d{2,4}(?:[ -]?\d{2,4}){1,3}|0\d{2,5}[/-]\d{3,9}|(?=(?:\d ?){9,13}(?!\d))0\d{1,4}(?: \d{2,4}){2,4}"
+    r")(?!\w))",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
-    rf"(?P<name>\b(?:{_GIVEN}) (?:[A-ZÀ-Þ][a-zß-ÿ]+|[А-ЯЁ][а-яё]+)\b)",
-]))
-
+]
+_NAMES = [
+    rf"(?P<name>\b(?=[{_UPPER}])(?:{_GIVEN}) {_SURNAME}(?!\w))",
+    rf"(?P<titled>\b(?=[{_UPPER}]){_TITLE} (?:{_TITLE} )?(?P<who>{_SURNAME}(?: {_SURNAME})?)(?!\w))",
+    rf"(?P<intro>\b{_INTRO} (?P<self>{_PART} {_SURNAME})(?!\w))",
+]
+_CALLS = [rf"(?P<called>\b{_CALL}(?!(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\d)|\d{{3}}-\d\d-\d{{4}}(?!\d))(?P<number>\(?\d(?:[ ()/.-]{{0,2}}\d){{6,14}})(?!\w))"]
+#: By whether a text can have names and named numbers; what it can't have isn't looked for.
+PATTERN = {(n, c): re.compile("|".join(_ANY + n * _NAMES + c * _CALLS)) for n in (False, True) for c in (False, True)}
 
 #: Every entity but a name has one of these.
-_SIGNS = re.compile(r"[0-9@]|(?:sk|pk|ghp|AKIA|xox[bp])[-_0-9A-Za-z]{16}")
+_SIGNS = re.compile(r"[0-9@]|(?:sk|pk|ghp|AKIA|xox[bp])[-_0-9A-Za-z]{16}|(?:SK|PK|GHP|XOX[BP])[-_][0-9A-Z]{16}")
 _WORDS = re.compile(r"\b[A-ZА-Я]\w+")
+_KNOWN = _GENDER.keys() | {n.upper() for n in _GENDER}
+_KNOWN |= frozenset("Mr Mrs Ms Miss Dr Prof Mme Mlle Sr Sra Srta MR MRS MS MISS DR PROF MME MLLE SR SRA Herr Herrn Frau "
+                    "HERR HERRN FRAU Monsieur Madame Señor Señora Professor Господин Госпожа".split())
+_LEADS = ("name is", "heiße", "heisse", "Name ist", "appelle", "me llamo", "Me llamo", "зовут", "igned by", "name:", "name :", "Name:",
+          "Name :", "NAME:", "NAME :")
+_NUMBERED = re.compile(rf"{_CALL}\(?\d")
+#: Calling codes of one and two digits; others have three. Fixed values.
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+#: What of a match is the mention, where not all of it.
+_INNER = {"titled": "who", "intro": "self", "called": "number"}
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities of a text, which don't overlap."""
-    if not _SIGNS.search(text) and _GENDER.keys().isdisjoint(_WORDS.findall(text)):
+def _address(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
+def _titled(word: str) -> str:
+    return "-".join(w.capitalize() for w in word.split("-"))
+
+
+def _halves(name: str) -> tuple[str, str]:
+    """Given and family name; a single word, or one after a particle, is a family name."""
+    given, _, family = name.partition(" ")
+    return (given, family) if family and not given.islower() else ("", name)
+
+
+def canonical(kind: str, mention: str) -> str:
+    """The entity that a mention writes: one for all cases and separators."""
+    if kind in ("email", "ssn"):
+        return mention.casefold() if kind == "email" else mention
+    if kind == "secret":
+        return mention.lower() if re.fullmatch("[0-9A-Fa-f]+", mention) else mention
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(mention).exploded
+    if kind == "iban":
+        return mention.replace(" ", "")
+    if kind == "name":
+        return " ".join(w if w.islower() else _titled(w) for w in mention.replace("’", "'").split(" "))
+    digits = "".join(c for c in mention if "0" <= c <= "9")
+    if kind == "phone":
+        if mention[0] == "+" or digits.startswith("00"):
+            return "+" + digits.removeprefix("00")
+        if len(digits) == 11 and digits[0] == "1" or len(digits) == 10 and digits[0] != "0" or \
+                re.fullmatch(r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}", mention):
+            return "+" + ("1" if len(digits) == 10 else "") + digits
+    return digits if kind in ("phone", "card") else mention
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, type, entity, part) of the mentions in a text, which don't overlap.
+
+    part is whole.
+    """
+    signs = _SIGNS.search(text)
+    names = not _KNOWN.isdisjoint(_WORDS.findall(text)) or any(x in text for x in _LEADS)
+    if not signs and not names:
         return []
-    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text)]
+    out = []
+    for m in PATTERN[names, bool(signs and _NUMBERED.search(text))].finditer(text):
+        kind = m.lastgroup
+        s, e = m.span(_INNER.get(kind, kind))
+        if kind == "ipv6" and not _address(m[0]):
+            continue
+        kind = {"titled": "name", "intro": "name", "called": "phone"}.get(kind, kind)
+        out.append((s, e, kind, canonical(kind, text[s:e]), "whole"))
+    return out
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the mentions in a text, which don't overlap."""
+    return [m[:3] for m in mentions(text)]
 
 
 class _Stream:
@@ -97,7 +210,7 @@ def _luhn(digits: list[int]) -> int:
 
 
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The replacement of an entity, in its own format."""
+    """The replacement of an entity, as ``canonical`` writes it, in its own format."""
     r = _Stream(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -107,20 +220,28 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         return f"{_alike(local, r)}@{'.'.join([*(_alike(x, r) for x in inner), 'example', top])}"
     if kind == "ip":
         return ".".join(str(1 + r.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        # the documentation block; groups of 0 stay, so that what is shortened stays so
+        groups = [g if g == "0000" and not attempt else f"{1 + r.below(0xfffe):04x}" for g in value.split(":")[2:]]
+        return ":".join(["2001", "0db8", *groups])
     if kind == "secret":
         return "".join("0123456789abcdef"[r.below(16)] if re.fullmatch("[0-9a-f]+", value) else _alike(c, r) for c in value)
     if kind == "iban":
         return value[:2] + _alike(value[2:], r)
     if kind == "phone" and value[0] == "+":
-        head = re.match(r"\+\d{1,3}(?=\D)|\+", value)[0]
-        return head + _alike(value[len(head):], r)
+        code = _CODES.match(value, 1)
+        head = code.end() if code else min(4, len(value) - 4)
+        return value[:head] + _alike(value[head:], r)
+    if kind == "phone" and value[0] == "0":
+        return "0" + _alike(value[1:], r)
     if kind == "name":
-        given, family = value.split(" ", 1)
-        script, gender = _GENDER[given]
+        given, family = _halves(value)
+        script, gender = _GENDER.get(given, ("cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin", "fm"[r.below(2)]))
         pool, families = NAMES[script, gender], FAMILY["cyrillic" if "Ѐ" <= family[0] <= "ӿ" else "latin"]
         # past the list's combinations, attempts lengthen the family name
         tail = "".join(_LETTERS[script][r.below(20)] for _ in range(2 * attempt))
-        return f"{pool[r.below(len(pool))]} {families[r.below(len(families))]}{tail}"
+        first = f"{pool[r.below(len(pool))]} " if given else ""
+        return f"{first}{families[r.below(len(families))]}{tail}"
     out = _alike(value, r)
     if kind == "card":
         digits = [int(c) for c in value if c.isdigit()]
@@ -131,6 +252,36 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     return out
 
 
+def render(kind: str, mention: str, given: str, part: str = "whole") -> str:
+    """The surrogate of a mention's entity in the mention's own case and separators."""
+    if kind in ("phone", "card"):
+        digits, out = [c for c in given if c.isdigit()], []
+        for c in reversed(mention):
+            out.append(digits.pop() if "0" <= c <= "9" and digits else c)
+        return "".join(reversed(out))
+    if kind == "iban":
+        left = iter(given)
+        return "".join(c if c == " " else next(left) for c in mention)
+    if kind == "name":
+        first, _, rest = given.partition(" ")
+        given = {"whole": given, "given": first, "family": rest}[part]
+        return given.upper() if mention.isupper() else given
+    if kind == "ipv6":
+        address = ipaddress.IPv6Address(given)
+        given = address.compressed if "::" in mention else ":".join(f"{int(g, 16):x}" for g in given.split(":"))
+        return given.upper() if mention.isupper() else given
+    if kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", mention):
+        if len({c.isupper() for c in mention if c.isalpha()}) == 1:
+            return given.upper() if mention.isupper() else given
+        return "".join(g.upper() if c.isupper() else g for c, g in zip(mention, given))
+    if kind == "email":
+        if mention.isupper():
+            return given.upper()
+        n = mention.index("@")
+        return "".join(g.upper() if c.isupper() else g for c, g in zip(mention[:n], given)) + given[n:]
+    return given
+
+
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt, surrogate) of (kind, value, attempt)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +329,7 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: by
             row, kinds, values = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 if t:
-                    for k, v in dict.fromkeys((k, t[s:e]) for s, e, k in entities(t)):
+                    for k, v in dict.fromkeys((k, v) for _, _, k, v, _ in mentions(t)):
                         row.append(i), kinds.append(k), values.append(v)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -205,8 +356,8 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: by
                 if given:
                     to = {(g["kind"], g["value"]): g["surrogate"] for g in given}
                     parts, last = [], 0
-                    for s, e, k in entities(t):
-                        parts += [t[last:s], to[k, t[s:e]]]
+                    for s, e, k, v, p in mentions(t):
+                        parts += [t[last:s], render(k, t[s:e], to[k, v], p)]
                         last, n[k] = e, n.get(k, 0) + 1
                     t = "".join([*parts, t[last:]])
                 texts.append(t), counts.append(sum(n.values())), kinds.append(list(n.items()))

@@ -232,6 +232,25 @@ def test_pii(spark):
     assert woman in pii.NAMES["latin", "f"] and man in pii.NAMES["cyrillic", "m"]
 
 
+def test_pii_formats(spark):
+    found = {"9233A8ECF7C5B09FE5949719B6B82BC439E9329B": r"[0-9A-F]{40}", "04dbebab91ab85687d33eeaaf9ac699e": r"[0-9a-f]{32}",
+             "Linda Smith": r"[A-Z][a-z]+ [A-Z][a-z]+", "Anna McDonald": r"[A-Z][a-z]+ [A-Z][a-z]+",
+             "ANNA BAUER": r"[A-Z]+ [A-Z]+", "Екатерина Шевченко": r"[А-Я][а-я]+ [А-Я][а-я]+",
+             "0049 171 2345678": r"0049 \d{3} \d{7}", "(030) 1234-5678": r"\(0\d\d\) \d{4}-\d{4}",
+             "0171/2345678": r"0\d{3}/\d{7}", "1-800-555-0199": r"1-\d{3}-\d{3}-\d{4}",
+             "2001:db8::8a2e:370:7334": r"[0-9a-f:]+::[0-9a-f:]+", "fe80:0:0:0:1:2:3:4": r"([0-9a-f]+:){7}[0-9a-f]+"}
+    texts = [f"see {v}, then" for v in found] + ["tel: 5551234567.", "Dr. Kwame Nkrumah-Jones", "my name is Zoe O'Neil.",
+             "12:30:45 std::vector a::b 1.2.3 on 2024-01-02", "tel 10.20.30.40", "card 0054994038693466"]
+    got = {r["doc_id"]: (r["text"], r["n_entities"], r["kinds"]) for r in pii.replace(frame(spark, texts)).collect()}
+    for i, (v, form) in enumerate(found.items()):
+        assert got[i][1] == 1 and v not in got[i][0] and re.fullmatch(f"see {form}, then", got[i][0]), got[i]
+    n = len(found)
+    assert re.fullmatch(r"tel: \d{10}\.", got[n][0]) and "5551234567" not in got[n][0]
+    assert got[n + 1][0].startswith("Dr. ") and "Nkrumah" not in got[n + 1][0] and "Zoe" not in got[n + 2][0]
+    assert got[n + 3][:2] == (texts[n + 3], 0)
+    assert got[n + 4][2] == {"ip": 1} and got[n + 5][2] == {"card": 1}
+
+
 def test_surrogates_stay_distinct(spark):
     values = spark.createDataFrame([("name", f"{g} {f}") for (s, _), gs in pii.NAMES.items() for g in gs
                                     for f in pii.FAMILY[s]], "kind string, value string")
