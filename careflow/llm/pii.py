@@ -109,6 +109,7 @@ _LEADS = ("name is", "heiße", "heisse", "Name ist", "appelle", "me llamo", "Me
 _NUMBERED = re.compile(rf"{_CALL}\(?\d")
 #: Calling codes of one and two digits; others have three. Fixed values.
 _CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+_TAIL = re.compile(rf"[{_UPPER}][\w'’-]*\w")
 #: What of a match is the mention, where not all of it.
 _INNER = {"titled": "who", "intro": "self", "called": "number"}
 
@@ -155,13 +156,14 @@ def canonical(kind: str, mention: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, entity, part) of the mentions in a text, which don't overlap.
 
-    part is whole.
+    part is given or family where a mention has only that part of a name that
+    the text has in full before it, else whole.
     """
     signs = _SIGNS.search(text)
     names = not _KNOWN.isdisjoint(_WORDS.findall(text)) or any(x in text for x in _LEADS)
     if not signs and not names:
         return []
-    out = []
+    out, people = [], False
     for m in PATTERN[names, bool(signs and _NUMBERED.search(text))].finditer(text):
         kind = m.lastgroup
         s, e = m.span(_INNER.get(kind, kind))
@@ -169,6 +171,35 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
             continue
         kind = {"titled": "name", "intro": "name", "called": "phone"}.get(kind, kind)
         out.append((s, e, kind, canonical(kind, text[s:e]), "whole"))
+        people = people or kind == "name"
+    return _parts(text, out) if people else out
+
+
+def _parts(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """With the later mentions of a part of a name found in full, which refer to the last that has it."""
+    out, last, known = [], 0, {}
+
+    def between(a: int, b: int) -> None:
+        for m in _TAIL.finditer(text, a, b) if known else ():
+            word, end = m[0], m.end()
+            for tail in ("'s", "’s", "'S"):
+                if word.endswith(tail):
+                    word, end = word[:-2], end - 2
+            word = canonical("name", word)
+            if word in known:
+                out.append((m.start(), end, "name", *known[word]))
+
+    for s, e, kind, entity, part in found:
+        between(last, s)
+        last = e
+        if kind == "name":
+            given, family = _halves(entity)
+            if given and family:
+                known[given], known[family] = (entity, "given"), (entity, "family")
+            elif family in known:
+                entity, part = known[family]
+        out.append((s, e, kind, entity, part))
+    between(last, len(text))
     return out
 
 

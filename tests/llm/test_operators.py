@@ -251,6 +251,27 @@ def test_pii_formats(spark):
     assert got[n + 4][2] == {"ip": 1} and got[n + 5][2] == {"card": 1}
 
 
+def test_pii_coreference(spark):
+    texts = ["Ann.Lee@mail.example.com, ann.lee@mail.example.com", "ANN.LEE@MAIL.EXAMPLE.COM",
+             "4111 1111 1111 1111, 4111111111111111", "+1 (017) 555-7713, (017) 555-7713, +10175557713",
+             "ANNA BAUER", "Anna Bauer came. Later Anna met Ms Bauer and Bauer's dog in Annapolis.",
+             "DE89 3704 0044 0532 0130 00, DE89370400440532013000", "Anna alone"]
+    docs = pii.replace(frame(spark, texts)).collect()
+    got, n = {r["doc_id"]: r["text"] for r in docs}, {r["doc_id"]: r["n_entities"] for r in docs}
+    a, b = got[0].split(", ")
+    assert a.lower() == b == got[1].lower() and got[1].isupper() and a[0].isupper() and "lee" not in b
+    a, b = got[2].split(", ")
+    assert a.replace(" ", "") == b != "4111111111111111"
+    a, b, c = ("".join(x for x in p if x.isdigit()) for p in got[3].split(", "))
+    assert a == "1" + b == c != "10175557713"
+    given, family = got[4].split()
+    g, f = given.capitalize(), family.capitalize()
+    assert got[4].isupper() and got[5] == f"{g} {f} came. Later {g} met Ms {f} and {f}'s dog in Annapolis."
+    assert n[5] == 4 and n[3] == 3
+    a, b = got[6].split(", ")
+    assert a.replace(" ", "") == b and got[7] == "Anna alone"
+
+
 def test_surrogates_stay_distinct(spark):
     values = spark.createDataFrame([("name", f"{g} {f}") for (s, _), gs in pii.NAMES.items() for g in gs
                                     for f in pii.FAMILY[s]], "kind string, value string")
