@@ -1,17 +1,17 @@
-"""Repeated byte strings across a corpus, by distributed prefix doubling.
+"""Repeated byte strings across a corpus, by positions sampled by content.
 
 A byte goes if a string of ``length`` bytes that covers it also starts
-anywhere else. The positions that are sorted are a sample fixed by content:
+anywhere else. The positions that are compared are a sample fixed by content:
 every possible start owns the position of the least hash among the windows of
 its first bytes, so equal strings own equally placed positions and no match is
 lost, while about one byte in sixty-five is a position.
 
-Rounds of prefix doubling sort positions by the pair of their rank (the order
-of their first bytes so far) and what follows at the present offset, drop the
-pairs that are unique, and rank the others anew, until the bytes common to all
-starts that a position can have are past. Positions left then agree from the
-position on. Those whose whole surroundings agree too are settled at once; only
-around the ends of repeated passages are single starts compared.
+Positions are grouped twice, by hashes of the first and of the second half of
+the bytes common to all starts that a position can have; those alone in a group
+are dropped. Positions left then agree from the position on. Those whose whole
+surroundings agree too are settled at once; only around the ends of repeated
+passages are single starts compared. This stands in for prefix doubling, whose
+sorting of all positions doesn't fit the limits (README).
 
 Bytes are compared by 64-bit hashes of spans, several of which have to agree.
 """
