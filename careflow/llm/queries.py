@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from careflow.llm import extraction, fingerprint, language, minhash, neighbours, packing, pii, repeats, sampling, tokencount
+from careflow.llm import (extraction, fingerprint, language, minhash, negatives, neighbours, packing, pii, repeats,
+                          sampling, secretscan, tokencount, variants)
 from careflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,11 +80,30 @@ def op5_wrapper_extraction(spark, sf_dir):
     return extraction.main_text(read(spark, sf_dir, "pages"))
 
 
+@query
+def op11_entropy_secrets(spark, sf_dir):
+    """Secrets of all documents: fixed patterns and windows of high entropy."""
+    return secretscan.digest(secretscan.scan(read(spark, sf_dir, "documents")))
+
+
+@query
+def op12_threshold_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth embedding."""
+    return negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
+ORACLE["op12_threshold_negatives"] = negatives.ORACLE_SQL
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
