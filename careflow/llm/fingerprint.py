@@ -12,9 +12,11 @@ width. Likeness compares sketches.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 998_244_353)
 WIDTH = 16
 SKETCH = 64
+#: Text of a range of keys, and the most ranges there are.
+RANGE_BYTES, MOST_RANGES = 4_000_000, 20_000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -180,18 +184,27 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows in ranges of descending keys, each range followed by the next one's first row.
 
     Columns: key, text, _range, _extra (true for the row lent by the next
-    range). Only the rows lent, one for each range, are copied.
+    range). Ranges hold about RANGE_BYTES of text, and there are MOST_RANGES
+    at most, so that their bounds fit a broadcast; each is a partition of its
+    own, whatever the number of shuffle partitions. Only the rows lent, one
+    for each range, are copied.
     """
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    ranges = F.lit(0)
-    for b in sorted(set(bounds)):
-        ranges = ranges + F.when(F.col(key) <= F.lit(b), 1).otherwise(0)
-    # null keys come after all others
-    ranges = F.when(F.col(key).isNull(), len(set(bounds)) + 1).otherwise(ranges)
-    rows = rows.withColumn("_range", ranges.cast("int"))
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = min(max(-(-size // RANGE_BYTES), 1), MOST_RANGES)
+    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
+    bounds = sorted(set(bounds))
+    held = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        """How many bounds a key doesn't exceed."""
+        return pd.Series([len(held.value) - bisect_left(held.value, k) for k in keys.tolist()], dtype="int32")
+
+    # null keys come after all others; in pandas they would turn integers into floating-point numbers
+    rows = rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(
+        range_of(F.coalesce(F.col(key), F.lit(bounds[0]))) if bounds else F.lit(0)))
     heads = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max(key).alias("top")).collect()}
     order = sorted(heads)
     lent = [(r, heads[r], order[i - 1]) for i, r in enumerate(order)]
@@ -202,7 +215,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = first.select(F.col(f"h.{key}").alias(key), F.col(f"h.{text}").alias(text),
                          F.col("_to").alias("_range"), F.lit(True).alias("_extra"))
     return (rows.withColumn("_extra", F.lit(False)).unionByName(first)
-            .repartition(n, "_range")
+            .repartitionById(len(bounds) + 2, F.col("_range"))
             .sortWithinPartitions("_range", "_extra", F.desc_nulls_last(key), F.desc(text)))
 
 
@@ -215,10 +228,12 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     following the last. Equal keys follow each other by descending text; null
     keys come last. A null text is empty; a table of one row follows itself.
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. Other columns are not read.
+    near_edited, near_next, common_prefix (code points that the text and the
+    next one begin with alike, by binary search over prefix hashes). Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+             "common_prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -239,7 +254,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
     ddl = (f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-           "near_edited double, near_next double")
+           "near_edited double, near_next double, common_prefix long")
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     assert schema.names == names
     return with_next(docs, key, text).select(key, text, "_range", "_extra").mapInArrow(run, ddl)
@@ -253,4 +268,4 @@ def _edited(own: tuple, after: tuple, width: int, k: int) -> tuple:
     data = np.concatenate([codes[:kept], next_codes[:taken]]).tobytes().decode("utf-32-le", "surrogatepass")
     edited = edited_fingerprint(p, codes, kept, next_p, next_codes, taken, width, k)
     return (key, p.n, hashlib.sha256(data.encode("utf-8", "surrogatepass")).hexdigest(), print_, edited,
-            likeness(print_, edited, k), likeness(print_, next_print, k))
+            likeness(print_, edited, k), likeness(print_, next_print, k), p.extension(0, 0, next_p))
