@@ -47,7 +47,7 @@ def op8_prefix_fingerprints(spark, sf_dir):
 @query
 def op2_suffix_dedup(spark, sf_dir):
     """All documents without the bytes of strings of 400 bytes that occur elsewhere."""
-    return repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), keep_text=True).withColumnRenamed("kept", "text")
 
 
 @query
