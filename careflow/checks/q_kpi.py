@@ -184,6 +184,15 @@ def k3_staffing_plan(spark, sf):
     return K.staffing_plan(master(spark, sf))
 
 
+@query("k3_staffing_alerts", S.wrap(f"""WITH sp AS ({STAFF_SQL})
+SELECT hour_label AS hour, CASE WHEN status = 'saturated' THEN 'critical' ELSE 'warning' END AS severity,
+  round_even(patients_arrival, 1) AS patients_arrival, needed_doctors, current_doctors, recommendation FROM sp WHERE diff > 0""",
+                                    ["patients_arrival"]))
+def k3_staffing_alerts(spark, sf):
+    """K3: the alert list beside the schedule."""
+    return K.staffing_alerts(K.staffing_plan(master(spark, sf)))
+
+
 @query("k4_staffing_summary", S.wrap(f"""WITH sp AS ({STAFF_SQL})
 SELECT CAST(sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS BIGINT) AS total_alerts,
   CAST(sum(CASE WHEN status = 'saturated' THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts,

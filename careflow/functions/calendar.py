@@ -100,8 +100,12 @@ def weekday_name(c) -> Column:
 
 
 def format_minute(ts) -> Column:
-    """``%Y-%m-%d %H:%M``."""
-    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm")
+    """``%Y-%m-%d %H:%M`` of the wall clock.
+
+    Cut from the timestamp_ntz's own text: ``date_format`` goes through the
+    session zone and moves times inside a daylight-saving gap.
+    """
+    return F.substring(_c(ts).cast("timestamp_ntz").cast("string"), 1, 16)
 
 
 def percent_text(c, decimals: int = 1) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.operators.ordering import attach_scalars, global_index
+from careflow.operators.ordering import attach_scalars, global_index, prefix_sums
 
 # KPI weights, staffing rule and recommendation texts.
 SATISFACTION_WEIGHTS = {"noshow": 0.30, "wait": 0.40, "utilization": 0.30}
@@ -165,6 +165,16 @@ def staffing_plan(master: DataFrame, demand: str = "pacientes_llegando",
                     text.alias("recommendation"))
 
 
+def staffing_alerts(plan: DataFrame) -> DataFrame:
+    """K3: the hours that need more doctors than there are, in the order of
+    the day: severity, mean arrivals to one decimal (half to even) and what to do."""
+    severity = F.when(F.col("status") == "saturated", F.lit("critical")).otherwise(F.lit("warning"))
+    return (plan.where("diff > 0").orderBy("hour")
+            .select(F.col("hour_label").alias("hour"), severity.alias("severity"),
+                    F.bround("patients_arrival", 1).alias("patients_arrival"), "needed_doctors", "current_doctors",
+                    "recommendation"))
+
+
 def staffing_summary(plan: DataFrame) -> DataFrame:
     """K4: alerts, critical alerts, max mean arrivals and the peak hour
     (earliest hour among ties, like ``idxmax``)."""
@@ -185,25 +195,19 @@ def high_demand_hours(master: DataFrame, demand: str = "pacientes_llegando",
 def count_at_least(values: DataFrame, value: str, thresholds: DataFrame, t: str, out: str = "n_at_least") -> DataFrame:
     """Per threshold row: number of ``values`` rows with value >= threshold.
 
-    Exact and distributed: values are reduced to (value, count) with
-    map-side combine; each distinct value is placed in the bucket of
-    thresholds it passes (a one-row array of the thresholds, whose size
-    is the number of scenarios); bucket totals (at most one row per
-    threshold) are summed from the top down.
+    Exact and distributed in both tables: values are reduced to (value, count)
+    with map-side combine and merged with the distinct thresholds in one
+    descending order, where a threshold stands behind the values equal to it;
+    the running total at a threshold is its count. A null threshold has none.
     """
-    hist = values.groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ts = thresholds.select(F.col(t).cast("double").alias("__t")).distinct()
-    arr = ts.agg(F.array_sort(F.collect_list("__t")).alias("__arr"))
-    passed = F.size(F.filter(F.col("__arr"), lambda x: x <= F.col("__v")))
-    buckets = attach_scalars(hist, arr).groupBy(passed.alias("__b")).agg(F.sum("__c").alias("__bc"))
-    # tables below have at most (number of thresholds + 1) rows
-    ranked = ts.withColumn("__b", F.row_number().over(Window.orderBy("__t")))
-    both = buckets.unionByName(ranked.select("__b", F.lit(0).cast("long").alias("__bc")))
-    totals = both.groupBy("__b").agg(F.sum("__bc").alias("__bc"))
-    suffix = totals.withColumn(out, F.sum("__bc").over(
-        Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, 0)))
-    res = ranked.join(suffix.select("__b", out), "__b").select("__t", out)
-    return thresholds.join(res, thresholds[t].cast("double") == res["__t"], "left").drop("__t")
+    hist = values.where(F.col(value).isNotNull()).groupBy((-F.col(value).cast("double")).alias("__k")).agg(
+        F.count(F.lit(1)).alias("__c"))
+    ts = thresholds.select((-F.col(t).cast("double")).alias("__k")).where("__k is not null").distinct()
+    both = hist.select("__k", F.lit(0).alias("__last"), "__c").unionByName(
+        ts.select("__k", F.lit(1).alias("__last"), F.lit(0).cast("long").alias("__c")))
+    counted = prefix_sums(both, ["__k", "__last"], ["__c"]).where("__last = 1").select(
+        "__k", F.col("cum___c").alias(out))
+    return thresholds.join(counted, -thresholds[t].cast("double") == counted["__k"], "left").drop("__k")
 
 
 def overbooking_impact(scored: DataFrame, scenarios: DataFrame, master: DataFrame | None,

@@ -111,6 +111,42 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     return cum.agg((F.sum(F.col("pos") * prec) / F.sum("pos")).alias("pr_auc"))
 
 
+def grouped_binary_metrics(df: DataFrame, by: Sequence[str], label: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """M15-M17 of many groups (trials, models) at once: exact ROC-AUC, average
+    precision and the metrics at ``score >= threshold`` of each.
+
+    Scores are reduced to (group, score) counts; one distributed prefix sum
+    over all groups gives the counts below each score. Groups without both
+    classes have null areas.
+    """
+    y = F.col(label).cast("long")
+    hist = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    cum = prefix_sums(hist, [*by, "s"], ["pos", "neg"], inclusive=False)
+    # a group's first score has the totals of the groups before it
+    ends = cum.groupBy(*by).agg(F.min("cum_pos").alias("__p0"), F.min("cum_neg").alias("__n0"),
+                                F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in by]
+    x = cum.alias("c").join(ends.alias("e"), same).select("c.*", "__p0", "__n0", "P", "N")
+    below = F.col("cum_neg") - F.col("__n0")
+    tp, fp = F.col("P") - (F.col("cum_pos") - F.col("__p0")), F.col("N") - below
+    high = F.col("s") >= F.lit(float(threshold))
+    g = x.groupBy(*by).agg(
+        F.sum(F.col("pos") * (below + F.col("neg") * 0.5)).alias("__a"), F.sum(F.col("pos") * (tp / (tp + fp))).alias("__ap"),
+        F.first("P").alias("P"), F.first("N").alias("N"),
+        F.sum(F.when(high, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(high, F.col("neg")).otherwise(0)).alias("fp"))
+    g = g.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
+    t = {c: F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")}
+    prec = F.when(t["tp"] + t["fp"] > 0, t["tp"] / (t["tp"] + t["fp"])).otherwise(F.lit(0.0))
+    rec = F.when(t["tp"] + t["fn"] > 0, t["tp"] / (t["tp"] + t["fn"])).otherwise(F.lit(0.0))
+    return g.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                F.col("__a") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
+                    F.when(F.col("P") > 0, F.col("__ap") / F.col("P")).alias("pr_auc"), prec.alias("precision"),
+                    rec.alias("recall"),
+                    F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1_score"),
+                    ((t["tp"] + t["tn"]) / (F.col("P") + F.col("N"))).alias("accuracy"), "tn", "fp", "fn", "tp")
+
+
 def evaluation_document(binary: DataFrame, auc: DataFrame, ap: DataFrame, sizes: DataFrame,
                         params: dict | None = None, threshold: float = 0.5) -> DataFrame:
     """One row with metrics, confusion matrix, sizes and parameters

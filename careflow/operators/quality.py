@@ -167,7 +167,8 @@ def text_inconsistency(df: DataFrame, columns: Iterable[str], name: str = "table
     rep = counts.join(unk, "column")
     return rep.select(F.lit(name).alias("table"), "column", "raw_unique", "normalized_unique",
                       (F.col("normalized_unique") < F.col("raw_unique")).cast("int").alias("possible_text_inconsistency"),
-                      "missing_or_unknown_count")
+                      "missing_or_unknown_count").orderBy(
+        F.desc("possible_text_inconsistency"), F.desc("missing_or_unknown_count"), F.desc("raw_unique"), "column")
 
 
 def hours_without_valid(master: DataFrame, count_col: str = "wait_proxy_valid_count") -> DataFrame:
@@ -202,7 +203,8 @@ def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Count, missing, min, q1, median, mean, q3, max, sample std,
-    bias-corrected skew and IQR outliers per column.
+    bias-corrected skew and IQR outliers per column. Text that is no number
+    is neither counted nor missing: missing counts nulls of the raw column.
 
     The (column, value) pairs are persisted while the three small results
     (moments, exact quartiles, outlier counts; one row per column each) are
@@ -214,14 +216,14 @@ def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     from careflow.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     cols = [c for c in columns if c in df.columns]
-    num = df.select(*[(safe_numeric(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double"))
-                      .alias(c) for c in cols])
-    long = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x"))
-                                          for c in cols])).alias("p")).select("p.*")
+    number = {c: safe_numeric(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double") for c in cols}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number[c].alias("x"),
+                                                  F.col(c).isNull().cast("long").alias("none"))
+                                         for c in cols])).alias("p")).select("p.*")
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         mom = long.groupBy("column").agg(
-            F.count("x").alias("count"), F.sum(F.col("x").isNull().cast("long")).alias("missing"),
+            F.count("x").alias("count"), F.sum("none").alias("missing"),
             F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
             F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)
         q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])

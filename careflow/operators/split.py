@@ -1,6 +1,7 @@
 """Train/test splits and time-series folds (M2-M4).
 
-All three number rows in a global order with
+The stratified split selects each class's cut among its hashes; the others
+number rows in a global order with
 :func:`careflow.operators.ordering.global_index` (range partitions plus
 per-partition offsets), so no class or fold is ranked inside one task.
 """
@@ -9,27 +10,62 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.operators.ordering import attach_scalars, global_index
+from careflow.session import checkpoint_dir
+
+#: First bits of the hashes that a class's histogram is over.
+BUCKET_BITS = 16
 
 
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fraction: float = 0.2,
                      seed: int = 42, out: str = "is_test") -> DataFrame:
     """M2: exact stratified split. Within each class rows are ordered by
-    ``xxhash64(id, seed)`` (then the id), and the first
-    ``round(test_fraction * n_class)`` are test rows: per-class sizes are
-    exact and the split is reproducible for any partitioning."""
+    ``xxhash64(id, seed)``, and the first ``round(test_fraction * n_class)``
+    are test rows: per-class sizes are exact and the split is reproducible
+    for any partitioning.
+
+    The last test row's hash is selected, not sorted for: a histogram of each
+    class over the hashes' first bits says which bucket it is in, and the
+    counts of that bucket's hashes which hash it is. Only rows that tie on it
+    while some of them are test rows and some not (rows with equal ids) are
+    numbered.
+    """
     h = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    x = df.withColumn("__h", h)
-    idx = global_index(x, [label, "__h", *id_cols], "__r")
-    stats = idx.groupBy(label).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    # one row per class
-    j = idx.join(F.broadcast(stats), label)
-    rank = F.col("__r") - F.col("__first") + 1
-    k = F.round(F.col("__n") * F.lit(float(test_fraction)))  # no .5 ties for fractions like 0.2
-    return j.withColumn(out, (rank <= k)).drop("__h", "__r", "__first", "__n")
+    hashed = df.select(F.col(label).alias("__label"), h.alias("__h"))
+    bucket = F.shiftright("__h", 64 - BUCKET_BITS)
+    below = Window.partitionBy("__label").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def reached(counts: DataFrame, wanted: Column) -> DataFrame:
+        """The place in each class where the running count reaches what is wanted."""
+        x = counts.withColumn("__below", F.coalesce(F.sum("__c").over(below), F.lit(0))).withColumn("__k", wanted)
+        return x.where((F.col("__below") < F.col("__k")) & (F.col("__k") <= F.col("__below") + F.col("__c"))).select(
+            "__label", "__at", (F.col("__k") - F.col("__below")).alias("__need"), F.col("__c").alias("__size"))
+
+    hist = hashed.groupBy("__label", bucket.alias("__at")).agg(F.count(F.lit(1)).alias("__c"))
+    total = F.sum("__c").over(Window.partitionBy("__label"))
+    first = reached(hist, F.round(total * F.lit(float(test_fraction)))).select(
+        "__label", F.col("__at").alias("__b"), F.col("__need").alias("__want"))
+    inner = hashed.alias("x").join(first.alias("f"), F.col("x.__label").eqNullSafe(F.col("f.__label"))
+                                   & (F.shiftright("x.__h", 64 - BUCKET_BITS) == F.col("f.__b")))
+    inner = inner.groupBy(F.col("x.__label").alias("__label"), F.col("__h").alias("__at")).agg(
+        F.count(F.lit(1)).alias("__c"), F.first("__want").alias("__want"))
+    checkpoint_dir(df.sparkSession)
+    edge = reached(inner, F.col("__want")).checkpoint(eager=True)  # one row for each class
+    x = df.withColumn("__h", h).alias("x").join(edge.alias("e"), F.col(f"x.{label}").eqNullSafe(F.col("e.__label")), "left")
+    x = x.select("x.*", "__at", "__need", "__size")
+    clear = x.withColumn(out, F.coalesce(F.col("__h") <= F.col("__at"), F.lit(False)))
+    if edge.where("__need < __size").isEmpty():
+        return clear.drop("__h", "__at", "__need", "__size")
+    tied = (F.col("__h") == F.col("__at")) & (F.col("__need") < F.col("__size"))
+    tied = F.coalesce(tied, F.lit(False))
+    split = global_index(x.where(tied), [label, "__h", *id_cols], "__r")
+    start = split.groupBy(label).agg(F.min("__r").alias("__first"))
+    split = split.alias("x").join(start.alias("s"), F.col(f"x.{label}").eqNullSafe(F.col(f"s.{label}"))).select("x.*", "__first")
+    split = split.withColumn(out, F.col("__r") - F.col("__first") < F.col("__need")).drop("__r", "__first")
+    return clear.where(~tied).unionByName(split).drop("__h", "__at", "__need", "__size")
 
 
 def stratified_split_by_hash(df: DataFrame, label: str, id_cols: Sequence[str], test_fraction: float = 0.2,

@@ -83,6 +83,20 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
+def model_report(spark: SparkSession, documents: Mapping[str, str]) -> DataFrame:
+    """K6: stored metric documents (S4) in one report, a row for each with its
+    name as ``model``; fields that a document lacks are null, and so are all
+    fields of one that isn't there."""
+    out = None
+    for name, path in documents.items():
+        if _fs_exists(spark, path):
+            part = read_json(spark, path).withColumn("model", F.lit(name))
+        else:
+            part = spark.createDataFrame([(name,)], "model string")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Trial log as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -93,20 +107,50 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def append_predictions(df: DataFrame, path: str, username: str, ts_col: str = "timestamp") -> None:
-    """Append scored rows with user and time, partitioned by date."""
-    out = (df.withColumn("username", F.lit(username))
-             .withColumn(ts_col, F.current_timestamp().cast("timestamp_ntz"))
-             .withColumn("date", F.to_date(ts_col)))
-    out.write.mode("append").partitionBy("date").parquet(path)
+def append_predictions(df: DataFrame, path: str, username: str, ts_col: str = "timestamp",
+                       batch_id: str | None = None, at: str | None = None) -> str:
+    """Append scored rows with user and time; returns the batch's id.
+
+    Every batch is a partition of its own (``batch``, then ``date``), written
+    whole: a write that is tried again under its ``batch_id`` takes the place
+    of what an earlier attempt left, and adds nothing. ``at`` is the time of
+    the batch (default: now), the same for all its rows.
+    """
+    batch_id = batch_id or uuid.uuid4().hex
+    if not batch_id.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("a batch id has letters, digits, - and _ only")
+    time = F.lit(at).cast("timestamp_ntz") if at else F.current_timestamp().cast("timestamp_ntz")
+    out = df.withColumn("username", F.lit(username)).withColumn(ts_col, time).withColumn("date", F.to_date(ts_col))
+    out.write.mode("overwrite").partitionBy("date").parquet(f"{path.rstrip('/')}/batch=b-{batch_id}")
+    return batch_id
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The prediction log, with ``batch`` and ``date`` as partition columns."""
+    return spark.read.option("basePath", path).parquet(path)
 
 
 def prediction_history(log: DataFrame, username: str, limit: int = 50, ts_col: str = "timestamp",
-                       id_col: str | None = None, user_col: str = "username") -> DataFrame:
+                       id_col: str | None = None, user_col: str = "username", date_col: str | None = None) -> DataFrame:
     """One user's predictions, newest first, at most ``limit`` rows
-    (a top-k: the feature is the limit)."""
+    (a top-k: the feature is the limit).
+
+    With ``date_col``, the partition column of the time's date, only the
+    newest dates that hold enough of the user's rows are read: twice as many
+    in each step, until the limit is filled or no dates are left.
+    """
+    mine = log.filter(F.col(user_col) == username)
+    if date_col:
+        dates = [r[0] for r in log.select(date_col).distinct().orderBy(F.desc(date_col)).collect()]  # a row a day
+        take = 1
+        while take < len(dates):
+            newest = mine.filter(F.col(date_col) >= F.lit(dates[take - 1]))
+            if newest.limit(limit).count() >= limit:
+                mine = newest
+                break
+            take *= 2
     order = [F.desc(ts_col)] + ([F.desc(id_col)] if id_col else [])
-    return log.filter(F.col(user_col) == username).orderBy(*order).limit(limit)
+    return mine.orderBy(*order).limit(limit)
 
 
 def output_audit(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
