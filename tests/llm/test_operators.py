@@ -386,3 +386,51 @@ def test_empty_documents(spark, apply):
 def test_other_empty_tables(spark):
     assert extraction.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_deep_and_wide_pages_align():
+    import time
+    deep = "<div>" * 5000 + "%s" + "</div>" * 5000
+    a, b = (extraction.parse(deep % x) for x in ("<p>one</p>", "<p>two</p>"))
+    t0 = time.time()
+    assert extraction.constant(a, b) == set()
+    table = "<table>" + "".join(f"<tr><td>{{0}} {i}</td><td>x</td></tr>" for i in range(10_000)) + "</table>"
+    a, b = (extraction.parse(table.format(x) + "<div>same <b>here</b></div>") for x in "pq")
+    same = extraction.constant(a, b)
+    assert time.time() - t0 < 5
+    assert extraction.blocks([a], same) == [f"p {i}" for i in range(10_000)]
+
+
+def test_long_sibling_lists_are_cut_at_equal_subtrees():
+    rnd = random.Random(6)
+    items = [f"<li><i>{i}</i><b>{rnd.random()}</b></li>" for i in range(300)]
+    left = [x if rnd.random() < 0.8 else "<li><i>a</i><u>%d</u></li>" % i for i, x in enumerate(items)]
+    right = ["<li><i>new</i><b>%d</b></li>" % i if rnd.random() < 0.3 else x for i, x in enumerate(items)]
+    a, b = (extraction.parse("<ul>" + "".join(x) + "</ul>") for x in (left, right))
+    same = extraction.constant(a, b)
+    kept = [x for x, k in zip(left, a.kids[0].kids) if id(k) in same]
+    assert kept == [x for x, y in zip(left, right) if x == y]
+
+
+@pytest.mark.parametrize("partitions", [3, 4000])
+def test_fingerprints_at_any_number_of_shuffle_partitions(spark, texts, monkeypatch, partitions):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 500)
+    rows = frame(spark, texts)
+    want = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(rows).collect()}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = fingerprint.edited_fingerprints(rows)
+        assert {r["doc_id"]: r for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for i, t in enumerate(texts):
+        a, b = t or "", texts[i - 1] or ""
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert want[i]["common_prefix"] == n
+
+
+def test_fingerprints_with_null_and_repeated_keys(spark):
+    rows = spark.createDataFrame([(1, "one two"), (1, "one"), (None, "lost"), (None, None), (3, "three")], "doc_id long, text string")
+    got = fingerprint.edited_fingerprints(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (0, 4), (1, 3), (1, 7), (3, 5)]
