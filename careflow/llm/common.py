@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from functools import lru_cache
@@ -54,8 +55,12 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``size`` bytes in a column, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes in a column, one row at least.
+
+    After the last one the worker gives free memory back, as it lives on
+    beside the JVM and the workers of other stages.
+    """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         a = 0
@@ -64,6 +69,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000
             b = max(int(np.searchsorted(ends, done + size, "right")), a + 1)
             yield batch.slice(a, b - a)
             a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what the allocators hold free to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

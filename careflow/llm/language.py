@@ -25,7 +25,7 @@ TRAIN_ROWS = 20_000
 BUCKET_BITS = 15
 ROUNDS = 12
 UNKNOWN = "und"
-_BLOCK = 500_000
+_BLOCK = 160_000
 
 
 @lru_cache(maxsize=1)

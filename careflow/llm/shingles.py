@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
 from careflow.llm.common import mix64, text_bytes
 
 WORDS = 5
+_KEPT = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -24,7 +27,18 @@ _PLACE = _random_words(64, 11) | np.uint64(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+    """Powers of an odd base modulo 2^64 and of its inverse; a worker keeps those of short texts."""
+    if n <= _KEPT:
+        return tuple(p[:n] for p in _short_powers())
+    return _powers(n)
+
+
+@lru_cache(maxsize=1)
+def _short_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_KEPT)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
     with np.errstate(over="ignore"):
         out = []
