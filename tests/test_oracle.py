@@ -17,7 +17,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SUBSET = ["c7_hourly_master", "c6_no_show_base", "c9_demand_features", "a6_rate_by_dimension", "a14_numeric_profile",
           "k5_overbooking_impact", "m16_roc_auc", "m17_average_precision", "q8_domain_check", "q9_text_inconsistency",
           "w10_seasonal_decompose", "p4_standardize_time", "p7_parse_datetime_loose", "t3_top_n_others",
-          "m2_stratified_split_sizes", "a22_block_means"]
+          "m2_stratified_split_sizes", "a22_block_means", "m1_one_hot_long", "m20_planted_forecast",
+          "m21_naive_autoregression", "k3_staffing_alerts", "s6_append_predictions", "s7_log_history", "c8_no_show_features"]
 NAMES = sorted(oracle_sql()) if os.environ.get("CAREFLOW_FULL_ORACLE") else SUBSET
 
 
