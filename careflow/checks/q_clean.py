@@ -433,11 +433,11 @@ def p32_casts(spark, sf):
 
 
 @query("p33_severity_number", f"""WITH {S.RAW_TRIAGE} SELECT ClaveIngreso,
-  {S.numeric("CASE trim(Triage) WHEN 'A' THEN ' 1 ' WHEN 'C' THEN '2.5' WHEN 'E' THEN '' ELSE Triage END")} AS sev FROM raw_triage""")
+  {S.numeric("CASE trim(Triage) WHEN 'p' THEN ' 1 ' WHEN 'c' THEN '2.5' WHEN 'e' THEN '' ELSE Triage END")} AS sev FROM raw_triage""")
 def p33_severity_number(spark, sf):
     """Text severity -> number (bad -> null)."""
     r = Inputs(spark, sf).triage()
     # numbers with blanks, empty text and letters
-    text = (F.when(F.trim("Triage") == "A", " 1 ").when(F.trim("Triage") == "C", "2.5").when(F.trim("Triage") == "E", "")
+    text = (F.when(F.trim("Triage") == "p", " 1 ").when(F.trim("Triage") == "c", "2.5").when(F.trim("Triage") == "e", "")
             .otherwise(F.col("Triage")))
     return r.select("ClaveIngreso", P.safe_numeric(text).alias("sev"))
