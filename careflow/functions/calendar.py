@@ -46,14 +46,20 @@ def week_of_year(ts) -> Column:
 _EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
+def interval_micros(interval: Column) -> Column:
+    """A day-time interval in whole microseconds, reading it once."""
+    seconds = interval.cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("long")
+
+
 def wall_micros(ts) -> Column:
     """Microseconds from 1970-01-01 00:00 to a timestamp_ntz's wall clock.
 
-    Built from the value's text with an explicit ``Z`` zone, so neither the
-    session time zone nor its daylight-saving gaps enter (``timestamp_diff``
-    on timestamp_ntz converts through the session zone); reads ``ts`` once.
+    The difference of two timestamp_ntz is taken on the wall clock, so neither
+    the session time zone nor its daylight-saving gaps enter (``timestamp_diff``
+    converts through the session zone); reads ``ts`` once.
     """
-    return F.unix_micros(F.concat(_c(ts).cast("string"), F.lit("Z")).cast("timestamp"))
+    return interval_micros(_c(ts).cast("timestamp_ntz") - F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def floor_to(ts, unit_us: int) -> Column:

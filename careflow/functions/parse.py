@@ -33,9 +33,7 @@ def _c(c) -> Column:
 
 def _digits(c) -> Column:
     """Strip, blank->null, drop a trailing ``.0``, keep digits only."""
-    s = empty_to_null(unicode_trim(c))
-    s = F.regexp_replace(s, r"\.0$", "")
-    return F.regexp_replace(s, r"\D", "")
+    return F.regexp_replace(empty_to_null(unicode_trim(c)), r"\.0$|\D", "")
 
 
 def hhmmss_from_digits(s: Column) -> Column:
@@ -146,8 +144,8 @@ def label_map(c, mapping: dict | None = None) -> Column:
 
 
 def _wall_diff(start, end) -> Column:
-    from careflow.functions.calendar import wall_micros
-    return wall_micros(end) - wall_micros(start)
+    from careflow.functions.calendar import interval_micros
+    return interval_micros(_c(end).cast("timestamp_ntz") - _c(start).cast("timestamp_ntz"))
 
 
 def minutes_between(start, end) -> Column:

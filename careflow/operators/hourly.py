@@ -2,8 +2,9 @@
 
 Hour buckets are a ``groupBy(date_trunc('hour', ts))`` with map-side
 partial aggregation. The exact median of A1 comes from running totals of
-the (hour, value) counts (:func:`careflow.operators.ordering.exact_median`),
-so an hour holding a third of all rows is split across tasks.
+the (hour, wait) counts (:func:`careflow.operators.ordering.count_quantiles`),
+so an hour holding a third of all rows is split across tasks; the other
+columns are sums of the same counts, so the notes are read once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.calendar import floor_day, floor_hour
 from careflow.functions.parse import TRIAGE_VALUES
-from careflow.operators.ordering import exact_median
+from careflow.operators.ordering import count_quantiles
 
 
 def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
@@ -40,9 +41,13 @@ def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
     if median == "approx":
         return base.groupBy(out_ts).agg(
             *aggs, F.percentile_approx("__w", 0.5, 10000).cast("double").alias("tiempo_espera_mediana")).select(*cols)
-    hourly = base.groupBy(out_ts).agg(*aggs)
-    med = exact_median(base, [out_ts], "__w", "tiempo_espera_mediana")
-    return hourly.join(med, out_ts, "left").select(*cols)
+    counts = base.withColumn("__w", F.col("__w").cast("double")).groupBy(out_ts, "__w").agg(
+        F.count(F.lit(1)).alias("__rows"), F.count("__w").alias("__waits"), F.sum("__valid").alias("__ok"))
+    found = count_quantiles(counts, [out_ts], "__w", "__waits", [0.5], [
+        F.sum("__rows").alias("pacientes_llegando"),
+        F.try_divide(F.sum(F.col("__w") * F.col("__waits")), F.sum("__waits")).alias("tiempo_espera"),
+        F.coalesce(F.sum("__ok"), F.lit(0)).cast("long").alias("wait_proxy_valid_count")])
+    return found.withColumnRenamed("q0", "tiempo_espera_mediana").select(*cols)
 
 
 def hourly_events(df: DataFrame, ts: str, out_ts: str = "timestamp",

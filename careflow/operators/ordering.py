@@ -123,12 +123,30 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     qs = [float(q) for q in quantiles]
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     counts = v.groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    runs = prefix_sums(counts, [*group_cols, "__v"], ["__c"], num_partitions)
+    found = count_quantiles(counts, group_cols, "__v", "__c", qs, num_partitions=num_partitions)
+    return found.filter(F.col("q0").isNotNull()).select(*group_cols, F.explode(F.array(*[
+        F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("value")) for i, q in enumerate(qs)])).alias("__q")
+    ).select(*group_cols, "__q.q", "__q.value")
+
+
+def count_quantiles(counts: DataFrame, group_cols: Sequence[str], value: str, count: str, qs: Sequence[float],
+                    aggs: Sequence[Column] = (), num_partitions: int | None = None) -> DataFrame:
+    """Quantiles ``q0``, ``q1``, ... of a table of (group, value, count) rows,
+    one row per group, beside any other aggregates ``aggs`` of these rows.
+
+    The table is ordered and written once; the running totals, the groups'
+    totals and ``aggs`` all come from there. Rows of count 0 (such as a null
+    value's) hold no rank.
+    """
+    runs = prefix_sums(counts.withColumns({"__v": F.col(value), "__c": F.col(count)}), [*group_cols, value], ["__c"],
+                       num_partitions)
     runs = runs.withColumn("__end", F.col("cum___c")).withColumn("__start", F.col("cum___c") - F.col("__c"))
-    stats = runs.groupBy(*group_cols).agg(F.min("__start").alias("__first"), F.sum("__c").alias("__n"))
+    stats = runs.groupBy(*group_cols).agg(F.min("__start").alias("__first"), F.sum("__c").alias("__n"), *aggs)
+    kept = [c for c in stats.columns if c not in group_cols and c not in ("__first", "__n")]
+    runs = runs.select(*group_cols, "__v", "__start", "__end")
     if group_cols:
         same = [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group_cols]
-        placed = runs.alias("r").join(stats.alias("s"), same).select("r.*", "__first", "__n")
+        placed = runs.alias("r").join(stats.alias("s"), same).select("r.*", "__first", "__n", *kept)
     else:
         placed = attach_scalars(runs, stats)
 
@@ -141,10 +159,10 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         h = (F.col("__n") - 1) * F.lit(q)
         picked += [at(F.floor(h)).alias(f"__lo{i}"), at(F.ceil(h)).alias(f"__hi{i}"),
                    F.max(h - F.floor(h)).alias(f"__f{i}")]
-    found = placed.groupBy(*group_cols).agg(*picked)
-    return found.filter(F.col("__lo0").isNotNull()).select(*group_cols, F.explode(F.array(*[
-        F.struct(F.lit(q).alias("q"), (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}")))
-                 .alias("value")) for i, q in enumerate(qs)])).alias("__q")).select(*group_cols, "__q.q", "__q.value")
+    found = placed.groupBy(*group_cols).agg(*picked, *[F.first(c).alias(c) for c in kept])
+    return found.select(*group_cols, *kept, *[
+        (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}")
+        for i in range(len(qs))])
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -15,7 +15,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.operators.ordering import BLK, HOME, RN, attach_scalars, global_index, halo_blocks, ranged
+from careflow.operators.ordering import BLK, HOME, RN, global_index, halo_blocks, ranged
 
 # Reference defaults for the demand features.
 DEFAULT_LAGS = (1, 2, 3, 6, 12, 24)
@@ -149,15 +149,16 @@ def seasonal_decompose(df: DataFrame, value: str, order: Sequence[str], period:
         return x.withColumn("trend", trend)
 
     out = windowed(df, order, series, half, half, build, block_rows, keep_index=True)
-    first = out.groupBy(*series).agg(F.min(RN).alias("__first")) if series else \
-        out.agg(F.min(RN).alias("__first"))
-    out = out.join(first, list(series), "left") if series else attach_scalars(out, first)
+    if series:
+        out = out.join(out.groupBy(*series).agg(F.min(RN).alias("__first")), list(series), "left")
+    else:
+        out = out.withColumn("__first", F.lit(1))  # rows are numbered from 1
     out = out.withColumn("phase", ((F.col(RN) - F.col("__first")) % period).cast("int"))
     det = F.col(value).cast("double") - F.col("trend")
     ph = out.groupBy(*series, "phase").agg(F.avg(det).alias("__pm"))
-    centre = ph.groupBy(*series).agg(F.avg("__pm").alias("__pc"))
-    ph = (ph.join(centre, list(series), "left") if series else attach_scalars(ph, centre))
-    ph = ph.select(*series, "phase", (F.col("__pm") - F.col("__pc")).alias("seasonal"))
+    # a window over the ``period`` phases of a series
+    centre = F.avg("__pm").over(Window.partitionBy(*series))
+    ph = ph.select(*series, "phase", (F.col("__pm") - centre).alias("seasonal"))
     # without series ph has ``period`` rows
     out = out.join(ph if series else F.broadcast(ph), [*series, "phase"], "left")
     out = out.withColumn("resid", F.col(value).cast("double") - F.col("trend") - F.col("seasonal"))
