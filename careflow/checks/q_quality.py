@@ -11,6 +11,7 @@ from careflow.checks.q_clean import RAW, appts, base, encs
 from careflow.checks.registry import query
 from careflow.operators import quality as Q
 from careflow.plans.roles import Inputs
+from careflow.session import checkpoint_dir
 from careflow.sources import io as IO
 
 BASE = f"{RAW}, {S.NO_SHOW_BASE}"
@@ -191,6 +192,12 @@ def _profile_sql(c: str) -> str:
            THEN 1 ELSE 0 END) AS BIGINT) AS iqr_outliers FROM base"""
 
 
+def _profiled(spark, sf):
+    """The base's profiled columns as a written table: a profile reads it several times."""
+    checkpoint_dir(spark)
+    return base(spark, sf).select(*PROFILE_COLS).checkpoint(eager=True)
+
+
 PROFILE_DOUBLES = ["min", "q1", "median", "mean", "q3", "max", "std", "skew"]
 
 
@@ -198,7 +205,7 @@ PROFILE_DOUBLES = ["min", "q1", "median", "mean", "q3", "max", "std", "skew"]
                                      PROFILE_DOUBLES))
 def a14_numeric_profile(spark, sf):
     """Exact quartiles, moments, bias-corrected skew, IQR outliers."""
-    return Q.numeric_profile(base(spark, sf), PROFILE_COLS)
+    return Q.numeric_profile(_profiled(spark, sf), PROFILE_COLS)
 
 
 @query("a15_describe", S.wrap(f"WITH {BASE} " + " UNION ALL ".join(
@@ -207,7 +214,7 @@ def a14_numeric_profile(spark, sf):
     FROM base""" for c in PROFILE_COLS), ["mean", "std", "min", "p25", "p50", "p75", "max"]))
 def a15_describe(spark, sf):
     """describe() with exact quantiles."""
-    return Q.describe(base(spark, sf), PROFILE_COLS)
+    return Q.describe(_profiled(spark, sf), PROFILE_COLS)
 
 
 TRI_COLS = ["triage_A", "triage_C", "triage_E", "triage_M", "triage_N"]

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from careflow.functions.text import blank_to_null
-from careflow.operators.ordering import attach_scalars, exact_quantiles
+from careflow.operators.ordering import attach_scalars
 from careflow.operators.projection import with_accent_key
+from careflow.operators.selection import select_quantiles
 
 
 def _rows(one_row: DataFrame, names: Sequence[str], measures: Sequence[str], key: str = "column") -> DataFrame:
@@ -206,43 +207,30 @@ def numeric_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     bias-corrected skew and IQR outliers per column. Text that is no number
     is neither counted nor missing: missing counts nulls of the raw column.
 
-    The (column, value) pairs are persisted while the three small results
-    (moments, exact quartiles, outlier counts; one row per column each) are
-    checkpointed, then released, so the input is computed once.
+    The quartiles are found first (:func:`select_quantiles`: a few scans that
+    shuffle histograms alone); one last scan then takes the moments and counts
+    the outliers together. ``df`` should be a table, as it is read once a scan.
     """
-    from pyspark import StorageLevel
-
     from careflow.functions.parse import safe_numeric
-    from careflow.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
     cols = [c for c in columns if c in df.columns]
     number = {c: safe_numeric(c) if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double") for c in cols}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number[c].alias("x"),
-                                                  F.col(c).isNull().cast("long").alias("none"))
-                                         for c in cols])).alias("p")).select("p.*")
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        mom = long.groupBy("column").agg(
-            F.count("x").alias("count"), F.sum("none").alias("missing"),
-            F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
-            F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1")).checkpoint(eager=True)
-        q = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
-        qw = q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-                                     F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
-                                     F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3")).checkpoint(eager=True)
-        fences = qw.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__lo"),
-                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__hi"))
-        out = long.join(F.broadcast(fences), "column").groupBy("column").agg(  # one row per column
-            F.sum(((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi"))).cast("long")).alias("iqr_outliers")
-        ).checkpoint(eager=True)
-    finally:
-        long.unpersist()
-    prof = mom.join(qw, "column", "left")
+    quartiles = select_quantiles(df, number, [0.25, 0.5, 0.75])
+
+    def fields(c: str) -> Column:
+        q = dict(zip(("q1", "median", "q3"), quartiles[c]))
+        return F.struct(F.lit(c).alias("column"), number[c].alias("x"), F.col(c).isNull().cast("long").alias("none"),
+                        *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
+
+    long = df.select(F.explode(F.array(*[fields(c) for c in cols])).alias("p")).select("p.*")
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    outside = (F.col("x") < F.col("q1") - fence) | (F.col("x") > F.col("q3") + fence)
     n = F.col("count").cast("double")
-    prof = prof.withColumn("skew", F.when(n > 2, F.col("__g1") * F.sqrt(n * (n - 1)) / (n - 2))).drop("__g1")
-    prof = prof.join(out, "column", "left").fillna({"iqr_outliers": 0})
-    return prof.select("column", "count", "missing", "min", "q1", "median", "mean", "q3", "max", "std", "skew",
-                       "iqr_outliers")
+    prof = long.groupBy("column", "q1", "median", "q3").agg(
+        F.count("x").alias("count"), F.sum("none").alias("missing"),
+        F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"),
+        F.stddev_samp("x").alias("std"), F.skewness("x").alias("__g1"), F.count_if(outside).alias("iqr_outliers"))
+    return prof.withColumn("skew", F.when(n > 2, F.col("__g1") * F.sqrt(n * (n - 1)) / (n - 2))).select(
+        "column", "count", "missing", "min", "q1", "median", "mean", "q3", "max", "std", "skew", "iqr_outliers")
 
 
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
