@@ -2,9 +2,9 @@
 
 Each is one lazy projection over the raw table followed by a full-row
 distinct (D1) or keep-first dedup (D2); column lists are the reference's,
-filtered to the columns that exist (P17). A raw input read from few large
-row groups is first spread over the cluster (``sources.io.spread``) so the
-parsing runs in parallel.
+filtered to the columns that exist (P17). The plan is the same at every size;
+a caller whose files have fewer row groups than the cluster has cores reads
+them with ``read_table(balance=True)``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from careflow.functions import text as T
 from careflow.functions.calendar import add_calendar_features
 from careflow.operators import joins as J
 from careflow.operators import projection as PR
-from careflow.sources.io import spread
 
 # Code columns normalised per table and output columns kept.
 ENCOUNTER_CODES = ["p_area", "p_status", "p_sexo", "p_tpo_pac", "p_tpo_cita",
@@ -61,7 +60,6 @@ def _key(df: DataFrame, col: str):
 
 def clean_encounters(raw: DataFrame) -> DataFrame:
     """Encounters (hospac)."""
-    raw = spread(raw)
     df = PR.strip_and_normalize(raw, ENCOUNTER_CODES)
     df = df.withColumns({
         "area_key": _key(df, "p_area"),
@@ -77,7 +75,6 @@ def clean_encounters(raw: DataFrame) -> DataFrame:
 
 def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> DataFrame:
     """Appointments (hosagd) with the no-show label."""
-    raw = spread(raw)
     df = PR.strip_and_normalize(raw, APPOINTMENT_CODES)
     df = df.withColumns({
         "area_key": _key(df, "area"),
@@ -106,7 +103,6 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
             raw.schema  # resolves the names
         except AnalysisException:
             pass
-    raw = spread(raw)
     df = PR.strip_and_normalize(raw, PATIENT_CODES)
     df = PR.null_out_codes(df, T.NONINFORMATIVE_CODES)
     df = df.withColumn("m_num_exp_key", _key(df, "m_num_exp"))
@@ -128,7 +124,6 @@ def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
 
 def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
     """C4: triage records with a domain-checked category."""
-    raw = spread(raw)
     df = PR.strip_and_normalize(raw, TRIAGE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),
@@ -143,7 +138,6 @@ def clean_triage(raw: DataFrame, allowed=tuple(P.TRIAGE_VALUES)) -> DataFrame:
 
 def clean_notes(raw: DataFrame, max_wait_min: float = 1440.0) -> DataFrame:
     """Emergency notes with the wait proxy (note time - arrival)."""
-    raw = spread(raw)
     df = PR.strip_and_normalize(raw, NOTE_CODES)
     df = df.withColumns({
         "expediente_key": _key(df, "Expediente"),

@@ -27,9 +27,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
     from careflow.sources.io import read_table
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", balance=balance)
 
 
 def _s(c):
@@ -129,20 +129,20 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def t(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+    def t(self, name: str, balance: bool = False) -> DataFrame:
+        return table(self.spark, self.sf_dir, name, balance)
 
     def notes(self):
-        return raw_notes(self.t("events"))
+        return raw_notes(self.t("events", balance=True))
 
     def triage(self):
-        return raw_triage(self.t("events"))
+        return raw_triage(self.t("events", balance=True))
 
     def appointments(self):
-        return raw_appointments(self.t("orders"))
+        return raw_appointments(self.t("orders", balance=True))
 
     def encounters(self):
-        return raw_encounters(self.t("lineitem"))
+        return raw_encounters(self.t("lineitem", balance=True))
 
     def patients(self):
         return raw_patients(self.t("customer"))

@@ -46,8 +46,9 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
                balance: bool = False) -> DataFrame:
     """Parquet scan of a named dataset, with an explicit schema when
     given (no inference job; unknown columns fail at analysis). Filters
-    and projections reach the scan; ``balance`` spreads a narrow scan
-    (:func:`spread`), which the cleaners do themselves before parsing."""
+    and projections reach the scan. ``balance``, for costly row-wise work on
+    files of few row groups, spreads a narrow scan (:func:`spread`); nothing
+    in the library asks for it by itself."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
