@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from careflow.checks import sqlkit as S
 from careflow.checks.registry import query
 from careflow.operators import hourly as H
+from careflow.operators.ordering import written
 from careflow.plans import cleaning as C
 from careflow.plans import integration as I
 from careflow.plans.roles import Inputs
@@ -57,6 +58,12 @@ def master(spark, sf):
     return I.hourly_master(notes(spark, sf), triage(spark, sf), TRI)
 
 
+def hours(spark, sf, *cols):
+    """The master (or some columns) as a table, for operators that scan it several times."""
+    m = master(spark, sf)
+    return written(m.select(*cols) if cols else m)
+
+
 @query("c7_hourly_master", S.wrap(MASTER_SQL, ["tiempo_espera", "tiempo_espera_mediana"]))
 def c7_hourly_master(spark, sf):
     """Hourly master from cleaned notes (events) and triage."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from careflow.checks import sqlkit as S
-from careflow.checks.q_agg import MASTER_CTES, master
+from careflow.checks.q_agg import MASTER_CTES, hours, master
 from careflow.checks.q_clean import RAW, base
 from careflow.checks.registry import query
 from careflow.operators import filters as FL
@@ -124,7 +124,7 @@ RES_SQL = f"""WITH {MASTER_CTES}, r AS (SELECT hour, pacientes_llegando AS y,
 
 def _seasonal_naive(spark, sf):
     from careflow.operators.timeseries import add_lags
-    m = master(spark, sf).select("timestamp", "hour", "pacientes_llegando")
+    m = hours(spark, sf, "timestamp", "hour", "pacientes_llegando")
     m = add_lags(m, "pacientes_llegando", [24], ["timestamp"], name="p")
     return m.withColumn("p", F.coalesce("p", "pacientes_llegando"))
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from careflow.checks import sqlkit as S
-from careflow.checks.q_agg import MASTER_CTES, master
+from careflow.checks.q_agg import MASTER_CTES, hours, master
 from careflow.checks.q_clean import RAW, appts, base
 from careflow.checks.q_kpi import PROB_SQL, scored
 from careflow.checks.q_ts import FEATURES_SQL
@@ -31,7 +31,7 @@ from careflow.operators import ranking as RK
 from careflow.operators import search as MS
 from careflow.operators import split as SP
 from careflow.operators import timeseries as TS
-from careflow.operators.ordering import global_index
+from careflow.operators.ordering import global_index, written
 from careflow.plans import modelling as MD
 from careflow.session import checkpoint_dir
 from careflow.sources import io as IO
@@ -122,7 +122,7 @@ d AS (SELECT o, "column", level, row_number() OVER (ORDER BY o, level) - 1 AS in
 SELECT row_id, long."column", long.level, index FROM long JOIN d ON long.o = d.o AND long.level = d.level""")
 def m1_one_hot_long(spark, sf):
     """M1: sparse encoding of all categoricals through a dictionary table."""
-    rows = global_index(base(spark, sf).select(*HOT), HOT, "row_id")
+    rows = written(global_index(written(base(spark, sf).select(*HOT)), HOT, "row_id"))
     return FE.one_hot_long(rows, "row_id", HOT, FE.category_dictionary(rows, HOT, FE.DROP_DUMMIES))
 
 
@@ -153,7 +153,7 @@ tr AS (SELECT * FROM ms WHERE rn <= floor(n * 0.8))"""
 @query("m3_chronological_split", f"WITH {TRAIN_SQL} SELECT timestamp, rn <= floor(n * 0.8) AS is_train FROM ms")
 def m3_chronological_split(spark, sf):
     """M3: first 80% of hours train, the rest test."""
-    return SP.chronological_split(master(spark, sf).select("timestamp"), ["timestamp"], 0.8)
+    return SP.chronological_split(hours(spark, sf, "timestamp"), ["timestamp"], 0.8)
 
 
 FOLD_SQL = f"""{MASTER_CTES},
@@ -165,11 +165,11 @@ fo AS (SELECT *, n // 6 AS fold_size, n - (n // 6) * 5 AS start FROM ms)"""
   CAST(CASE WHEN position >= start THEN (position - start) // fold_size + 1 ELSE 0 END AS INTEGER) AS fold, fold_size FROM fo""")
 def m4_expanding_folds(spark, sf):
     """M4: expanding time-series folds, k=5."""
-    return SP.expanding_folds(master(spark, sf).select("timestamp"), ["timestamp"], 5)
+    return SP.expanding_folds(hours(spark, sf, "timestamp"), ["timestamp"], 5)
 
 
 def _split_master(spark, sf):
-    m = master(spark, sf).select("timestamp", "hour", Y, "tiempo_espera")
+    m = hours(spark, sf, "timestamp", "hour", Y, "tiempo_espera")
     s = SP.chronological_split(m, ["timestamp"], 0.8)
     return s, s.filter("is_train")
 
@@ -217,7 +217,7 @@ pf AS (SELECT pr.fold, avg(abs({Y} - prediction)) AS MAE, sqrt(avg(({Y} - predic
 
 
 def _naive_folds(spark, sf):
-    m = master(spark, sf).select("timestamp", Y)
+    m = hours(spark, sf, "timestamp", Y)
     m = TS.add_lags(m, Y, [24], ["timestamp"], name="prediction")
     m = m.withColumn("prediction", F.coalesce("prediction", Y).cast("double"))
     return SP.expanding_folds(m, ["timestamp"], 5)
@@ -330,14 +330,14 @@ CHECK_SPACE = MO.NOSHOW_SPACE | {"n_estimators": (2, 6, "int"), "max_depth": (2,
 
 
 def _demand(spark, sf):
-    feats = TS.ts_features(master(spark, sf))
+    feats = TS.ts_features(hours(spark, sf))
     cols = [c for c in feats.columns if c not in ("timestamp", Y)]
     return feats, cols
 
 
 def _folds(spark, sf):
     feats, cols = _demand(spark, sf)
-    return MS.Folds(SP.expanding_folds(feats, ["timestamp"], 5), cols, Y, ["timestamp"])
+    return MS.Folds(SP.expanding_folds(written(feats), ["timestamp"], 5), cols, Y, ["timestamp"])
 
 
 @query("m8_gbt_regressor", None)
@@ -439,7 +439,7 @@ def m19_batch_scoring(spark, sf):
 @query("m20_recursive_forecast", None)
 def m20_recursive_forecast(spark, sf):
     """24-hour recursive forecast by boosted trees over the full demand features, lags 48 and 168 included."""
-    m = master(spark, sf)
+    m = hours(spark, sf)
     feats = TS.ts_features(m, lags=(*TS.DEFAULT_LAGS, 48, 168))
     cols = [c for c in feats.columns if c not in ("timestamp", Y)]
     model = MO.fit_gbt_regressor(feats, cols, Y, {"n_estimators": 6, "max_depth": 4})

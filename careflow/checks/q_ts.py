@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from careflow.checks import sqlkit as S
-from careflow.checks.q_agg import MASTER_CTES, master, notes
+from careflow.checks.q_agg import MASTER_CTES, hours, notes
 from careflow.checks.registry import query
 from careflow.operators import timeseries as TS
 from careflow.plans import integration as I
@@ -30,7 +30,7 @@ ROLL_COLS = [f"roll_mean_{k}h" for k in WINS] + [f"roll_std_{k}h" for k in WINS]
 @query("w1_lags", f"WITH {MASTER_CTES} SELECT timestamp, {Y}, {LAG_SQL} FROM master")
 def w1_lags(spark, sf):
     """Arrivals 1, 2, 3, 6, 12, 24 rows back (halo-block windows)."""
-    m = master(spark, sf).select("timestamp", Y)
+    m = hours(spark, sf, "timestamp", Y)
     return TS.add_lags(m, Y, LAGS, ["timestamp"])
 
 
@@ -38,7 +38,7 @@ def w1_lags(spark, sf):
                                ROLL_COLS))
 def w2_w3_rolling(spark, sf):
     """Rolling mean and sample std over the previous k rows."""
-    m = master(spark, sf).select("timestamp", Y)
+    m = hours(spark, sf, "timestamp", Y)
     return TS.add_rolling(m, Y, WINS, ["timestamp"])
 
 
@@ -46,7 +46,7 @@ def w2_w3_rolling(spark, sf):
   lag({Y}, 1) {W} - lag({Y}, 2) {W} AS diff_1h, lag({Y}, 1) {W} - lag({Y}, 25) {W} AS diff_24h FROM master""")
 def w4_diffs(spark, sf):
     """Leak-free differences (previous row minus the row before it / 25 back)."""
-    return TS.add_diffs(master(spark, sf).select("timestamp", Y), Y, ["timestamp"])
+    return TS.add_diffs(hours(spark, sf, "timestamp", Y), Y, ["timestamp"])
 
 
 @query("w4_diffs_leaky", S.wrap(f"""WITH {MASTER_CTES} SELECT timestamp, {Y},
@@ -54,7 +54,7 @@ def w4_diffs(spark, sf):
                                 ["diff_1h", "diff_24h"]))
 def w4_diffs_leaky(spark, sf):
     """W4 (reference form): value minus lag 1 / lag 24."""
-    return TS.add_diffs(master(spark, sf).select("timestamp", Y), Y, ["timestamp"], leaky=True)
+    return TS.add_diffs(hours(spark, sf, "timestamp", Y), Y, ["timestamp"], leaky=True)
 
 
 @query("w5_lag_wait", S.wrap(f"""WITH {MASTER_CTES} SELECT timestamp, tiempo_espera,
@@ -62,7 +62,7 @@ def w4_diffs_leaky(spark, sf):
                              ["tiempo_espera", "lag_wait_1h", "lag_wait_24h"]))
 def w5_lag_wait(spark, sf):
     """Lagged mean wait."""
-    m = master(spark, sf).select("timestamp", "tiempo_espera")
+    m = hours(spark, sf, "timestamp", "tiempo_espera")
     return TS.add_lags(m, "tiempo_espera", [1, 24], ["timestamp"], name="lag_wait_{k}h")
 
 
@@ -88,7 +88,7 @@ SELECT * FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in FEATURES)}"""
 def c9_demand_features(spark, sf):
     """Full demand feature table (lags, rolling, diffs, cyclical,
     triage counts, lagged wait), incomplete rows dropped."""
-    return TS.ts_features(master(spark, sf))
+    return TS.ts_features(hours(spark, sf))
 
 
 @query("w7_running_best", f"""WITH {MASTER_CTES} SELECT timestamp, {Y},
@@ -98,7 +98,7 @@ def c9_demand_features(spark, sf):
        THEN 1 ELSE 0 END AS is_best FROM master""")
 def w7_running_best(spark, sf):
     """Running maximum and new-best flag in time order."""
-    return TS.running_max(master(spark, sf).select("timestamp", Y), Y, ["timestamp"])
+    return TS.running_max(hours(spark, sf, "timestamp", Y), Y, ["timestamp"])
 
 
 @query("w8_sequences", f"""WITH {MASTER_CTES},
@@ -107,7 +107,7 @@ s AS (SELECT timestamp, list({Y}) OVER (ORDER BY timestamp ROWS BETWEEN 6 PRECED
 SELECT timestamp, array_to_string(x, ',') AS x_seq, CAST(y AS VARCHAR) AS y_seq FROM s WHERE len(x) = 6""")
 def w8_sequences(spark, sf):
     """Previous 6 hourly counts as a sequence, current count as label."""
-    s = TS.sequences(master(spark, sf).select("timestamp", Y), Y, ["timestamp"], 6, 1)
+    s = TS.sequences(hours(spark, sf, "timestamp", Y), Y, ["timestamp"], 6, 1)
     return s.select("timestamp", F.array_join(F.transform("x_seq", lambda v: v.cast("string")), ",").alias("x_seq"),
                     F.array_join(F.transform("y_seq", lambda v: v.cast("string")), ",").alias("y_seq"))
 
@@ -119,7 +119,7 @@ SELECT timestamp, array_to_string(x, ',') AS x_seq, array_to_string(y, ',') AS y
 WHERE len(x) = 24 AND len(y) = 6""")
 def w8_forecast_windows(spark, sf):
     """24 hours back as input, the next 6 (current first) as target."""
-    s = TS.sequences(master(spark, sf).select("timestamp", Y), Y, ["timestamp"], 24, 6)
+    s = TS.sequences(hours(spark, sf, "timestamp", Y), Y, ["timestamp"], 24, 6)
     return s.select("timestamp", F.array_join(F.transform("x_seq", lambda v: v.cast("string")), ",").alias("x_seq"),
                     F.array_join(F.transform("y_seq", lambda v: v.cast("string")), ",").alias("y_seq"))
 
@@ -128,7 +128,7 @@ def w8_forecast_windows(spark, sf):
   '0' AS group_id FROM master""")
 def w9_time_index(spark, sf):
     """Continuous time index and constant group id."""
-    return TS.time_index(master(spark, sf).select("timestamp"), ["timestamp"])
+    return TS.time_index(hours(spark, sf, "timestamp"), ["timestamp"])
 
 
 SEASONAL_SQL = f"""WITH {MASTER_CTES},
@@ -145,7 +145,7 @@ FROM t JOIN ph ON t.pos % 24 = ph.phase CROSS JOIN c"""
 @query("w10_seasonal_decompose", S.wrap(SEASONAL_SQL, ["trend", "seasonal", "resid"]))
 def w10_seasonal_decompose(spark, sf):
     """Additive decomposition, period 24 (centred 2x24 trend)."""
-    d = TS.seasonal_decompose(master(spark, sf).select("timestamp", Y), Y, ["timestamp"], 24)
+    d = TS.seasonal_decompose(hours(spark, sf, "timestamp", Y), Y, ["timestamp"], 24)
     return d.select("timestamp", Y, "trend", "phase", "seasonal", "resid")
 
 

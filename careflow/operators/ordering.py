@@ -5,11 +5,13 @@ Several reference operators depend on row order over a whole table
 quantiles). A bare ``Window.orderBy(...)`` without ``partitionBy`` moves
 the whole table into one task; these helpers avoid that:
 
-* :func:`global_index` numbers rows 1..N in a total order with a range
-  shuffle (balanced even when one key holds a third of the rows, because
-  the range bounds are taken on the full, unique ordering), a per-partition
-  position, and a table of per-partition offsets whose size is the number
-  of partitions (bounded, so it is broadcast).
+* :func:`global_index` numbers rows 1..N in a total order: parts with bounds
+  on the full, unique ordering (balanced even when one key holds a third of
+  the rows), a position in each part, and the counts of the parts before it.
+  Nothing is persisted or written.
+* :func:`prefix_sums` gives running totals from range partitions and a table
+  of per-partition offsets whose size is the number of partitions (bounded,
+  so it is broadcast).
 * :func:`halo_blocks` cuts the numbered rows into blocks of fixed size and
   copies the last ``halo`` rows of each block into the next one, so a window
   partitioned by block sees every row its frame reaches back to.
@@ -21,11 +23,15 @@ the whole table into one task; these helpers avoid that:
 
 from __future__ import annotations
 
+import json
+import math
+from itertools import accumulate
 from typing import Iterable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careflow.session import checkpoint_dir
 
@@ -63,23 +69,81 @@ def ranged(df: DataFrame, order_cols: Sequence, num_partitions: int | None = Non
     return out
 
 
+#: Rows of the sample for each part, and the formats that keep its timestamps' microseconds.
+SAMPLE_ROWS = 100
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once to the checkpoint folder: for a costly
+    plan that several operators read, or one scanned several times."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def part_of(df: DataFrame, order: Sequence[Column], parts: int) -> Column:
+    """Number of the part that a row falls in: parts follow ``order`` and are
+    about equally large.
+
+    The bounds are quantiles of a sample of ``SAMPLE_ROWS * parts`` rows, whatever
+    the number of rows, and become a literal, so that each evaluation cuts alike;
+    a row finds its group of bounds, then its place in the group. Bounds are cut to the first columns of
+    ``order`` that tell them all apart: no values of these then stand in more
+    than about two parts' rows, and the columns after them need not be read.
+    Any bounds give right results, a poor sample only uneven parts.
+    """
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("k"))
+    total = df.count()
+    if not total or parts < 2:
+        return F.lit(0)
+    sample = keys.sample(min(1.0, SAMPLE_ROWS * parts / total), 7) if total > SAMPLE_ROWS * parts else keys
+    tops = sample.select("k", F.ntile(parts).over(Window.orderBy("k")).alias("t")).groupBy("t").agg(F.max("k").alias("k"))
+    found = [json.loads(r[0]) for r in
+             tops.where(F.col("t") < parts).orderBy("t").select(F.to_json("k", _JSON)).collect()]
+    if not found:
+        return F.lit(0)
+    firsts = [{json.dumps([f.get(f"o{i}") for i in range(n)]) for f in found} for n in range(1, len(order) + 1)]
+    used = 1 + next(n for n, first in enumerate(firsts) if len(first) == len(firsts[-1]))
+    kind = T.StructType(keys.schema["k"].dataType.fields[:used])
+    own = order[0] if used == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order[:used])])
+
+    def literal(bounds: list[dict]) -> Column:
+        text = json.dumps([{f"o{i}": f.get(f"o{i}") for i in range(used)} for f in bounds])
+        column = F.from_json(F.lit(text), T.ArrayType(kind), _JSON)
+        return column["o0"] if used == 1 else column
+
+    def below(bounds: Column) -> Column:
+        """How many bounds come before the row (built-in functions, as lambdas don't compile)."""
+        return F.coalesce(F.array_position(F.sort_array(F.array_append(bounds, own)), own).cast("int") - 1, F.lit(0))
+
+    width = math.isqrt(len(found)) + 1
+    group = below(literal(found[width - 1::width])) * width
+    return group + below(F.slice(literal(found), group + 1, F.lit(width)))
+
+
 def global_index(df: DataFrame, order_cols: Sequence, index_col: str = RN,
                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``index_col`` = 1-based position of each row in ``order_cols``.
+    """Add ``index_col`` = 1-based position of each row in ``order_cols``
+    (names or expressions, ascending, nulls first).
 
     ``order_cols`` should be a total order (add a unique tie-break);
     rows that tie completely get an arbitrary relative order.
+
+    At once, ``df`` is scanned for the number of rows, a sample of the order
+    columns, and the rows in each part (:func:`part_of`). The result is a plan
+    with one shuffle, by part, and nothing is persisted or written. So ``df``
+    should be a table, or :func:`written`, and must give the same rows each time.
     """
-    rows = ranged(df, order_cols, num_partitions)
-    rows = rows.withColumn(
-        "__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)).drop("__mid")
-    # one row per partition: bounded by the partition count, not the data
-    counts = rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    out = rows.join(F.broadcast(offsets), "__pid")
-    return (out.withColumn(index_col, F.col("__off") + F.col("__pos") + F.lit(1))
-               .drop("__pid", "__pos", "__off"))
+    order = _order_exprs(order_cols)
+    part = part_of(df, order, _num_partitions(df, num_partitions))
+    # one row per part: bounded by the number of partitions, not the data
+    sizes = {r[0]: r[1] for r in df.groupBy(part.alias("__pid")).count().collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    place = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
+    offsets = F.from_json(F.lit(str(before)), "array<bigint>")
+    rows = df.withColumn("__pid", part)
+    return rows.withColumn(index_col, F.get(offsets, F.col("__pid")) + place).drop("__pid")
 
 
 def halo_blocks(df: DataFrame, order_cols: Sequence, halo: int, series_cols: Sequence[str] = (),
@@ -190,8 +254,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: Sequence[str],
                 num_partitions: int | None = None, inclusive: bool = True) -> DataFrame:
     """Running totals of ``values`` in ``order_cols`` order, distributed.
 
-    Same scheme as :func:`global_index`: range partitions (checkpointed
-    once), running sums inside each partition by a window over that
+    Range partitions (checkpointed once, :func:`ranged`), running sums inside each partition by a window over that
     partition only, plus per-partition offsets from a table whose size is
     the partition count. Adds ``cum_<value>`` columns (``inclusive``:
     current row counted).

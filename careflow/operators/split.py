@@ -2,8 +2,8 @@
 
 The stratified split selects each class's cut among its hashes; the others
 number rows in a global order with
-:func:`careflow.operators.ordering.global_index` (range partitions plus
-per-partition offsets), so no class or fold is ranked inside one task.
+:func:`careflow.operators.ordering.global_index` (parts of the order and the
+counts before each), so no class or fold is ranked inside one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.operators.ordering import attach_scalars, global_index
+from careflow.operators.ordering import attach_scalars, global_index, written
 from careflow.session import checkpoint_dir
 
 #: First bits of the hashes that a class's histogram is over.
@@ -61,7 +61,7 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], test_fra
         return clear.drop("__h", "__at", "__need", "__size")
     tied = (F.col("__h") == F.col("__at")) & (F.col("__need") < F.col("__size"))
     tied = F.coalesce(tied, F.lit(False))
-    split = global_index(x.where(tied), [label, "__h", *id_cols], "__r")
+    split = global_index(written(x.where(tied)), [label, "__h", *id_cols], "__r")
     start = split.groupBy(label).agg(F.min("__r").alias("__first"))
     split = split.alias("x").join(start.alias("s"), F.col(f"x.{label}").eqNullSafe(F.col(f"s.{label}"))).select("x.*", "__first")
     split = split.withColumn(out, F.col("__r") - F.col("__first") < F.col("__need")).drop("__r", "__first")

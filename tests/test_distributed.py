@@ -21,6 +21,38 @@ def test_global_index_dense(spark):
     assert [r for *_, r in got] == list(range(1, 201))
 
 
+def test_index_over_many_types_and_zones(spark):
+    df = spark.sql("""select timestamp_ntz'2024-03-10 02:30:00.123456' + make_dt_interval(0, 0, 0, id / 1000000) t, id,
+                      timestamp'2024-11-03 05:59:59.9Z' + make_dt_interval(0, 0, 0, id / 100) z,
+                      date'2020-01-01' + int(id % 3) d, cast(cast(id as string) as binary) b, array(id % 2, id) r,
+                      cast(id as decimal(20, 3)) c, if(id % 9 = 0, double('NaN'), id / 7) f from range(150)""")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for order in (["t"], ["z"], ["d", "t"], ["b"], ["r"], ["c"], ["f", "id"]):
+            got = O.global_index(df, order, num_partitions=7).select("_rn", "id").orderBy("_rn").collect()
+            assert [r._rn for r in got] == list(range(1, 151))
+            assert [r.id for r in got] == [r.id for r in df.orderBy(*order).select("id").collect()], order
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_parts_are_even_under_hot_and_null_keys(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as g", "id")
+    part = O.part_of(df, [F.col("g"), F.col("id")], 9)
+    sizes = [r[1] for r in df.groupBy(part.alias("p")).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 500
+    got = [r.id for r in O.global_index(df, ["g", "id"], num_partitions=9).orderBy("_rn").collect()]
+    assert got == [r.id for r in df.orderBy("g", "id").collect()]
+
+
+def test_index_of_few_or_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a")] * 20, "k int, v string")
+    assert sorted(r._rn for r in O.global_index(df, ["k", "v"], num_partitions=5).collect()) == list(range(1, 21))
+    assert O.global_index(df.limit(0), ["k"]).collect() == []
+    assert [r._rn for r in O.global_index(df.limit(1), ["k"]).collect()] == [1]
+
+
 def test_exact_quantiles_distributed_match_pandas(spark):
     rng = random.Random(1)
     rows = [(g, rng.random() * 100) for g in ("a", "b", "c") for _ in range(rng.randint(5, 40))]
