@@ -31,6 +31,8 @@ from careflow.llm.shingles import WORDS, shingle_sets
 
 BANDS, ROWS = 50, 5
 UNIVERSE_BITS = 20
+#: A shingle set of more than one of SHARE rows is joined by broadcast (fewer than SHARE sets).
+SHARE = 1000
 
 
 @lru_cache(maxsize=2)
@@ -141,6 +143,21 @@ def between_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, w
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component_id of their set_key; none for those without a set.
+
+    Sets of more than a thousandth of the rows are fewer than a thousand, so
+    they are broadcast; only the others' rows are dealt out by set_key, and no
+    task gets more than such a share at once.
+    """
+    rows_in_sets = label.agg(F.sum("copies")).first()[0] or 0
+    hot = label.where(F.col("copies") * SHARE > rows_in_sets).drop("copies")
+    placed = rows.join(F.broadcast(hot), "set_key", "left")
+    waits = F.col("set_key").isNotNull() & F.col("component_id").isNull()
+    rest = placed.where(waits).drop("component_id").join(label.drop("copies"), "set_key")
+    return placed.where(~waits).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (75, 100),
                     words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
@@ -156,7 +173,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     keyed = docs.where(F.col(key).isNotNull())
     rows_of = cut(features(keyed, key, text, bands, rows, words))
     classes = (rows_of.where("set_key is not null").groupBy("set_key")
-               .agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+               .agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+                    F.count("*").alias("copies")))
     classes = cut(classes)
     sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
     # a bucket's name is salted with its band
@@ -172,11 +190,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     stars = sized(members.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("first").alias("b"))
                   .distinct().join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b"))
-    own = rows_of.where("set_key is not null").select(key, "set_key").join(
-        classes.select("set_key", F.col("node").alias("_node")), "set_key")
     # a key that stands in several classes ties them together
-    repeated = own.groupBy(key).agg(F.min("_node").alias("a"), F.max("_node").alias("z")).where("a < z")
-    repeated = own.join(repeated, key).where("_node <> a").select("a", F.col("_node").alias("b")).distinct()
+    own = rows_of.where("set_key is not null").select(key, "set_key")
+    several = own.groupBy(key).agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi")
+    tied = own.join(several.select(key), key).join(classes.select("set_key", F.col("node").alias("_node")), "set_key")
+    least = tied.groupBy(key).agg(F.min("_node").alias("a"))
+    repeated = tied.join(least, key).where("_node <> a").select("a", F.col("_node").alias("b")).distinct()
     edges = cut(confirmed(stars, keyed, key, text, words, num, den).unionByName(repeated))
     found = edge_components(edges)
     # every member has been held against its bucket's first: only the others are left
@@ -186,9 +205,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     more = between_components(cut(left), keyed, key, text, words, num, den)
     edges = edges.unionByName(confirmed(more, keyed, key, text, words, num, den))
     found = edge_components(edges)
-    label = own.join(found.withColumnRenamed("node", "_node"), "_node", "left").groupBy("set_key").agg(
-        F.min(F.coalesce("component", "_node")).alias("component_id"))
-    out = rows_of.select(key, "n_shingles", "set_key").join(label, "set_key", "left")
+    label = classes.join(found, "node", "left").select(
+        "set_key", "copies", F.coalesce("component", "node").alias("component_id"))
+    out = labelled(rows_of.select(key, "n_shingles", "set_key"), label)
     out = out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
     lost = features(docs.where(F.col(key).isNull()), key, text, bands, rows, words).select(
         key, "n_shingles", F.lit(None).cast(docs.schema[key].dataType).alias("component_id"))

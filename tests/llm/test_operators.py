@@ -53,7 +53,9 @@ def brute_components(texts):
     return [len(s) for s in sets], at
 
 
-def test_near_duplicates(spark, texts):
+@pytest.mark.parametrize("share", [1, 8, 1000])  # no set, some sets, all sets are joined by broadcast
+def test_near_duplicates(spark, texts, monkeypatch, share):
+    monkeypatch.setattr(minhash, "SHARE", share)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts)).collect()}
     sizes, at = brute_components(texts)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
@@ -68,6 +70,16 @@ def test_near_duplicates_repeated_and_null_keys(spark):
         (-1, None, None), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_near_duplicates_of_mostly_empty_texts_beside_clashing_names(spark, monkeypatch, share):
+    monkeypatch.setattr(minhash, "SHARE", share)
+    rows = [(i, None if i % 2 else "", "x", i) for i in range(30)] + [(i, "one two three", "y", i) for i in range(30, 45)]
+    names = "doc_id long, text string, component_id string, copies long"
+    got = minhash.near_duplicates(spark.createDataFrame(rows, names)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [
+        (i, int(i >= 30), min(i, 30), i <= 30) for i in range(45)]
+
+
 def test_circulant_coordinates_are_shifts():
     scatter, shifted = minhash.permutations(250)
     s = np.array([5 << 44, 9 << 44], np.uint64)
