@@ -12,7 +12,7 @@ from careflow.operators import filters as FL
 from careflow.operators import kpi as K
 from careflow.operators import ranking as RK
 from careflow.operators.joins import left_join_fill
-from careflow.operators.ordering import attach_scalars
+from careflow.operators.ordering import attach_scalars, written
 from careflow.plans.roles import Inputs
 
 BASE = f"{RAW}, {S.NO_SHOW_BASE}"
@@ -235,7 +235,8 @@ def k5_overbooking_impact(spark, sf):
     """K5: overbooking impact for a grid of scenarios over scored appointments."""
     sc = spark.createDataFrame(SCENARIOS, "threshold double, overbooking_rate double, consultation_cost double, "
                                           "hourly_overtime_cost double")
-    return K.overbooking_impact(scored(spark, sf), sc, master(spark, sf))
+    s = written(scored(spark, sf).select("no_show", "prob"))
+    return K.overbooking_impact(s, sc, hours(spark, sf, "timestamp", "pacientes_llegando"))
 
 
 @query("f4_high_demand_hours", f"""WITH {MASTER_CTES} SELECT timestamp, pacientes_llegando FROM master

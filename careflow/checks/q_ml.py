@@ -133,7 +133,7 @@ SELECT no_show, true AS is_test, CAST(round(n * 0.2) AS BIGINT) AS rows FROM c U
 SELECT no_show, false, n - CAST(round(n * 0.2) AS BIGINT) FROM c""")
 def m2_stratified_split_sizes(spark, sf):
     """M2: exact per-class test/train sizes of the stratified split."""
-    b = base(spark, sf)
+    b = written(base(spark, sf))
     s = SP.stratified_split(b, "no_show", b.columns, 0.2, 42)
     return s.groupBy("no_show", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -141,7 +141,7 @@ def m2_stratified_split_sizes(spark, sf):
 @query("m2_stratified_split", None)
 def m2_stratified_split(spark, sf):
     """M2: the split rows themselves (hash order, reproducible)."""
-    b = base(spark, sf)
+    b = written(base(spark, sf))
     return SP.stratified_split(b, "no_show", b.columns, 0.2, 42)
 
 
@@ -304,7 +304,7 @@ def m17_average_precision(spark, sf):
 @query("m18_evaluation_document", None)
 def m18_evaluation_document(spark, sf):
     """One-row evaluation document (metrics, confusion, sizes)."""
-    s = scored(spark, sf)
+    s = written(scored(spark, sf).select("no_show", "prob"))
     return ME.evaluation_document(ME.binary_metrics(s, "no_show", "prob"), ME.roc_auc(s, "no_show", "prob"),
                                   ME.average_precision(s, "no_show", "prob"),
                                   s.agg(F.count(F.lit(1)).alias("test_size")), {"threshold_source": "score"})
@@ -543,7 +543,7 @@ FROM sc CROSS JOIN (VALUES ('b-first'), ('b-second')) v(b)""", ["prob"]))
 def s6_append_predictions(spark, sf):
     """Scored rows appended in two batches, one of them written twice, read back."""
     path = scratch(spark, "log")
-    s = scored(spark, sf).select("med", "esp", "prob")
+    s = written(scored(spark, sf).select("med", "esp", "prob"))
     for batch in ("first", "second", "first"):
         IO.append_predictions(s, path, "analyst", batch_id=batch, at="2024-03-01 10:00:00")
     return IO.read_predictions(spark, path).select("med", "esp", "prob", "username", "batch", "timestamp")
