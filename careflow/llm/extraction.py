@@ -8,8 +8,10 @@ largest mapping of nodes that keeps parents and the order of siblings. Nodes
 that recur, or whose text is the same in the references, are the template,
 slots whose text varies are content. The main text is the varying slots that
 are left when the template and the parts named as boilerplate are gone; where
-an article is marked, those in the article. Inside articles only what recurs in
-half of a host's pages is template: less is shared text, such as that of copies.
+an article is marked, those in the article. Inside articles template is what
+alignment maps onto the same in a reference and half of a host's pages repeat:
+less is shared text, such as that of copies, and what stands elsewhere than the
+template's own place is quoted.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ PART_BYTES = 2_000_000
 BROADCAST_BYTES = 8 << 20
 #: Pairs of siblings that are weighed against each other at most.
 CELLS = 4096
+_EQUAL_BITS = 40
+_ONE = 1 << _EQUAL_BITS
 _WORD = re.compile(r"[A-Za-z]+")
 _BLANK = re.compile(r"[\s​]+")
 
@@ -76,11 +80,11 @@ def names_boilerplate(value: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "named", "hidden", "kids", "text", "hash", "size")
+    __slots__ = ("tag", "named", "hidden", "kids", "text", "hash", "size", "plain")
 
     def __init__(self, tag: str, named: bool = False, hidden: bool = False):
         self.tag, self.named, self.hidden = tag, named, hidden
-        self.kids, self.text, self.hash, self.size = [], "", None, 1
+        self.kids, self.text, self.hash, self.size, self.plain = [], "", None, 1, True
 
 
 class _Builder(HTMLParser):
@@ -143,38 +147,46 @@ def _mark(root: Node) -> None:
         node, done = todo.pop()
         if done or not node.kids:
             node.hash = hash((node.tag, node.text, *[k.hash for k in node.kids]))
-            node.size = 1 + sum(k.size for k in node.kids)
+            _measure(node)
         else:
             todo.append((node, True))
             todo += [(k, False) for k in node.kids]
 
 
-def _plain(node: Node) -> bool:
-    """Whether a node holds one text at most."""
-    return not node.kids or len(node.kids) == 1 and node.kids[0].tag == "#"
+def _measure(node: Node) -> None:
+    """Sets a node's size, and whether it is plain: holds one text at most."""
+    if node.kids:
+        node.size = 1 + sum(k.size for k in node.kids)
+        node.plain = len(node.kids) == 1 and node.kids[0].tag == "#"
 
 
 def align(a: Node, b: Node, memo: dict) -> int:
     """Simple tree matching of two roots of one tag: the size of the largest mapping.
 
+    Of mappings of one size that with most nodes in equal subtrees is taken.
     ``memo`` gets the pairs of children that it maps, for each pair of nodes.
     """
+    return _weight(a, b, memo) >> _EQUAL_BITS
+
+
+def _weight(a: Node, b: Node, memo: dict) -> int:
+    """The size of the largest mapping, and in the low bits its nodes in equal subtrees."""
     if a.hash == b.hash:
-        return a.size
-    if _plain(a) and _plain(b):
-        return 1 + min(len(a.kids), len(b.kids))
+        return a.size << _EQUAL_BITS | a.size
+    if a.plain and b.plain:
+        return 1 + min(len(a.kids), len(b.kids)) << _EQUAL_BITS
     if (id(a), id(b)) in memo:
         return memo[id(a), id(b)][0]
-    x, y, pairs, total = a.kids, b.kids, [], 1
+    x, y, pairs, total = a.kids, b.kids, [], 1 << _EQUAL_BITS
     i, p, q = 0, len(x), len(y)
-    while i < p and i < q and _paired(x[i], y[i]):
+    while i < p and i < q and x[i].hash == y[i].hash:
         pairs.append((x[i], y[i]))
         i += 1
-    while p > i and q > i and _paired(x[p - 1], y[q - 1]):
+    while p > i and q > i and x[p - 1].hash == y[q - 1].hash:
         p, q = p - 1, q - 1
         pairs.append((x[p], y[q]))
     for u, v in pairs:
-        total += align(u, v, memo)
+        total += _weight(u, v, memo)
     for u, v in _segments(x[i:p], y[i:q]):
         total += _middle(u, v, pairs, memo)
     memo[id(a), id(b)] = total, pairs
@@ -187,21 +199,34 @@ def _middle(x: list[Node], y: list[Node], pairs: list, memo: dict) -> int:
     The heaviest order-keeping mapping of children of one tag, or the next
     child of the same tag in turn where the lists are too long for that.
     """
+    if len(x) == len(y) == 1:
+        if x[0].tag != y[0].tag:
+            return 0
+        pairs.append((x[0], y[0]))
+        return _weight(x[0], y[0], memo)
     if len(x) * len(y) > CELLS:
         total = at = 0
         for u in x:
             j = next((j for j in range(at, min(len(y), at + CELLS // len(x) + 1)) if y[j].tag == u.tag), None)
             if j is not None:
-                total += align(u, y[j], memo)
+                total += _weight(u, y[j], memo)
                 pairs.append((u, y[j]))
                 at = j + 1
         return total
     best = [[0] * (len(y) + 1)]
     for u in x:
-        above, row = best[-1], [0]
+        above, row, last = best[-1], [0], 0
         for j, v in enumerate(y):
-            w = above[j] + align(u, v, memo) if u.tag == v.tag else 0
-            row.append(max(w, above[j + 1], row[j]))
+            if above[j + 1] > last:
+                last = above[j + 1]
+            if u.tag == v.tag:
+                if u.plain and v.plain and u.hash != v.hash:
+                    w = above[j] + (u.size if u.size < v.size else v.size) * _ONE
+                else:
+                    w = above[j] + _weight(u, v, memo)
+                if w > last:
+                    last = w
+            row.append(last)
         best.append(row)
     i, j = len(x), len(y)
     while i and j:
@@ -247,11 +272,6 @@ def _segments(x: list[Node], y: list[Node]) -> Iterator[tuple[list[Node], list[N
         i, j = p + 1, q + 1
 
 
-def _paired(u: Node, v: Node) -> bool:
-    """Whether neighbours of two aligned nodes are mapped without weighing others."""
-    return u.hash == v.hash or u.tag == v.tag and _plain(u) and _plain(v)
-
-
 def constant(a: Node, b: Node) -> set[int]:
     """The nodes of ``a``, by identity, that the largest mapping onto ``b`` maps to equal subtrees."""
     memo: dict = {}
@@ -383,21 +403,32 @@ def aligned(root: Node) -> dict[int, int]:
     return out
 
 
-def survey(html: str) -> tuple[int, list[int], list[tuple[str, list[int]]] | None]:
-    """What one parse of a page tells: a hash of its text, its aligned nodes, its marked blocks.
+def survey(html: str) -> tuple[int, list[int], list | None]:
+    """What one parse of a page tells: a hash of its text, its aligned nodes, its marked trees.
 
-    The first of the nodes is 0, which every page has. Marked blocks are the
-    texts in its article or main element with the names of the aligned nodes
-    they stand in; None if the page marks none.
+    The first of the nodes is 0, which every page has. The trees are those of
+    its article or main elements (``flat``); None if the page marks none.
     """
     root = parse(html)
     marked = articles(root)
-    found = placed_blocks(marked or [root], set())
     names = aligned(root)
-    text = "\n".join(t for t, _ in found)
+    text = "\n".join(blocks(marked or [root], set()))
     return (int.from_bytes(_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True),
-            [0, *sorted(set(names.values()))],
-            [(t, [names[i] for i in inside if i in names]) for t, inside in found] if marked else None)
+            [0, *sorted(set(names.values()))], flat(marked, names) if marked else None)
+
+
+def flat(roots: list[Node], names: dict[int, int]) -> list:
+    """Trees without their boilerplate: depth, tag and name (0: none) or text of each node, from the top down."""
+    out: list = []
+    todo = [(r, 0) for r in reversed(roots)]
+    while todo:
+        node, depth = todo.pop()
+        if node.tag == "#":
+            out += depth, "#", _BLANK.sub(" ", node.text)
+        elif not (depth and _boiler(node)):
+            out += depth, node.tag, names.get(id(node), 0)
+            todo += [(k, depth + 1) for k in reversed(node.kids)]
+    return out
 
 
 def extract(html: str, references: list[str], recurring: frozenset[int] = frozenset()) -> str:
@@ -426,25 +457,67 @@ def host(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def packed(blocks_: list[tuple[str, list[int]]]) -> bytes:
-    """Marked blocks, compressed: pages are held once between their parse and their template."""
-    return zlib.compress(json.dumps(blocks_, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+def packed(trees: list) -> bytes:
+    """Marked trees, compressed: pages are held once between their parse and their template."""
+    return zlib.compress(json.dumps(trees, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+
 
+class Marked:
+    """The packed trees of a page under one root, with the names of their aligned nodes.
 
-def slots(held: bytes, constants: frozenset[int]) -> str:
-    """The text of packed blocks that stand in no constant node.
+    An aligned node is equal to another if the two have one name, so blanks
+    and elements without text count no more than in the names.
+    """
 
-    An article that is mostly found elsewhere is a copy, whose text is its own.
+    def __init__(self, held: bytes):
+        self.root = Node("#root")
+        self.names: dict[int, int] = {}
+        above, nodes = [self.root], [self.root]
+        flat_ = json.loads(zlib.decompress(held).decode("utf-8", "surrogatepass"))
+        for depth, tag, value in zip(flat_[::3], flat_[1::3], flat_[2::3]):
+            node = Node(tag)
+            if tag == "#":
+                node.text = value
+            elif value:
+                self.names[id(node)] = value
+            del above[depth + 1:]
+            above[depth].kids.append(node)
+            above.append(node)
+            nodes.append(node)
+        for node in reversed(nodes):
+            node.hash = self.names.get(id(node)) or hash((node.tag, node.text.strip(), *[
+                k.hash for k in node.kids if k.tag != "#" or k.text.strip()]))
+            _measure(node)
+        self.held = frozenset(self.names.values())
+
+
+@lru_cache(maxsize=512)
+def _marked_reference(held: bytes) -> Marked:
+    return Marked(held)
+
+
+def slots(held: bytes, constants: frozenset[int], references: list[bytes]) -> str:
+    """The text of packed trees that varies.
+
+    Template are the nodes that the largest mapping onto a reference maps to
+    equal ones, if they are among the host's constants; constants that no
+    reference holds are template by their name. An article that is mostly
+    found elsewhere is a copy, whose text is its own.
     """
-    whole = json.loads(zlib.decompress(held).decode("utf-8", "surrogatepass"))
-    kept = [t for t, names in whole if constants.isdisjoint(names)] if constants else [t for t, _ in whole]
+    page = Marked(held)
+    others = [r for r in map(_marked_reference, references) if r.root.hash != page.root.hash]
+    same = set().union(*[constant(page.root, r.root) for r in others])
+    known = frozenset().union(*[r.held for r in others])
+    template = {i for i, name in page.names.items() if name in constants and (i in same or name not in known)}
+    whole = placed_blocks(page.root.kids, set())
+    kept = [t for t, inside in whole if template.isdisjoint(inside)]
     if 2 * sum(map(len, kept)) < sum(len(t) for t, _ in whole):
         kept = [t for t, _ in whole]
     return "\n".join(kept)
 
 
 def surveyed(rows: DataFrame) -> DataFrame:
-    """Each page parsed once: its say in its host's template, and its marked blocks or else its html."""
+    """Each page parsed once: its say in its host's template, and its marked trees or else its html."""
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "url", "h")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,11 +574,12 @@ def large_hosts(rows: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every row.
 
-    All pages of a host have a say in its template (``templates``). A marked
-    page's text is what its article holds outside the constants, unless these
-    are more than half of it: then it is a copy and stays whole. Other pages
-    are aligned with references, their host's unmarked pages with the least
-    and the largest hash of their html. A null html has an empty text. Null
+    All pages of a host have a say in its template (``templates``). Marked
+    pages are aligned with references, their host's marked pages with the least
+    and the largest hash of their text; a page's text is what its article holds
+    outside the template (``slots``), unless this is more than half of it: then
+    it is a copy and stays whole. Other pages are aligned with their host's
+    unmarked pages with the least and the largest hash of their html. A null html has an empty text. Null
     keys and urls are carried through (rows without a host form one), repeated
     rows are alike, other columns are not read, and an empty table stays empty.
     A tree may be as deep as a page has elements; long lists of siblings are
@@ -527,27 +601,31 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     own = rows.join(F.broadcast(spread), "h", "left").withColumn(
         "part", F.pmod(F.xxhash64("key", "url", "text"), parts).cast("int")).drop("parts", "nodes", "text")
     marked = own.where("marked is not null").select("key", "url", "h", "part", "marked")
-    constants = found.select("h", "constants").where("size(constants) > 0")
-    size = constants.agg(F.sum(F.size("constants") + 4)).first()[0] or 0
-    if 8 * size <= BROADCAST_BYTES:
-        marked = marked.join(F.broadcast(constants), "h", "left")
+    named = F.struct("text", "marked")
+    wrappers = cut(rows.where("marked is not null").groupBy("h").agg(F.min(named).alias("a"), F.max(named).alias("b"))
+                   .select("h", F.array(F.col("a.marked"), F.col("b.marked")).alias("refs"))
+                   .join(found.select("h", "constants"), "h", "left"))
+    size = wrappers.agg(F.sum(8 * F.size(F.coalesce("constants", F.array())) + 64 + F.length(F.col("refs")[0])
+                              + F.length(F.col("refs")[1]))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        marked = marked.join(F.broadcast(wrappers), "h")
     else:
-        marked = marked.join(dealt(constants), ["h", "part"], "left")
+        marked = marked.join(dealt(wrappers), ["h", "part"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, frozenset[int]] = {}
+        known: dict[int, tuple] = {}
         for b in batches:
             texts = []
             for i, h in enumerate(b.column(2).to_pylist()):
                 if h not in known:
                     if len(known) >= 4096:
                         known.clear()
-                    known[h] = frozenset(b.column(4)[i].as_py() or ())
-                texts.append(slots(b.column(3)[i].as_py(), known[h]))
+                    known[h] = frozenset(b.column(4)[i].as_py() or ()), list(dict.fromkeys(b.column(5)[i].as_py()))
+                texts.append(slots(b.column(3)[i].as_py(), *known[h]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              names=["key", "url", "text"])
 
-    marked = marked.select("key", "url", "h", "marked", "constants").mapInArrow(
+    marked = marked.select("key", "url", "h", "marked", "constants", "refs").mapInArrow(
         read, f"key {kind}, url string, text string")
 
     other = own.where("marked is null").drop("marked")

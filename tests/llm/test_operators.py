@@ -209,6 +209,39 @@ def test_template_inside_articles(spark):
         20 + i: f"{words[0]} and {words[1]}\n{i}" for i in range(5)}
 
 
+def test_alignment_settles_slots_of_articles(spark):
+    # what stands out of the template's place is quoted, and is the page's own text
+    page = "<article><h1>T %d</h1>%s<p>text %d of this page, which is long enough</p><p>Read more</p></article>"
+    rows = [(i, "https://a.org/x", page % (i, "<p>Read more</p>" if i == 4 else "", i)) for i in range(9)]
+    got = extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"T {i}\n" + "Read more\n" * (i == 4) + f"text {i} of this page, which is long enough" for i in range(9)}
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_largest_mapping_by_brute_force():
+    rng = random.Random(1)
+
+    def html(depth):
+        return "".join(f"<{t}>{rng.choice('xyz') if not depth or rng.random() < .5 else html(depth - 1)}</{t}>"
+                       for t in rng.choices(["div", "b", "section"], k=rng.randint(0, 4)))
+
+    def best(a, b):
+        """(size, nodes in equal subtrees) of the best mapping, by trying all."""
+        def tail(i, j):
+            if i == len(a.kids) or j == len(b.kids):
+                return 0, 0
+            found = [tail(i + 1, j), tail(i, j + 1)]
+            if a.kids[i].tag == b.kids[j].tag:
+                found.append(tuple(map(sum, zip(best(a.kids[i], b.kids[j]), tail(i + 1, j + 1)))))
+            return max(found)
+        return (a.size, a.size) if a.hash == b.hash else tuple(map(sum, zip((1, 0), tail(0, 0))))
+
+    for _ in range(200):
+        a, b = extraction.parse(html(2)), extraction.parse(html(2))
+        found = extraction._weight(a, b, {})
+        assert (found >> extraction._EQUAL_BITS, found & extraction._ONE - 1) == best(a, b)
+
+
 def test_names_hide_no_article():
     text = lambda html: extraction.extract(html, [])
     for page in ("<body class='has-sidebar'><article><p>x</p></article>", "<body class='sidebar'><article><p>x</p></article>",
