@@ -125,7 +125,7 @@ class Lattice:
         row = np.searchsorted(ends, cut[:-1], "right") - 1
         place = cut[:-1] - ends[row]
         kinds = list(dict.fromkeys(units))
-        length = np.array(list(map(len, kinds)))
+        length = np.fromiter(map(len, kinds), np.int64, len(kinds))
         codes = np.frombuffer("".join(kinds).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         ends = np.cumsum(length)
         own = np.repeat(np.arange(len(kinds)), length)
@@ -151,32 +151,45 @@ class Lattice:
         many = np.diff(np.concatenate([first, [len(into)]]))
         total = np.cumsum(share)
         ladder = into + np.minimum(total - np.repeat(total[first] - share[first], many), 1.0)
-        index = {k: i for i, k in enumerate(kinds)}
-        kind = np.array([index[u] for u in units])
+        index = dict(zip(kinds, range(len(kinds))))
+        kind = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+        # every place but a unit's first is reached by some edge: its last one, and whether it is the only one
+        last, only = np.zeros(len(paths), np.int64), np.ones(len(paths), bool)
+        last[into[first]], only[into[first]] = first + many - 1, many == 1
         floor = base[kind]
         seed, now = seeds[row], floor + length[kind]
         live, drawn, order = np.arange(len(units)), [], []
         while len(live):
             at = now[live]
-            u = mix64(seed[live] ^ mix64((place[live] + at - floor[live]).astype(np.uint64)))
-            edge = np.searchsorted(ladder, at + (u >> np.uint64(12)).astype(np.float64) / 2.0 ** 52, "right")
-            edge = np.minimum(edge, np.searchsorted(into, at, "right") - 1)
+            edge = last[at]
+            drawing = np.flatnonzero(~only[at])
+            one, to = live[drawing], at[drawing]
+            u = mix64(seed[one] ^ mix64((place[one] + to - floor[one]).astype(np.uint64)))
+            found = np.searchsorted(ladder, to + (u >> np.uint64(12)).astype(np.float64) / 2.0 ** 52, "right")
+            edge[drawing] = np.minimum(found, edge[drawing])
             drawn.append(codes[edge]), order.append(live)
             now[live] = goes[edge]
             live = live[now[live] > floor[live]]
         code, unit = np.concatenate(drawn)[::-1], np.concatenate(order)[::-1]
-        code = code[np.argsort(unit, kind="stable")]
-        if (code >= _SPELLED).any():
-            return self._spelled(code, np.sort(unit), row, len(texts))
-        ends = np.searchsorted(row[np.sort(unit)], np.arange(len(texts) + 1))
-        return [code[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
-
-    def _spelled(self, code, unit, row, n) -> list[np.ndarray]:
-        named = {c: self.spell(c if c != _SPELLED + ord(_SIGN) else _SPELLED + ord(SPACE))
-                 for c in np.unique(code[code >= _SPELLED]).tolist()}
-        ends = np.searchsorted(row[unit], np.arange(n + 1))
-        return [np.array([i for c in code[a:b].tolist() for i in (named[c] if c >= _SPELLED else (c,))], "<u4")
-                for a, b in zip(ends[:-1], ends[1:])]
+        order = np.argsort(unit, kind="stable")
+        code, unit = code[order], unit[order]
+        ends = np.searchsorted(row[unit], np.arange(len(texts) + 1))
+        code, ends = self._spelled(code, ends)
+        return [code[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _spelled(self, code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes with spelled characters as the ids of their bytes, and where the texts end in them."""
+        at = np.flatnonzero(code >= _SPELLED)
+        kinds, kind = np.unique(code[at], return_inverse=True)
+        named = [self.spell(c if c != _SPELLED + ord(_SIGN) else _SPELLED + ord(SPACE)) for c in kinds.tolist()]
+        size = np.ones(len(code), np.int64)
+        size[at] = np.array([len(ids) for ids in named], np.int64)[kind]
+        start = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(code, size).astype("<u4")
+        for k in range(max(map(len, named), default=0)):
+            has = np.flatnonzero(size[at] > k)
+            out[start[at[has]] + k] = np.array([ids[k] if k < len(ids) else 0 for ids in named], "<u4")[kind[has]]
+        return out, start[ends]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with space signs as spaces, bytes put together."""

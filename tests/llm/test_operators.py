@@ -337,6 +337,16 @@ def test_sampling_is_lossless_and_reproducible(spark, texts):
     assert again[5] != first[5]
 
 
+def test_spelled_characters_by_place():
+    tok = sampling.lattice(sampling.tokenizer_path(sampling.FILE), 0.5)
+    spelled = [sampling._SPELLED + ord(c) for c in "\n" + sampling._SIGN + "\U0001F9FF"]
+    code = np.array([7, spelled[0], spelled[2], 9, spelled[1], spelled[0]])
+    space = [tok.byte_id[b] for b in sampling.SPACE.encode()]
+    want = [[7, *tok.spell(spelled[0])], [*tok.spell(spelled[2]), 9], [], space + tok.spell(spelled[0])]
+    out, ends = tok._spelled(code, np.array([0, 2, 4, 4, 6]))
+    assert [out[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
 def test_sampling_follows_path_weights():
     tok = sampling.lattice(sampling.tokenizer_path(sampling.FILE), 0.5)
     n = 20_000
