@@ -22,19 +22,30 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+#: rows of a task that spread rows are dealt to, where the cluster's cores are too few for them
+_TASK_ROWS = 1_000_000
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy row-wise work enough tasks.
 
-    A scan of few large row groups yields fewer partitions than the
+    A scan of few large row groups yields fewer tasks with rows than the
     cluster has cores, and everything before the first shuffle then runs
     in those few tasks. Only in that case the rows are spread round-robin
-    over ``min_partitions`` (default: the session's default parallelism);
-    scans that are already wide (the large-data case) are left as they are.
-    Counting partitions plans the scan but runs no job.
+    over ``min_partitions`` (default: the session's default parallelism), or
+    more of a million rows each; scans whose largest task is at most a quarter
+    above an even share (the large-data case) are left as they are.
+    Files are cut by bytes, and a row group goes whole to one of its cuts, so
+    partitions tell nothing of the work: where they are enough, the rows of
+    each are counted. Of a parquet scan that reads the footers alone.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
-        return df
+        tasks = df.groupBy(F.spark_partition_id().alias("task")).count()
+        rows, largest = tasks.agg(F.sum("count"), F.max("count")).first()
+        if not rows or largest * want <= 1.25 * rows:
+            return df
+        want = max(want, -(-rows // _TASK_ROWS))
     # The observed row count (a CollectMetrics node) also keeps predicates on
     # derived columns above the spread, so parsing in those predicates runs in
     # the spread tasks instead of the narrow scan; column pruning still

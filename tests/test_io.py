@@ -57,3 +57,24 @@ def test_spread_only_narrow_scans(spark):
     assert IO.spread(wide) is wide
     assert IO.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert IO.spread(df.coalesce(1)).filter(F.col("value") > 0).count() == df.filter(F.col("value") > 0).count()
+
+
+def test_one_row_group_in_many_cuts_is_spread(spark):
+    path = "/root/testdata/sf0.01/events.parquet"  # one row group, which goes whole to one of the cuts
+    held = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        want = spark.sparkContext.defaultParallelism
+        df = IO.read_table(spark, path)
+        assert df.rdd.getNumPartitions() >= want and df.select(F.spark_partition_id()).distinct().count() == 1
+        out = IO.read_table(spark, path, balance=True)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == want and max(sizes) * want < 1.5 * sum(sizes)
+        assert out.exceptAll(df).count() == 0 and sum(sizes) == df.count()
+        empty = df.where("false")
+        assert IO.spread(empty).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
