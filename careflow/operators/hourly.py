@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.calendar import floor_day, floor_hour
 from careflow.functions.parse import TRIAGE_VALUES
-from careflow.operators.ordering import count_quantiles
+from careflow.operators.ordering import count_quantiles, written
 
 
 def hourly_demand(notes: DataFrame, ts: str = "arrival_datetime",
@@ -97,14 +97,19 @@ def hour_spine(df: DataFrame, ts: str, out_ts: str = "timestamp") -> DataFrame:
 
 def resample_hourly_count(df: DataFrame, ts: str, out_ts: str = "timestamp",
                           out: str = "count") -> DataFrame:
-    """Count per hour with empty hours = 0 (regular hourly series)."""
-    counts = hourly_events(df, ts, out_ts, out)
-    return hour_spine(df, ts, out_ts).join(counts, out_ts, "left").fillna({out: 0})
+    """Count per hour with empty hours = 0 (regular hourly series).
+
+    The hours that have rows are written once, and the spine's ends read from
+    them, so that ``df``, often a costly plan, is evaluated once.
+    """
+    counts = written(hourly_events(df, ts, out_ts, out))
+    return hour_spine(counts, out_ts, out_ts).join(counts, out_ts, "left").fillna({out: 0})
 
 
 def resample_hourly_mean(df: DataFrame, ts: str, value: str, fill: float = 3.0,
                          out_ts: str = "timestamp", out: str = "mean") -> DataFrame:
-    """Mean per hour over a regular spine, empty hours = ``fill``."""
-    means = (df.filter(F.col(ts).isNotNull())
-               .groupBy(floor_hour(ts).alias(out_ts)).agg(F.avg(F.col(value).cast("double")).alias(out)))
-    return hour_spine(df, ts, out_ts).join(means, out_ts, "left").fillna({out: float(fill)})
+    """Mean per hour over a regular spine, empty hours = ``fill``; ``df`` is
+    evaluated once, as for A16."""
+    means = written(df.filter(F.col(ts).isNotNull())
+                    .groupBy(floor_hour(ts).alias(out_ts)).agg(F.avg(F.col(value).cast("double")).alias(out)))
+    return hour_spine(means, out_ts, out_ts).join(means, out_ts, "left").fillna({out: float(fill)})

@@ -127,3 +127,12 @@ def test_quantiles_keep_null_groups(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), ("b", None)], "g string, x double")
     got = {(r.g, r.q): r.value for r in O.exact_quantiles(df, ["g"], "x", [0.5, 1.0]).collect()}
     assert got == {(None, 0.5): 1.5, (None, 1.0): 2.0, ("a", 0.5): 5.0, ("a", 1.0): 5.0}
+
+
+def test_resampling_evaluates_its_input_once(spark):
+    from careflow.operators import hourly as H
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for out in (H.resample_hourly_mean(e, "ts", "value"), H.resample_hourly_count(e, "ts")):
+        assert out.inputFiles() == []  # hours and spine come from the written hours
+        lo, hi = e.selectExpr("min(date_trunc('hour', ts)) lo", "max(date_trunc('hour', ts)) hi").first()
+        assert out.count() == (hi - lo).total_seconds() // 3600 + 1
