@@ -117,6 +117,34 @@ def test_repeats_across_blocks_and_rows(spark, monkeypatch):
     assert sorted(tuple(r)[1:] for r in got) == sorted(want)
 
 
+def brute_passages(texts, length, words):
+    """The texts without strings of ``length`` bytes or ``words`` words that start anywhere else."""
+    data = [(t or "").encode() for t in texts]
+    found = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t-\r]+", t)] for t in data]
+    strings = Counter(t[i:i + length] for t in data for i in range(len(t) - length + 1))
+    passages = Counter(tuple(x[2] for x in w[i:i + words]) for w in found for i in range(len(w) - words + 1))
+    for t, w in zip(data, found):
+        gone = {k for i in range(len(t) - length + 1) if strings[t[i:i + length]] > 1 for k in range(i, i + length)}
+        gone |= {k for i in range(len(w) - words + 1) if passages[tuple(x[2] for x in w[i:i + words])] > 1
+                 for k in range(w[i][0], w[i + words - 1][1])}
+        yield bytes(b for k, b in enumerate(t) if k not in gone).decode(errors="ignore")
+
+
+@pytest.mark.parametrize("block", [None, 700])
+def test_repeated_passages_of_words(spark, texts, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(repeats, "_BLOCK", block)
+    rnd = random.Random(5)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    short, lone = say(51), say(50)  # 254 and 249 bytes
+    docs = [*texts, f"{say(30)} {short} {say(9)}", short.replace(" ", "\n\n"), f"\t{say(80)}  {short}", lone + " x", "y " + lone]
+    want = list(brute_passages(docs, 400, 51))
+    assert all(short not in t for t in want) and want[-2:] == docs[-2:] and want[len(texts) + 1] == ""
+    got = repeats.without_repeats(frame(spark, docs), keep_text=True, words=51).collect()
+    got = {r["doc_id"]: r["kept"] for r in got}
+    assert [got[i] or "" for i in range(len(docs))] == want
+
+
 def test_language(spark):
     rnd = random.Random(5)
     stems = {"en": "the ing tion and ough", "de": "sch der ung und ein", "fr": "eau que les oux ment"}

@@ -55,6 +55,17 @@ def test_documents_stay_without_labels(spark):
         assert sorted(tuple(r) for r in got.collect()) == rows[:2]
 
 
+def test_passages_below_400_bytes_go(spark):
+    rnd = random.Random(4)
+    say = lambda n: " ".join(rnd.choice("abcde") + rnd.choice("fghij") + rnd.choice("klmno") for _ in range(n))
+    passage = say(55)
+    parts = [(say(40), say(40)) for _ in range(3)]
+    rows = [(i, f"{a} {passage} {b}", "en", "s", 0) for i, (a, b) in enumerate(parts)] + [(3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {**{i: f"{a}  {b}" for i, (a, b) in enumerate(parts)}, 3: None}
+
+
 def planted():
     """(doc_id, text, lang) with near copies, a shared passage, personal data and junk, and the mentions planted."""
     rnd = random.Random(8)
