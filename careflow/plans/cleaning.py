@@ -33,6 +33,10 @@ APPOINTMENT_COLUMNS = ["area_key", "cve_num_key", "cve_mbo_key", "area", "cve_nu
                        "appointment_month", "appointment_is_weekend", "duration_min", "tpo_cita",
                        "conflicto", "agregada", "ultimahora", "buffer", "asistencia_clean",
                        "asistencia_invalid", "no_show"]
+#: Those that follow from the other columns of a cleaned row.
+APPOINTMENT_DERIVED = ["area_key", "cve_num_key", "cve_mbo_key", "appointment_datetime", "appointment_hour",
+                       "appointment_day_of_week", "appointment_day", "appointment_month", "appointment_is_weekend",
+                       "no_show"]
 PATIENT_CODES = ["m_status", "m_sexo", "m_ciu", "m_col", "m_cp", "m_edo", "m_pai"]
 PATIENT_COLUMNS = ["m_num_exp_key", "m_status", "m_sexo", "m_edad_num", "m_fec_nac_clean",
                    "m_ciu", "m_col", "m_cp", "m_edo", "m_pai"]
@@ -58,11 +62,17 @@ def _key(df: DataFrame, col: str):
     return T.join_key(col) if col in df.columns else F.lit(None).cast("string")
 
 
+def _distinct(df: DataFrame, columns: list[str], derived: list[str]) -> DataFrame:
+    """D1 on the listed columns that exist, without those that are derived from
+    the rest: rows are distinct with them exactly if they are without them, and
+    they need neither be hashed nor shuffled."""
+    return J.distinct_rows(PR.select_existing(df, [c for c in columns if c not in derived]))
+
+
 def clean_encounters(raw: DataFrame) -> DataFrame:
     """Encounters (hospac)."""
     df = PR.strip_and_normalize(raw, ENCOUNTER_CODES)
     df = df.withColumns({
-        "area_key": _key(df, "p_area"),
         "cve_num_key": _key(df, "p_res_cve_num"),
         "cve_mbo_key": _key(df, "p_res_cve_mbo"),
         "p_num_exp_key": _key(df, "p_num_exp"),
@@ -70,12 +80,20 @@ def clean_encounters(raw: DataFrame) -> DataFrame:
     df = _with_dt(df, "reservation_datetime", "p_res_fec", "p_res_hra")
     df = _with_dt(df, "arrival_datetime", "p_fec_lld", "p_hra_lld")
     df = _with_dt(df, "registration_datetime", "p_fec_reg", "p_hra_reg")
-    return J.distinct_rows(PR.select_existing(df, ENCOUNTER_COLUMNS))
+    df = _distinct(df, ENCOUNTER_COLUMNS, ["area_key"])
+    return PR.select_existing(df.withColumn("area_key", _key(df, "p_area")), ENCOUNTER_COLUMNS)
 
 
 def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> DataFrame:
     """Appointments (hosagd) with the no-show label."""
     df = PR.strip_and_normalize(raw, APPOINTMENT_CODES)
+    if "dur" in df.columns:
+        dur = P.safe_numeric("dur")
+        df = df.withColumn("duration_min", P.null_if(dur, dur <= 0))
+    if "asistencia" in df.columns:
+        clean, invalid = P.domain_clean(T.normalize_code("asistencia"), P.ATTENDANCE_VALUES)
+        df = df.withColumns({"asistencia_clean": clean, "asistencia_invalid": invalid})
+    df = _distinct(df, APPOINTMENT_COLUMNS, APPOINTMENT_DERIVED)
     df = df.withColumns({
         "area_key": _key(df, "area"),
         "cve_num_key": _key(df, "cve_num"),
@@ -83,14 +101,9 @@ def clean_appointments(raw: DataFrame, max_duration: float | None = None) -> Dat
     })
     df = _with_dt(df, "appointment_datetime", "a_fecha", "hra_ini")
     df = add_calendar_features(df, "appointment_datetime", prefix="appointment")
-    if "dur" in df.columns:
-        dur = P.safe_numeric("dur")
-        df = df.withColumn("duration_min", P.null_if(dur, dur <= 0))
-    if "asistencia" in df.columns:
-        clean, invalid = P.domain_clean(T.normalize_code("asistencia"), P.ATTENDANCE_VALUES)
-        df = df.withColumns({"asistencia_clean": clean, "asistencia_invalid": invalid})
+    if "asistencia_clean" in df.columns:
         df = df.withColumn("no_show", P.label_map("asistencia_clean"))
-    return J.distinct_rows(PR.select_existing(df, APPOINTMENT_COLUMNS))
+    return PR.select_existing(df, APPOINTMENT_COLUMNS)
 
 
 def clean_patients(raw: DataFrame, order_by: str | None = None) -> DataFrame:
@@ -146,6 +159,7 @@ def clean_notes(raw: DataFrame, max_wait_min: float = 1440.0) -> DataFrame:
     df = _with_dt(df, "arrival_datetime", "Llegada_Fecha", "Llegada_Hora")
     df = _with_dt(df, "note_datetime", "Fecha", "Hora")
     df = _with_dt(df, "destination_datetime", "Destino_Fecha", "Destino_Hora")
+    df = _distinct(df, NOTE_COLUMNS, ["wait_proxy_min", "valid_wait_proxy"])
     df = df.withColumn("wait_proxy_min", P.minutes_between("arrival_datetime", "note_datetime"))
     df = df.withColumn("valid_wait_proxy", P.within_flag("wait_proxy_min", 0.0, max_wait_min))
-    return J.distinct_rows(PR.select_existing(df, NOTE_COLUMNS))
+    return PR.select_existing(df, NOTE_COLUMNS)
