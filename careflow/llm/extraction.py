@@ -66,7 +66,26 @@ CELLS = 4096
 _EQUAL_BITS = 40
 _ONE = 1 << _EQUAL_BITS
 _WORD = re.compile(r"[A-Za-z]+")
-_BLANK = re.compile(r"[\s​]+")
+#: Start and end tags as most are written, which need no forgiving. Fixed values.
+_START = re.compile(r'<([a-z][a-z0-9]*)((?: [a-z]+(?:-[a-z]+)*="[^"&<>]*")*)>')
+_ATTRIBUTE = re.compile(r' ([a-z-]+)="([^"]*)"')
+_END = re.compile(r"</([a-z][a-z0-9]*)>")
+#: Elements after whose start tag the parser may read in another way. Fixed values.
+_RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext".split())
+
+
+def one_line(text: str) -> str:
+    """White space and zero-width spaces as single spaces, none at the ends."""
+    return " ".join((text.replace("\u200b", " ") if "\u200b" in text else text).split())
+
+
+def _spaced(text: str) -> str:
+    """White space and zero-width spaces as single spaces."""
+    line = one_line(text)
+    if not line:
+        return " " if text else ""
+    first, last = text[0], text[-1]
+    return (" " * (first.isspace() or first == "\u200b") + line + " " * (last.isspace() or last == "\u200b"))
 
 
 @lru_cache(maxsize=4096)
@@ -95,6 +114,24 @@ class _Builder(HTMLParser):
         self.root = Node("#root")
         self.open = [self.root]
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for lines and columns
+
+    def parse_starttag(self, i):
+        found = _START.match(self.rawdata, i)
+        if found is None or found[1] in _RAW:
+            return super().parse_starttag(i)
+        self.lasttag = found[1]
+        self.handle_starttag(found[1], _ATTRIBUTE.findall(found[2]) if found[2] else ())
+        return found.end()
+
+    def parse_endtag(self, i):
+        found = _END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if found is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(found[1])
+        return found.end()
+
     def handle_starttag(self, tag, attrs):
         for i in range(len(self.open) - 1, 0, -1):
             if tag in CLOSED_BY.get(self.open[i].tag, ()):
@@ -132,11 +169,13 @@ class _Builder(HTMLParser):
         self.open[-1].kids.append(node)
 
 
-def parse(html: str) -> Node:
+def parse(html: str, marked: bool = True) -> Node:
+    """The tree of a page; its nodes have hashes and sizes if it is to be aligned (``marked``)."""
     b = _Builder()
     b.feed(html)
     b.close()
-    _mark(b.root)
+    if marked:
+        _mark(b.root)
     return b.root
 
 
@@ -340,7 +379,7 @@ def placed_blocks(roots: list[Node], template: set[int], named: bool = True) ->
     inside: list[int] = []
 
     def flush() -> None:
-        text = _BLANK.sub(" ", "".join(line)).strip()
+        text = one_line("".join(line))
         line.clear()
         if text:
             out.append((text, inside[:]))
@@ -393,7 +432,7 @@ def aligned(root: Node) -> dict[int, int]:
                 if node.tag not in INLINE:
                     out[id(node)] = int.from_bytes(_digest(_path(above, node.tag), below), "big", signed=True)
         elif node.tag == "#":
-            text = _BLANK.sub(" ", node.text).strip()
+            text = one_line(node.text)
             if text:
                 kids_of[id(node)] = _digest(text.encode("utf-8", "surrogatepass"))
         elif node.tag not in HIDDEN and not node.hidden:
@@ -409,7 +448,7 @@ def survey(html: str) -> tuple[int, list[int], list | None]:
     The first of the nodes is 0, which every page has. The trees are those of
     its article or main elements (``flat``); None if the page marks none.
     """
-    root = parse(html)
+    root = parse(html, False)
     marked = articles(root)
     names = aligned(root)
     text = "\n".join(blocks(marked or [root], set()))
@@ -424,7 +463,7 @@ def flat(roots: list[Node], names: dict[int, int]) -> list:
     while todo:
         node, depth = todo.pop()
         if node.tag == "#":
-            out += depth, "#", _BLANK.sub(" ", node.text)
+            out += depth, "#", _spaced(node.text)
         elif not (depth and _boiler(node)):
             out += depth, node.tag, names.get(id(node), 0)
             todo += [(k, depth + 1) for k in reversed(node.kids)]
