@@ -324,7 +324,6 @@ def k6_model_report(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-SMALL_GRID = {k: v[:1] for k, v in MO.DEMAND_GRID.items()} | {"n_estimators": [2, 4], "max_depth": [2, 3]}
 CHECK_SPACE = MO.NOSHOW_SPACE | {"n_estimators": (2, 6, "int"), "max_depth": (2, 3, "int")}
 
 
@@ -376,7 +375,7 @@ def m13_oof_predictions(spark, sf):
 def c10_train_demand(spark, sf):
     """Grid, folds, tuned tree count and final refit; fold summary."""
     feats, cols = _demand(spark, sf)
-    r = MD.train_demand(feats, cols, Y, SMALL_GRID, 5)
+    r = MD.train_demand(feats, cols, Y)
     return r["summary"].withColumn("final_trees", F.lit(r["params"]["n_estimators"]))
 
 
